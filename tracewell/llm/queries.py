@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import mixing, quality_rules, sharding
+from tracewell.llm import minhash, mixing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_curriculum_mixing": mixing.op3_curriculum_mixing,
+    "op5_minmax_near_dedup": minhash.op5_minmax_near_dedup,
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
     "op9_weak_supervision_rules": quality_rules.op9_weak_supervision_rules,
 }
