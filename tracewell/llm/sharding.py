@@ -16,10 +16,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import written
+from tracewell.llm.numbering import number_rows
 
 SHARDS = 8
 ROUNDS = 6
@@ -68,30 +69,6 @@ def row_at(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int = SEED
     return int(permute(np.array([slot * shards + shard]), n, seed, inverse=True)[0])
 
 
-def number_rows(df: DataFrame, key: list[str]) -> tuple[DataFrame, int]:
-    """Adds row, a number from 0 without gaps that depends on the rows' values only.
-
-    df must hold nothing but the key columns. Equal rows are counted before the shuffle. The rows
-    are dealt into about sqrt(n) buckets by hash, so that neither the largest bucket nor the table
-    of buckets grows faster than sqrt(n).
-    """
-    n = df.count()
-    buckets = max(1, math.isqrt(n))
-    groups = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
-    groups = written(groups, "row-groups")
-    offsets = groups.groupBy("_bucket").agg(F.sum("_copies").alias("_rows")).select(
-        "_bucket", (F.sum("_rows").over(Window.orderBy("_bucket")) - F.col("_rows")).alias("_offset")
-    )
-    inside = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in key])
-    numbered = (
-        groups.withColumn("_before", F.sum("_copies").over(inside) - F.col("_copies"))
-        .join(offsets, "_bucket")
-        .withColumn("_start", F.col("_offset") + F.col("_before"))
-        .select(*key, F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_copies") - 1)).alias("row"))
-    )
-    return numbered, n
-
-
 def position_column(row: Column, n: int, seed: int = SEED) -> Column:
     @F.pandas_udf("long")
     def position(rows: pd.Series) -> pd.Series:
@@ -109,7 +86,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
     keys = written(keys, "shard-keys")
-    numbered, n = number_rows(keys, ["doc_id", "text_crc32", "size"])
+    n = keys.count()
+    numbered = number_rows(keys, ["doc_id", "text_crc32", "size"])
     return (
         numbered.withColumn("position", position_column(F.col("row"), n, seed))
         .withColumn("shard", (F.col("position") % shards).cast("int"))
