@@ -158,12 +158,27 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int)
 
 
 def _residue(percent: int):
+    """Of the links between far members and others, those that join components in this block."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         far, near = pdf[pdf["far"]], pdf[~pdf["far"]]
-        as_sets = lambda part: [np.sort(np.asarray(h, dtype=np.int64)) for h in part["hashes"]]
+        as_sets = lambda part: [np.asarray(h, dtype=np.int64) for h in part["hashes"]]
         a, b = far["node"].to_numpy(), near["node"].to_numpy()
-        found = list(links_between(as_sets(far), as_sets(near), percent))
-        return pd.DataFrame({"a": [a[i] for i, _ in found], "b": [b[j] for _, j in found]}, dtype="int64")
+        home_a, home_b = far["own"].to_numpy(), near["own"].to_numpy()
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        found = []
+        for i, j in links_between(as_sets(far), as_sets(near), percent):
+            x, y = root(int(home_a[i])), root(int(home_b[j]))
+            if x != y:
+                parent[x] = y
+                found.append((a[i], b[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -214,8 +229,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     open_buckets = open_buckets.select("band", F.ceil(F.col("n_far") / BLOCK).alias("far_blocks"), F.ceil(F.col("members") / BLOCK).alias("near_blocks"))
     rest = placed.join(written(open_buckets, "open-buckets"), "band")
     own_far, own_near = F.pmod(F.xxhash64("node"), F.col("far_blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("near_blocks"))
-    dealt = rest.where("far").select("band", "node", F.lit(True).alias("far"), own_far.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("near_blocks") - 1)).alias("j"))
-    dealt = dealt.union(rest.select("band", "node", F.lit(False).alias("far"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("i"), own_near.alias("j")))
+    dealt = rest.where("far").select("band", "node", "own", F.lit(True).alias("far"), own_far.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("near_blocks") - 1)).alias("j"))
+    dealt = dealt.union(rest.select("band", "node", "own", F.lit(False).alias("far"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("i"), own_near.alias("j")))
     more = dealt.join(sets, "node").groupBy("band", "i", "j").applyInPandas(_residue(percent), "a long, b long")
     more = written(more.where("a != b").distinct(), "more-links")
     if not more.isEmpty():
