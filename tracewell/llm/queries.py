@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import minhash, mixing, quality_rules, sharding
+from tracewell.llm import audio, language, minhash, mixing, packing, quality_model, quality_rules, secrets_scan, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language.op1_language_id,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_curriculum_mixing": mixing.op3_curriculum_mixing,
+    "op4_secret_scans": secrets_scan.op4_secret_scans,
     "op5_minmax_near_dedup": minhash.op5_minmax_near_dedup,
+    "op6_quality_classifier": quality_model.op6_quality_classifier,
+    "op7_telephony_audio": audio.op7_telephony_audio,
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
     "op9_weak_supervision_rules": quality_rules.op9_weak_supervision_rules,
+    "op10_wavelet_token_files": token_files.op10_wavelet_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_curriculum_mixing": mixing.ORACLE_SQL}
