@@ -26,11 +26,13 @@ def _masked(value):
     return F.concat(F.substring(value, 1, MASK_KEEP), F.repeat(F.lit("*"), F.greatest(F.length(value) - MASK_KEEP, F.lit(0))))
 
 
+def _hits(name: str, pattern: str):
+    return F.transform(T.find_matches(F.col("text"), pattern), lambda m: F.struct(F.lit(name).alias("rule"), _masked(m["value"]).alias("detail")))
+
+
 def credential_hits(lines: DataFrame) -> DataFrame:
     """path, line, rule and detail (masked) of each hit in lines(path, line, text)."""
-    found = F.concat(
-        *[F.transform(T.find_matches(F.col("text"), rx), lambda m, name=name: F.struct(F.lit(name).alias("rule"), _masked(m["value"]).alias("detail"))) for name, rx in RULES.items()]
-    )
+    found = F.concat(*[_hits(name, rx) for name, rx in RULES.items()])
     likely = F.col("text").rlike(r"(?i)AKIA|ASIA|PRIVATE KEY|gh[pousr]_|xox[abprs]-|AIza|k_live_|eyJ|password|passwd|secret|token|api_?key")
     return lines.where(likely).select("path", "line", F.explode(found).alias("_h")).select("path", "line", "_h.rule", "_h.detail")
 

@@ -52,6 +52,16 @@ BANK = Detector("bank", "account_number", P.BANK, lambda x: x.rlike("口座番
 DETECTORS: tuple[Detector, ...] = (email(), JP_PHONE, INTL_PHONE, POSTAL, ADDRESS, MY_NUMBER, card(), BANK)
 
 
+_HITS = "array<struct<rule:int,category:string,raw:string,start:int>>"
+
+
+def _hits(line: Column, number: int, d: Detector) -> Column:
+    hits = T.find_matches(line, d.pattern)
+    if d.valid:
+        hits = F.filter(hits, lambda m: d.valid(m["value"], line))
+    return F.transform(hits, lambda m: F.struct(F.lit(number).alias("rule"), F.lit(d.category).alias("category"), m["value"].alias("raw"), m["start"].alias("start")))
+
+
 def detect(lines: DataFrame, detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
     """A row for each match in lines(path, page, line, kind, text): category, value, detector, score, context and seq.
 
@@ -60,18 +70,7 @@ def detect(lines: DataFrame, detectors: Sequence[Detector] = DETECTORS) -> DataF
     """
     scanned = lines.withColumn("_scan", F.substring("text", 1, P.MAX_SCANNED_CHARS))
     line = F.col("_scan")
-    found = []
-    for number, d in enumerate(detectors):
-        hits = T.find_matches(line, d.pattern)
-        if d.valid:
-            hits = F.filter(hits, lambda m, d=d: d.valid(m["value"], line))
-        described = F.transform(
-            hits,
-            lambda m, d=d, number=number: F.struct(
-                F.lit(number).alias("rule"), F.lit(d.category).alias("category"), m["value"].alias("raw"), m["start"].alias("start")
-            ),
-        )
-        found.append(F.when(d.guard(line), described).otherwise(F.array().cast("array<struct<rule:int,category:string,raw:string,start:int>>")))
+    found = [F.when(d.guard(line), _hits(line, number, d)).otherwise(F.array().cast(_HITS)) for number, d in enumerate(detectors)]
     hits = scanned.where(_any([d.guard(line) for d in detectors])).select("*", F.explode(F.concat(*found)).alias("_m"))
     value = T.normalize_value(F.col("_m.raw"))
     end = F.col("_m.start") + F.length("_m.raw")

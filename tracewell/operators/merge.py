@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.tables import materialized
 
 PLACE = ("path", "line", "page")
+COMPONENTS_PER_CALL = 2000
 
 
 def _norm(value: Column) -> Column:
@@ -45,7 +46,15 @@ def _labels(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+_MERGED = ["category", "key", "value", "detectors", "score", "occurrences", "absorbed"]
+
+
+def _fold_all(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of one bucket, each by itself."""
+    return pd.DataFrame([row for _, part in pdf.groupby("component") for row in _fold(part)], columns=_MERGED)
+
+
+def _fold(pdf: pd.DataFrame) -> list[tuple]:
     """Greedy merge of one component; a place-to-hosts index finds a host without trying all."""
     rows = sorted(pdf.itertuples(index=False), key=lambda r: (-len(r.value), r.order))
     hosts: list[dict] = []
@@ -66,10 +75,7 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
             if p not in host["places"]:
                 host["places"].add(p)
                 at.setdefault(p, []).append(home)
-    return pd.DataFrame(
-        [(h["row"].category, h["row"].key, h["row"].value, sorted(h["detectors"]), h["score"], len(h["places"]), sorted(h["places"]), h["absorbed"]) for h in hosts],
-        columns=["category", "key", "value", "detectors", "score", "occurrences", "places", "absorbed"],
-    )
+    return [(h["row"].category, h["row"].key, h["row"].value, sorted(h["detectors"]), h["score"], len(h["places"]), h["absorbed"]) for h in hosts]
 
 
 def merge_overlapping(findings: DataFrame, places: DataFrame) -> DataFrame:
@@ -90,15 +96,17 @@ def merge_overlapping(findings: DataFrame, places: DataFrame) -> DataFrame:
         return untouched
     edges = spots.select("_f", F.concat_ws("\x00", "category", "_place").alias("_place"))
     labels = _labels(edges)
-    busy = pairs.select(F.concat_ws("\x00", "category", "key").alias("_f")).join(labels, "_f").select("component").distinct()
+    busy = materialized(pairs.select(F.concat_ws("\x00", "category", "key").alias("_f")).join(labels, "_f").select("component").distinct(), "busy")
     active = materialized(labels.join(busy, "component", "left_semi"), "active")
     grouped = spots.join(active, "_f").groupBy("component", "category", "key").agg(F.collect_list("_place").alias("places"))
     whole = grouped.join(base.drop("occurrences"), ["category", "key"])
-    merged = whole.groupBy("component").applyInPandas(
-        _fold, "category string, key string, value string, detectors array<string>, score double, occurrences long, places array<string>, absorbed array<string>"
+    # Most components are a pair of findings: many of them go to one call.
+    buckets = max(8, busy.count() // COMPONENTS_PER_CALL)
+    merged = whole.withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).groupBy("_bucket").applyInPandas(
+        _fold_all, "category string, key string, value string, detectors array<string>, score double, occurrences long, absorbed array<string>"
     )
     rest = untouched.withColumn("_f", F.concat_ws("\x00", "category", "key")).join(active, "_f", "left_anti").drop("_f")
-    return merged.drop("places").unionByName(rest)
+    return merged.unionByName(rest)
 
 
 def attach_locations(hits: DataFrame, locations: DataFrame) -> DataFrame:
