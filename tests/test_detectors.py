@@ -1,0 +1,84 @@
+"""Goldens of the detectors: a line and the values found in it."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracewell.functions import text as T
+from tracewell.operators import detectors as D
+
+CASES = [
+    (D.email(), "メール: foo@x.jp まで", ["foo@x.jp"]),
+    (D.email(), "メールfoo@x.jp", []),
+    (D.email(), "foo@x.jpまで", []),
+    (D.email(), "a@mail2.example.com", []),
+    (D.email(), "a@host.test", []),
+    (D.email(ignored=None), "a@host.test", ["a@host.test"]),
+    (D.JP_PHONE, "03-1234-5678", ["03-1234-5678"]),
+    (D.JP_PHONE, "090-1234-5678", ["090-1234-5678"]),
+    (D.JP_PHONE, "09012345678", ["09012345678"]),
+    (D.JP_PHONE, "(03) 1234-5678", ["03) 1234-5678"]),
+    (D.JP_PHONE, "1-03-1234-5678", []),
+    (D.JP_PHONE, "12-34", []),
+    (D.INTL_PHONE, "+81-90-1234-5678", ["+81-90-1234-5678"]),
+    (D.JP_PHONE, "+81-90-1234-5678", []),
+    (D.JP_PHONE, "+81 090-1234-5678", ["090-1234-5678"]),
+    (D.INTL_PHONE, "+81 090-1234-5678", ["+81 090-1234-5678"]),
+    (D.JP_PHONE, "+1 (017) 555-7713", ["017) 555-7713"]),
+    (D.INTL_PHONE, "+1 (017) 555-7713", ["+1 (017) 555-7713"]),
+    (D.POSTAL, "〒150-0041 東京都渋谷区神南一丁目２番３号", ["〒150-0041"]),
+    (D.ADDRESS, "〒150-0041 東京都渋谷区神南一丁目２番３号", ["東京都渋谷区神南一丁目２"]),
+    (D.ADDRESS, "東京都渋谷区神南1丁目2-3", ["東京都渋谷区神南1丁目2-3"]),
+    (D.ADDRESS, "大阪府大阪市北区梅田3-1-3 ビル", ["大阪府大阪市北区梅田3-1-3"]),
+    (D.ADDRESS, "北海道札幌市中央区", []),
+    (D.MY_NUMBER, "マイナンバー 1234-5678-9018", ["1234-5678-9018"]),
+    (D.MY_NUMBER, "マイナンバー 1234-5678-9017", []),
+    (D.MY_NUMBER, "個人番号 １２３４ ５６７８ ９０１８", ["１２３４ ５６７８ ９０１８"]),
+    (D.MY_NUMBER, "1234-5678-9018", []),
+    (D.card(), "4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    (D.card(), "5555-5555-5555-4444x", ["5555-5555-5555-4444"]),
+    (D.card(), "4111111111111111", []),
+    (D.card(), "visa 4111111111111111", ["4111111111111111"]),
+    (D.card(require_context=False), "4111111111111111", ["4111111111111111"]),
+    (D.card(), "378282246310005 amex", ["378282246310005"]),
+    (D.card(), "3782-822463-10005", []),
+    (D.BANK, "普通預金 1234567", ["普通預金 1234567"]),
+    (D.BANK, "口座番号：No.７６５４３２１", ["口座番号：No.７６５４３２１"]),
+    (D.BANK, "当座1234567", ["当座1234567"]),
+    (D.BANK, "普通 12345678", []),
+]
+
+
+def test_goldens(spark):
+    rules = list({id(r): r for r, _, _ in CASES}.values())
+    for rule in rules:
+        own = [(f"p{i}", None, 1, "text", text) for i, (r, text, _) in enumerate(CASES) if r is rule]
+        want = {(f"p{i}", v) for i, (r, _, values) in enumerate(CASES) if r is rule for v in values}
+        lines = spark.createDataFrame(own, "path string, page int, line int, kind string, text string")
+        assert {(r.path, r.value) for r in D.detect(lines, [rule]).collect()} == want, rule.name
+
+
+def test_matches_have_python_offsets(spark):
+    import re
+
+    texts = ["a1b22😀333", "", "none", "9", "12 34"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.find_matches(F.col("t"), r"\d+").alias("m")).collect()
+    for r in rows:
+        assert [(m.value, m.start) for m in r.m] == [(m.group(), m.start()) for m in re.finditer(r"\d+", r.t)]
+
+
+@pytest.mark.parametrize("n, want", [(999, "999 B"), (1000, "1.0 KB"), (30_000_000, "30.0 MB"), (5 * 10**12, "5.0 TB")])
+def test_human_size(spark, n, want):
+    assert spark.range(1).select(T.human_size(F.lit(n))).first()[0] == want
+
+
+def test_luhn_has_one_check_digit(spark):
+    rows = spark.range(50).select(F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("d"))
+    value = F.concat(F.lit("4111 1111 11"), F.lpad(F.col("id").cast("string"), 2, "0"), F.lit(" 111"), F.col("d").cast("string"))
+    counts = rows.where(T.card_valid(value)).groupBy("id").count().collect()
+    assert len(counts) == 50 and all(r["count"] == 1 for r in counts)
+
+
+def test_line_breaks_like_python(spark):
+    text = "a\r\nb\n\nc\x0bd\x1ce\x85f g\n  \nh"
+    rows = T.to_lines(spark.createDataFrame([(text,)], "text string")).collect()
+    assert [(r.line, r.text) for r in rows] == [(i, x) for i, x in enumerate(text.splitlines(), 1) if x.strip()]
