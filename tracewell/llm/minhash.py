@@ -247,9 +247,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with docs' columns."""
-    verdict = near_duplicates(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    verdict = near_duplicates(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_tracewell_dropped")).distinct()
     verdict = written(verdict, "near-duplicates")
-    return docs.join(verdict, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
+    return docs.join(verdict, docs["doc_id"].cast("long") == F.col("_tracewell_dropped"), "left_anti")
 
 
 def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
