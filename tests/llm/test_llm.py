@@ -436,7 +436,7 @@ def test_expectation_maximisation_finds_accuracies(spark):
     good = draw.random(4000) < 0.7
     right = [0.95, 0.9, 0.8, 0.7]
     rows = [[int(g) if draw.random() < p else 1 - int(g) for p in right] for g in good]
-    prior, table = quality_rules.fit(spark.createDataFrame(rows, "a int, b int, c int, d int"), list("abcd"), 60)
+    prior, table = quality_rules.fit(spark.createDataFrame(rows, "a int, b int, c int, d int"), list("abcd"), 60, 1.0)
     assert abs(prior - 0.7) < 0.05 and all(abs(table[k][1][1] - p) < 0.06 for k, p in zip("abcd", right))
 
 
