@@ -423,12 +423,13 @@ def test_rules_equal_brute_force(docs, odd, none):
     assert quality_rules.judged(none).count() == 0 and quality_rules.kept_documents(odd).columns == odd.columns
 
 
-def test_rules_agree_with_labels(spark, sf, docs):
-    docs, sf = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet"), sf.replace("0.001", "0.01")
-    out = quality_rules.judged(docs).join(spark.read.parquet(f"{sf}/labels.parquet"), F.col("_id") == F.col("doc_id")).collect()
-    good = [r for r in out if r.quality and not r.base_failed]
-    bad = [r for r in out if not r.quality]
-    assert np.mean([r.kept for r in good]) > 0.97 and np.mean([r.kept for r in bad]) < 0.5
+def test_rules_agree_with_labels(spark, sf):
+    larger = sf.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    out = quality_rules.judged(spark.read.parquet(f"{larger}/documents.parquet")).join(labels, F.col("_id") == F.col("doc_id")).collect()
+    good = [r for r in out if r.label and not r.base_failed]
+    bad = [r for r in out if not r.label]
+    assert np.mean([r.kept for r in good]) > 0.97 and np.mean([r.kept for r in bad]) < 0.1
 
 
 def test_expectation_maximisation_finds_accuracies(spark):

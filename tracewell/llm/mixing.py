@@ -85,20 +85,23 @@ def training_time(share: Column, rank: Column, schedules: Sequence[Sequence[tupl
 
 def demand(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, keep: Sequence[str] = ()) -> DataFrame:
     """Per document: size, source_size, target, taken, and the columns that copies() needs."""
-    kept = [F.col(c).alias(f"_doc_{c}") for c in keep]
-    sized = docs.select(
+    # "k..." sorts before "n", so the null source is last.
+    own = [
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), F.col("source"))).alias("_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")).alias("_md5"),
-        *kept,
-    )
-    # "k..." sorts before "n", so the null source is last.
-    sized = written(sized, "mix-sizes")
+    ]
+    sized = written(docs.select(*own), "mix-sizes")
     goal = written(targets(sized, weights, max_repeats), "mix-targets")
-    rows = sized.join(goal, "_key").withColumn("_buckets", F.ceil(F.sqrt("n")))
-    rows = rows.withColumn("_bucket", F.floor(F.conv(F.substring("_md5", 1, 8), 16, 10).cast("double") * F.col("_buckets") / F.lit(float(1 << 32))).cast("long"))
-    sums = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("_sum"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        share = F.conv(F.substring("_md5", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+        return rows.join(goal, "_key").withColumn("_bucket", F.floor(share * F.ceil(F.sqrt("n"))).cast("long"))
+
+    # Texts are not among what is written; with keep, they are read again.
+    rows = dealt(docs.select(*own, *[F.col(c).alias(f"_doc_{c}") for c in keep]) if keep else sized)
+    sums = dealt(sized).groupBy("_key", "_bucket").agg(F.sum("size").alias("_sum"))
     offsets = sums.select("_key", "_bucket", (F.sum("_sum").over(Window.partitionBy("_key").orderBy("_bucket")) - F.col("_sum")).alias("_offset"))
     inside = Window.partitionBy("_key", "_bucket").orderBy("_md5", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_inside", F.sum("size").over(inside) - F.col("size")).join(offsets, ["_key", "_bucket"])
