@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
+from tracewell.functions.tables import materialized
 from tracewell.operators import findings as G
 from tracewell.operators.detectors import DETECTORS, Detector, detect
 from tracewell.operators.merge import merge_overlapping
@@ -20,7 +21,8 @@ def lines_of(texts: DataFrame) -> DataFrame:
 
 def scan(lines: DataFrame, detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
     """Merged findings with their first locations and category labels, ranked."""
-    matches = detect(lines, detectors)
+    # Matches are few beside lines; written once, so that lines are scanned once.
+    matches = materialized(detect(lines, detectors), "matches")
     found = G.aggregate_findings(matches, keep_seq=True)
     merged = merge_overlapping(found, G.distinct_places(matches).select("category", "key", *G.PLACE))
     where = F.sort_array(F.collect_list(F.struct("nth", *G.PLACE, "kind", "context"))).alias("locations")
