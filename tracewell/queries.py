@@ -51,6 +51,12 @@ FILES_SQL = "f AS (SELECT doc_id, source AS bundle, 'doc/' || doc_id || '.txt' A
 # Sources
 
 
+@query()
+def s1_read_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the tables themselves, by name and size; content is not read."""
+    return files.read_files(spark, d).select(files.basename(F.col("path")).alias("name"), "length")
+
+
 @query(f"""WITH p AS (SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN '/home/u/.ssh/' WHEN 1 THEN '/mnt/skills/' WHEN 2 THEN '/home/u/.config/' ELSE '/data/' END || doc_id AS path FROM documents)
 SELECT path, 'refused location: ' || CASE doc_id % 20 WHEN 0 THEN '.ssh' WHEN 1 THEN '/mnt/skills' ELSE '.config' END AS reason FROM p WHERE doc_id % 20 < 3""")
 def s2_split_refused(spark: SparkSession, d: str) -> DataFrame:
@@ -115,6 +121,14 @@ def s9_add_filenames(spark: SparkSession, d: str) -> DataFrame:
     return files.add_filenames(named).select("path", "kind", "text")
 
 
+@query(r"""WITH x AS (SELECT 'd' || doc_id || '!word/document.xml' AS path, '<w:p>' || replace(text, chr(10), '</w:p><w:p>') || '</w:p>' AS t FROM documents)
+SELECT path, replace(replace(replace(replace(replace(replace(regexp_replace(replace(t, '</w:p>', chr(10)), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS text FROM x""")
+def s6_office_text(spark: SparkSession, d: str) -> DataFrame:
+    xml = F.concat(F.lit("<w:p>"), F.replace("text", F.lit("\n"), F.lit("</w:p><w:p>")), F.lit("</w:p>"))
+    parts = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("!word/document.xml")).alias("path"), F.lit("part").alias("what"), F.encode(xml, "UTF-8").alias("content"))
+    return files.office_text(parts)
+
+
 # Filters
 
 
@@ -480,6 +494,22 @@ def u1_union_matches(spark: SparkSession, d: str) -> DataFrame:
     return findings.union_matches(_bank_and_mail(spark, d), images.author_metadata(_image_meta(spark, d))).select("category", "path", "line", "value")
 
 
+@query(rf"""WITH {_FOUND}, m AS (SELECT category, key, 'regex' AS detector FROM keyed UNION ALL SELECT category, key, 'model' FROM keyed WHERE line % 2 = 0)
+SELECT category, key, array_to_string(list_sort(list_distinct(list(detector))), ',') AS detectors FROM m GROUP BY category, key""")
+def u2_union_detectors(spark: SparkSession, d: str) -> DataFrame:
+    one = _bank_and_mail(spark, d)
+    both = findings.union_matches(one, one.where("line % 2 = 0").withColumn("detector", F.lit("model")))
+    return findings.aggregate_findings(both).select("category", "key", F.array_join("detectors", ",").alias("detectors"))
+
+
+@query(f"""WITH {SQL_SYNTH} SELECT DISTINCT 'private_phone' AS category, substr(text, 9) AS key, substr(text, 5) AS host_key FROM synth WHERE line = 1""")
+def u3_places_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Findings that share a place with a longer one that contains them, by an equi-join on the place."""
+    matches = detectors.detect(synthetic_lines(spark, d), (detectors.JP_PHONE, detectors.INTL_PHONE))
+    spot = F.concat_ws("/", "path", F.col("line").cast("string")).alias("_place")
+    return merge.containing_pairs(findings.distinct_places(matches).select("category", "key", F.col("first.value").alias("value"), spot))
+
+
 # Scalar functions
 
 
@@ -561,6 +591,15 @@ def phones(spark: SparkSession, d: str) -> DataFrame:
     return report.scan(_lines(spark, d), (detectors.JP_PHONE, detectors.INTL_PHONE)).select("category", "value", "detectors", "score", "occurrences")
 
 
+@query(rf"""WITH {FILES_SQL}, {SQL_LINES}, bad AS (SELECT DISTINCT path FROM lines WHERE regexp_matches(text, '(?i:password|passwd|secret|token|api_?key)["'']? ?[:=] ?["'']?[A-Za-z0-9+/_.=\-]{{8,}}|\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b')),
+g AS (SELECT bundle, sum(length)::BIGINT AS n, bool_or(path IN (SELECT path FROM bad)) AS blocked FROM f GROUP BY bundle)
+SELECT count(*) + (SELECT count(*) FROM nation) AS roots, bool_or(n > 30000000) AS any_over_limit, count(*) FILTER (NOT blocked) AS allowed, FALSE AS upload_allowed FROM g""")
+def wl2_share_check(spark: SparkSession, d: str) -> DataFrame:
+    """The share check over all requested roots; missing roots refuse it."""
+    checked = files.size_check(*_roots(spark, d))
+    return checked.agg(F.count(F.lit(1)).alias("roots"), F.bool_or("over_limit").alias("any_over_limit"), F.count_if("upload_allowed").alias("allowed"), F.bool_and("upload_allowed").alias("upload_allowed"))
+
+
 @query(f"""WITH {FILES_SQL}, {SQL_LINES}, {REQUESTS_SQL}, bad AS (SELECT DISTINCT path FROM lines WHERE regexp_matches(text, '(?i:password|passwd|secret|token|api_?key)["'']? ?[:=] ?["'']?[A-Za-z0-9+/_.=\\-]{{8,}}|\\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\\b')),
 g AS (SELECT bundle, sum(length)::BIGINT AS size_bytes, bool_or(path IN (SELECT path FROM bad)) AS blocked FROM f GROUP BY bundle)
 SELECT id, bundle, coalesce(error, CASE WHEN size_bytes IS NULL THEN 'missing file' WHEN bundle LIKE '%1' THEN 'report missing' WHEN blocked THEN 'secrets found' END) AS refusal, coalesce(size_bytes, 0) AS size_bytes FROM r LEFT JOIN g USING (bundle)""".replace("\\\\", "\\"))
