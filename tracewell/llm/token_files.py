@@ -38,6 +38,7 @@ MAGIC = b"TWWM0001"
 FILE_TOKENS = 2_000_000
 #: Bytes of text that a range of doc_ids is planned for.
 RANGE_BYTES = 8 << 20
+RANGES_PER_BLOCK = 1024
 _SAMPLE = 512
 
 
@@ -212,12 +213,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, file_tokens:
 
         for batch in batches:
             for a, b, ids, firsts in encode.texts(batch.column("text")):
-                held.append(ids.astype(np.uint32))
-                lengths.append(np.diff(firsts))
-                names.append(batch.column("doc_id")[a:b])
-                tokens += len(ids)
-                if tokens >= file_tokens:
-                    yield close()
+                row = 0
+                while row < b - a:
+                    end = int(np.searchsorted(firsts, firsts[row] + file_tokens - tokens))
+                    end = min(max(end, row + 1), b - a)
+                    held.append(ids[firsts[row] : firsts[end]])
+                    lengths.append(np.diff(firsts[row : end + 1]))
+                    names.append(batch.column("doc_id")[a + row : a + end])
+                    tokens += int(firsts[end] - firsts[row])
+                    row = end
+                    if tokens >= file_tokens:
+                        yield close()
         if tokens:
             yield close()
 
@@ -226,8 +232,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, file_tokens:
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    order = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    based = written(files.select("range", "part", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base")), "token-bases")
+    # Positions before each file: within blocks of ranges, and of the blocks, so that no task sees all files.
+    placed = files.select("range", "part", "tokens", F.floor(F.col("range") / RANGES_PER_BLOCK).alias("block"))
+    blocks = placed.groupBy("block").agg(F.sum("tokens").alias("_sum")).select("block", (F.sum("_sum").over(Window.orderBy("block")) - F.col("_sum")).alias("_offset"))
+    inside = F.sum("tokens").over(Window.partitionBy("block").orderBy("range", "part")) - F.col("tokens")
+    based = placed.withColumn("_inside", inside).join(blocks, "block").select("range", "part", (F.col("_offset") + F.col("_inside")).alias("base"))
+    based = written(based, "token-bases")
     jobs = files.join(based, ["range", "part"]).select("name", "base", "doc_ids")
     jobs = jobs.repartition(max(1, files.count()), "name")
 
