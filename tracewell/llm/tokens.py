@@ -11,6 +11,8 @@ token is encoded in one go.
 from __future__ import annotations
 
 import functools
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,9 +41,20 @@ _MARK[ord("0") : ord("9") + 1] = False
 _MARK[_LETTER] = False
 
 
+#: A space or none, then letters: ASCII ones and those of Latin-1.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is visible in Latin-1, else the next from U+0100 on."""
+    hidden = [b for b in range(256) if b <= 0x20 or 0x7F <= b <= 0xA0 or b == 0xAD]
+    return {b: chr(0x100 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
+
+
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = byte_characters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
@@ -53,9 +66,19 @@ class Encoder:
         self.used = 0
 
     def _learn(self, pieces: list[bytes]) -> None:
-        """One call for many pieces; word_ids tells which piece an id belongs to."""
-        encoding = self.tokenizer.encode([p.decode() for p in pieces], is_pretokenized=True, add_special_tokens=False)
-        ids, sizes = np.array(encoding.ids, np.uint32), np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(pieces))
+        """Words of letters go to the vocabulary's model as they are; all else in one call with pre-tokenizing."""
+        words, rest = [], []
+        for p in pieces:
+            (words if _WORD.fullmatch(p) else rest).append(p)
+        model = self.tokenizer.model
+        lists = [[t.id for t in model.tokenize(p.decode("latin-1").translate(self.letters))] for p in words]
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        if rest:
+            encoding = self.tokenizer.encode([p.decode() for p in rest], is_pretokenized=True, add_special_tokens=False)
+            ids = np.concatenate((ids, np.array(encoding.ids, np.uint32)))
+            # word_ids tells which piece an id belongs to.
+            sizes = np.concatenate((sizes, np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(rest))))
         a, b = len(self.known), len(self.known) + len(pieces)
         if b > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, b * 2), np.resize(self.sizes, b * 2)
@@ -64,7 +87,7 @@ class Encoder:
         self.ids[self.used : self.used + len(ids)] = ids
         self.sizes[a:b] = sizes
         self.starts[a:b] = self.used + np.cumsum(sizes) - sizes
-        self.known.update(zip(pieces, range(a, b)))
+        self.known.update(zip(words + rest, range(a, b)))
         self.used += len(ids)
 
     def whole(self, text: str) -> np.ndarray:
