@@ -68,6 +68,29 @@ def test_merge_equals_the_greedy_pass(spark):
         assert merged(spark, list(found.items())) == greedy(list(found.items()))
 
 
+def test_merge_of_a_hot_value_holds_no_list_of_places(spark):
+    lines, hot = 3000, "+81 3-1234-5678"
+    found = [("c", hot, "p", i, None) for i in range(lines)] + [("c", "3-1234-5678", "p", i, None) for i in range(0, 2 * lines, 2)]
+    found += [("c", f"n{i}", "p", i, None) for i in range(lines)]
+    places = spark.createDataFrame(found, "category string, key string, path string, line int, page int")
+    findings = places.groupBy("category", "key").agg(F.count("line").alias("occurrences"))
+    findings = findings.withColumn("value", F.col("key")).withColumn("detectors", F.array(F.lit("regex"))).withColumn("score", F.lit(1.0))
+    out = merge_overlapping(findings, places)
+    assert "Pandas" not in out._jdf.queryExecution().toString()
+    assert [(r.occurrences, r.absorbed) for r in out.where(F.col("key") == hot).collect()] == [(lines + lines // 2, ["3-1234-5678"])]
+    # Of the others, n7 is in n70 to n79 and the like, but on another line.
+    assert out.where(F.col("key") != hot).agg(F.count("key"), F.sum("occurrences")).first()[:] == (lines, lines)
+
+
+def test_merge_follows_chains_of_absorbed_findings(spark):
+    draw = random.Random(6)
+    for _ in range(1):
+        found = {"".join(draw.choice("ab") for _ in range(14)): {0, 1}}
+        for _ in range(60):
+            found.setdefault("".join(draw.choice("ab") for _ in range(draw.randint(1, 7))), set()).update(draw.sample(range(25), 2))
+        assert merged(spark, list(found.items())) == greedy(list(found.items()))
+
+
 def test_budget_equals_the_greedy_pass(spark):
     draw = random.Random(5)
     rows = [(f"b{i % 3}", draw.randint(0, 4), i, "x", draw.randint(0, 30)) for i in range(300)]

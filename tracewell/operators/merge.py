@@ -1,81 +1,66 @@
 """A finding folds into a longer one of its category that contains it and shares a place.
 
 Order matters: longer findings come first, equal ones as first seen, and a host gains the places of
-what it absorbs. Places never leave a connected component of the finding-place graph, so components
-are merged independently; those without a containing pair pass through untouched.
+what it absorbs. In that order, a finding folds into the first host that contains it among the hosts
+of the earlier findings at its places; the host of one that was not absorbed is itself. Rounds apply
+this rule to all findings at once until nothing changes. As a host depends on earlier findings only,
+what rests is the result of the pass one by one. Rounds join pairs of findings; places stay rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.tables import materialized
 
 PLACE = ("path", "line", "page")
-COMPONENTS_PER_CALL = 2000
+FINDING = ["category", "key"]
 
 
 def _norm(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, r"(?U)[\s\x1c-\x1f]", ""))
 
 
-def containing_pairs(places: DataFrame) -> DataFrame:
-    """(category, key, host_key) of findings that share a place with a longer one that contains them.
+def _inside(norm: Column, host: Column) -> Column:
+    return F.contains(host, norm) & (F.length(norm) > 0)
+
+
+def containing_pairs(spots: DataFrame) -> DataFrame:
+    """(category, key, host) of findings that share a place with an earlier one that contains them.
 
     An equi-join on the place; containment is tested on its rows. A place is one line of at most
     20,000 scanned characters, which bounds the findings that meet there.
     """
-    a = places.select("category", "_place", F.col("key").alias("key"), F.col("value").alias("_v"))
-    b = places.select("category", "_place", F.col("key").alias("host_key"), F.col("value").alias("_h"))
-    inside = F.contains(_norm(F.col("_h")), _norm(F.col("_v"))) & (F.length(_norm(F.col("_v"))) > 0)
-    longer = (F.length("_h") >= F.length("_v")) & (F.col("key") != F.col("host_key"))
-    return a.join(b, ["category", "_place"]).where(longer & inside).select("category", "key", "host_key").distinct()
+    host = F.struct(F.col("rank").alias("rank"), F.col("key").alias("key"), F.col("norm").alias("norm")).alias("host")
+    at = spots.select("category", "_place", host)
+    met = spots.join(at, ["category", "_place"]).where((F.col("host.rank") < F.col("rank")) & _inside(F.col("norm"), F.col("host.norm")))
+    return met.select("category", "key", "host").distinct()
+
+
+def _later(spots: DataFrame, absorbed: DataFrame) -> DataFrame:
+    """(category, key, norm, via) of findings that share a place with an earlier absorbed one, via."""
+    at = spots.join(absorbed.select(*FINDING), FINDING, "left_semi").select("category", "_place", F.col("key").alias("via"), F.col("rank").alias("_via_rank"))
+    return spots.join(at, ["category", "_place"]).where(F.col("_via_rank") < F.col("rank")).select(*FINDING, "norm", "via").distinct()
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    """component of each finding: labels run to and fro between findings and places until they rest."""
-    labels = materialized(edges.groupBy("_f").agg(F.min("_f").alias("component")), "labels")
+def _hosts(spots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(category, key, host) of the findings that are absorbed."""
+    hosts = materialized(pairs.groupBy(*FINDING).agg(F.min("host").alias("host")), "hosts")
+    known, later = hosts.limit(0), None
     while True:
-        at_place = edges.join(labels, "_f").groupBy("_place").agg(F.min("component").alias("component"))
-        nearer = edges.join(at_place, "_place").groupBy("_f").agg(F.min("component").alias("_new"))
-        moved = materialized(labels.join(nearer, "_f").select("_f", F.least("component", "_new").alias("component"), (F.col("_new") < F.col("component")).alias("_moved")), "labels")
-        labels = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            return labels
-
-
-_MERGED = ["category", "key", "value", "detectors", "score", "occurrences", "absorbed"]
-
-
-def _fold_all(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Components of one bucket, each by itself."""
-    return pd.DataFrame([row for _, part in pdf.groupby("component") for row in _fold(part)], columns=_MERGED)
-
-
-def _fold(pdf: pd.DataFrame) -> list[tuple]:
-    """Greedy merge of one component; a place-to-hosts index finds a host without trying all."""
-    rows = sorted(pdf.itertuples(index=False), key=lambda r: (-len(r.value), r.order))
-    hosts: list[dict] = []
-    at: dict[str, list[int]] = {}
-    for r in rows:
-        norm = "".join(r.value.split()).lower()
-        near = sorted({h for p in r.places for h in at.get(p, ())})
-        home = next((h for h in near if norm and norm in hosts[h]["norm"]), None)
-        if home is None:
-            home = len(hosts)
-            hosts.append({"norm": norm, "row": r, "detectors": set(), "score": 0.0, "places": set(), "absorbed": []})
-        else:
-            hosts[home]["absorbed"].append(r.key)
-        host = hosts[home]
-        host["detectors"] |= set(r.detectors)
-        host["score"] = max(host["score"], r.score)
-        for p in r.places:
-            if p not in host["places"]:
-                host["places"].add(p)
-                at.setdefault(p, []).append(home)
-    return [(h["row"].category, h["row"].key, h["row"].value, sorted(h["detectors"]), h["score"], len(h["places"]), h["absorbed"]) for h in hosts]
+        new = materialized(_later(spots, hosts.join(known, FINDING, "left_anti")), "later")
+        later = new if later is None else later.unionByName(new)
+        known = known.select(*FINDING).union(hosts.select(*FINDING)).distinct()
+        gone = hosts.select("category", F.col("key").alias("via"), F.col("host").alias("_host"))
+        through = later.join(gone, ["category", "via"]).where(_inside(F.col("norm"), F.col("_host.norm"))).select(*FINDING, F.col("_host").alias("host"))
+        direct = pairs.withColumn("via", F.col("host.key")).join(gone, ["category", "via"], "left_anti").select(*FINDING, "host")
+        after = materialized(direct.unionByName(through).groupBy(*FINDING).agg(F.min("host").alias("host")), "hosts")
+        was = hosts.select(*FINDING, F.col("host.key").alias("_was"))
+        changed = after.join(was, FINDING, "full_outer").where(~F.col("host.key").eqNullSafe(F.col("_was")))
+        hosts = after
+        if changed.isEmpty():
+            return hosts
 
 
 def merge_overlapping(findings: DataFrame, places: DataFrame) -> DataFrame:
@@ -86,27 +71,32 @@ def merge_overlapping(findings: DataFrame, places: DataFrame) -> DataFrame:
     """
     spot = F.concat_ws("\x00", F.col("path"), F.coalesce(F.col("line"), F.lit(-1)).cast("string"), F.coalesce(F.col("page"), F.lit(-1)).cast("string"))
     seen = F.format_string("%s\x00%010d%010d%05d%010d", *[F.col(f"seq.{c}") for c in ("path", "page", "line", "rule", "start")])
-    order = (seen if "seq" in findings.columns else F.col("key")).alias("order")
-    base = findings.select("category", "key", "value", "detectors", "score", "occurrences", order)
-    spots = places.select("category", "key", spot.alias("_place")).distinct().join(base.select("category", "key", "value"), ["category", "key"])
-    spots = materialized(spots.withColumn("_f", F.concat_ws("\x00", "category", "key")), "spots")
+    order = seen if "seq" in findings.columns else F.col("key")
+    rank = F.struct((-F.length("value")).alias("shorter"), order.alias("seen"), F.col("key").alias("key")).alias("rank")
+    # Written, so that a join of a hot finding's places is split, and findings are counted once.
+    base = materialized(findings.select(*FINDING, "value", "detectors", "score", "occurrences", rank, _norm(F.col("value")).alias("norm")), "findings")
+    none = F.array().cast("array<string>")
+    shown = [*FINDING, "value", "detectors", "score", "occurrences"]
+    spots = materialized(places.select(*FINDING, spot.alias("_place")).distinct().join(base.select(*FINDING, "rank", "norm"), FINDING), "spots")
     pairs = materialized(containing_pairs(spots), "pairs")
-    untouched = base.select("category", "key", "value", "detectors", "score", "occurrences", F.array().cast("array<string>").alias("absorbed"))
     if pairs.isEmpty():
-        return untouched
-    edges = spots.select("_f", F.concat_ws("\x00", "category", "_place").alias("_place"))
-    labels = _labels(edges)
-    busy = materialized(pairs.select(F.concat_ws("\x00", "category", "key").alias("_f")).join(labels, "_f").select("component").distinct(), "busy")
-    active = materialized(labels.join(busy, "component", "left_semi"), "active")
-    grouped = spots.join(active, "_f").groupBy("component", "category", "key").agg(F.collect_list("_place").alias("places"))
-    whole = grouped.join(base.drop("occurrences"), ["category", "key"])
-    # Most components are a pair of findings: many of them go to one call.
-    buckets = max(8, busy.count() // COMPONENTS_PER_CALL)
-    merged = whole.withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).groupBy("_bucket").applyInPandas(
-        _fold_all, "category string, key string, value string, detectors array<string>, score double, occurrences long, absorbed array<string>"
-    )
-    rest = untouched.withColumn("_f", F.concat_ws("\x00", "category", "key")).join(active, "_f", "left_anti").drop("_f")
-    return merged.unionByName(rest)
+        return base.select(*shown, none.alias("absorbed"))
+    folded = _hosts(spots, pairs).select(*FINDING, F.col("host.key").alias("home"))
+    members = materialized(folded.unionByName(folded.select("category", F.col("home").alias("key"), "home").distinct()), "members")
+    # Distinct first by place, then counted: a hot host's places are spread over all tasks.
+    counts = spots.join(members, FINDING).select("category", "home", "_place").distinct().groupBy("category", "home").agg(F.count(F.lit(1)).alias("_count"))
+    facts = members.join(base, FINDING).groupBy("category", "home").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("detectors")))).alias("_detectors"),
+        F.max("score").alias("_score"),
+        F.array_sort(F.collect_list(F.when(F.col("key") != F.col("home"), F.struct("rank", "key")))).alias("_absorbed"),
+    )
+    gained = facts.join(counts, ["category", "home"]).withColumnRenamed("home", "key")
+    lost = folded.select(*FINDING)
+    kept = base.join(lost, FINDING, "left_anti").join(gained, FINDING, "left")
+    return kept.select(
+        *FINDING, "value", F.coalesce("_detectors", "detectors").alias("detectors"), F.coalesce("_score", "score").alias("score"),
+        F.coalesce("_count", "occurrences").alias("occurrences"), F.coalesce(F.col("_absorbed.key"), none).alias("absorbed"),
+    )
 
 
 def attach_locations(hits: DataFrame, locations: DataFrame) -> DataFrame:
