@@ -1,5 +1,6 @@
 import bz2
 import gzip
+import hashlib
 import io
 import tarfile
 import zipfile
@@ -121,3 +122,14 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() == 5
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fingerprint_holds_no_bundle_in_a_row(spark):
+    rows = [("big" if i % 3 else None if i % 2 else "små", f"p{i * 7919 % 3001}", i, None if i % 50 == 0 else i) for i in range(3000)]
+    out = files.fingerprint(spark.createDataFrame(rows, "bundle string, path string, length long, mtime long"))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want = {}
+    for bundle, *entry in rows:
+        want.setdefault(bundle, []).append("\x00".join(str(x) for x in entry if x is not None))
+    want = {b: hashlib.sha256(("\n".join(sorted(e)) + "\n").encode()).hexdigest() for b, e in want.items()}
+    assert {r.bundle: r.fingerprint for r in out.collect()} == want

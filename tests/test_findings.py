@@ -135,3 +135,14 @@ def test_report_is_written_and_rendered(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).count() == 2
     sections = [r.section for r in report.render_markdown(out).orderBy("n").collect()]
     assert sections[0].startswith("## 1. メールアドレス: a@b.jp") and "`p.txt L1` (text): " in sections[1]
+
+
+def test_sections_are_numbered_without_a_window_over_a_category(spark):
+    rows = [("secret" if i % 4 else "my_number", f"v{i:04d}", ["regex"], 1.0, i % 7 + 1, "label") for i in range(500)]
+    found = spark.createDataFrame(rows, "category string, value string, detectors array<string>, score double, occurrences long, category_label string")
+    found = found.withColumn("locations", F.array(F.struct(F.lit("p").alias("path"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("page"), F.lit("text").alias("kind"), F.lit("c").alias("context"))))
+    out = report.render_markdown(found)
+    assert "windowspecdefinition(category" not in out._jdf.queryExecution().toString()
+    got = [(r.n, r.section.split("\n")[0]) for r in out.orderBy("n").collect()]
+    want = sorted(rows, key=lambda r: (r[0], -r[4], r[1]))
+    assert got == [(i, f"## {i}. label: {r[1]}") for i, r in enumerate(want, 1)]

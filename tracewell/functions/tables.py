@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
@@ -20,3 +21,19 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/tracewell-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_ranges(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df sorted over range partitions, with _at: partition in the upper bits, row in it in the lower 33."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+
+
+def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Adds n, from 1, in order: the row in its range partition and the counts of the partitions before."""
+    part = F.shiftright("_at", 33).alias("_range")
+    rows = materialized(in_ranges(df, *order), "ranges").withColumn("_range", part)
+    # One row for each partition.
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select("_range", (F.sum("_c").over(Window.orderBy("_range")) - F.col("_c")).alias("_before"))
+    return rows.join(F.broadcast(before), "_range").withColumn("n", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_range", "_before", "_at")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.functions.tables import materialized
+from tracewell.functions.tables import materialized, numbered
 from tracewell.operators import findings as G
 from tracewell.operators.detectors import DETECTORS, Detector, detect
 from tracewell.operators.merge import merge_overlapping
@@ -55,8 +55,6 @@ def render_markdown(findings: DataFrame) -> DataFrame:
     )
     head = F.format_string("%s: %s", "category_label", "value")
     facts = F.format_string("detectors: %s / score %s / %d occurrence(s)", F.array_join("detectors", ", "), F.col("score").cast("string"), "occurrences")
-    numbered = findings.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("occurrences"), "value")))
-    before = findings.groupBy("category").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("category")) - F.col("_c"))
-    numbered = numbered.join(F.broadcast(before), "category").withColumn("n", F.col("n") + F.col("_before"))
+    rows = numbered(findings, F.col("category"), F.desc("occurrences"), F.col("value"))
     lines = F.concat(F.array(F.concat(F.lit("## "), F.col("n").cast("string"), F.lit(". "), head), facts), F.transform("locations", spot), F.array(F.lit("")))
-    return numbered.select("n", F.array_join(lines, "\n").alias("section"))
+    return rows.select("n", F.array_join(lines, "\n").alias("section"))

@@ -41,7 +41,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files: bundle, path, length, mtime."""
     i = F.col("doc_id")
     return table(spark, d, "documents").select(
-        "doc_id", F.col("source").alias("bundle"), doc_path().alias("path"), (F.octet_length("text") * F.when(i % 97 == 0, 40_000).otherwise(1)).cast("long").alias("length"), (i * 1000 + 7).alias("mtime"), "text"
+        "doc_id", F.col("source").alias("bundle"), doc_path().alias("path"), (F.octet_length("text").cast("long") * F.when(i % 97 == 0, 40_000).otherwise(1)).cast("long").alias("length"), (i * 1000 + 7).alias("mtime"), "text"
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import hashlib
 import io
 import lzma
 import re
@@ -19,6 +20,7 @@ from pyspark.sql.types import StringType
 
 from tracewell.functions import patterns as P
 from tracewell.functions import text as T
+from tracewell.functions.tables import in_ranges, materialized
 
 REFUSED = {
     "/mnt/skills": r"(?:^|/)mnt/skills(?:/|$)",
@@ -248,10 +250,50 @@ def size_check(requested: DataFrame, files: DataFrame, blocked_paths: DataFrame)
     )
 
 
+FINGERPRINT_BLOCK = 8192
+
+
+def _entry_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bundle, at, block): runs of one bundle's sorted entries, each entry with its line end."""
+    for batch in batches:
+        rows, held, size = [], [], 0
+        bundles, ats, entries = (batch.column(i).to_pylist() for i in range(3))
+        for i, entry in enumerate(entries):
+            held.append(entry.encode() + b"\n")
+            size += len(held[-1])
+            if size >= FINGERPRINT_BLOCK or i + 1 == len(entries) or bundles[i + 1] != bundles[i]:
+                rows.append((bundles[i], ats[i], b"".join(held)))
+                held, size = [], 0
+        columns = zip(*rows) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()))], ["bundle", "at", "block"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running SHA-256 over the sorted blocks of each bundle."""
+    started, bundle, digest = False, None, hashlib.sha256()
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([bundle], pa.string()), pa.array([digest.hexdigest()], pa.string())], ["bundle", "fingerprint"])
+    for batch in batches:
+        for name, block in zip(batch.column(0), batch.column(1)):
+            if started and name.as_py() != bundle:
+                yield done()
+                digest = hashlib.sha256()
+            started, bundle = True, name.as_py()
+            digest.update(block.as_py())
+    if started:
+        yield done()
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
-    """A4: SHA-256 per bundle over its sorted entries path, size and time; entries only, never content."""
+    """A4: SHA-256 per bundle over its sorted entries path, size and time; entries only, never content.
+
+    Entries are sorted over range partitions and joined to blocks; a digest takes the blocks of its
+    bundle one after the other, so that no row or task holds a bundle.
+    """
     entry = F.concat_ws("\x00", "path", F.col("length").cast("string"), F.col("mtime").cast("string"))
-    return files.groupBy("bundle").agg(F.sha2(F.concat(F.array_join(F.sort_array(F.collect_list(entry)), "\n"), F.lit("\n")), 256).alias("fingerprint"))
+    sorted_ = in_ranges(files.select(F.col("bundle").cast("string").alias("bundle"), entry.alias("entry")), "bundle", "entry")
+    blocks = materialized(sorted_.select("bundle", "_at", "entry").mapInArrow(_entry_blocks, "bundle string, at long, block binary"), "entries")
+    dealt = blocks.repartition("bundle").sortWithinPartitions("bundle", "at").select("bundle", "block")
+    return dealt.mapInArrow(_digests, "bundle string, fingerprint string")
 
 
 def content_sha256(files: DataFrame) -> DataFrame:
