@@ -2,18 +2,19 @@
 regression trained by follow-the-regularised-leader with elastic-net penalties, and a temperature
 fitted on rows that training did not see.
 
-Document frequencies count all learnable documents. The regression learns from a sample bounded by
-SAMPLE, and each of SHARDS tasks from its own part of it.
-
-Defined cases: null text and text without a letter are "und" with score 0, as is everything if
-there is nothing to learn from; rows without doc_id are neither held out nor learned from; repeated
-rows get equal predictions; an empty table gives an empty result; other columns of the input are
-ignored.
+Document frequencies count all learnable documents. The regression learns from a sample of at most
+SAMPLE distinct texts, and each of SHARDS tasks from its own part of it; copies of a text count once
+there, however many there are.
+
+Defined cases: null text and text without a letter (as str.isalpha() has it) are "und" with score 0,
+as is everything if there is nothing to learn from; very long texts are counted whole, by one task
+each, in memory of a few times the text; rows without doc_id are neither held out nor learned from;
+repeated rows get equal predictions and do not crowd out others of the sample; an empty table gives
+an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,22 +32,29 @@ SAMPLE = 6000
 SHARDS = 6
 EPOCHS = 2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _HASH = (2654435761, 2246822519, 3266489917)
 
 
-def ngram_counts(text: str, bits: int = BITS, orders: int = ORDERS) -> np.ndarray:
-    """How often each bucket occurs among the n-grams of a text, case folded, from 1 to orders characters."""
+def ngram_counts(text: str, bits: int = BITS, orders: int = ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text's n-grams, case folded, from 1 to orders characters, and how often each occurs."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.zeros(1 << bits, np.int64)
     code = np.zeros(len(points), np.uint32)
+    found = [np.zeros(0, np.uint32)]
     for k in range(orders):
         if len(points) <= k:
             break
         code = (code[: len(points) - k] * np.uint32(_HASH[0])) ^ (points[k:] * np.uint32(_HASH[1]))
-        bucket = (code + np.uint32(k)) * np.uint32(_HASH[2]) >> np.uint32(32 - bits)
-        out += np.bincount(bucket, minlength=1 << bits)
-    return out
+        found.append((code + np.uint32(k)) * np.uint32(_HASH[2]) >> np.uint32(32 - bits))
+    buckets = np.concatenate(found)
+    if len(buckets) * 8 < 1 << bits:
+        return np.unique(buckets, return_counts=True)
+    counts = np.bincount(buckets, minlength=1 << bits)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 @dataclass
@@ -57,12 +65,12 @@ class Model:
     temperature: float = 1.0
 
     def logits(self, text: str) -> np.ndarray:
-        x = ngram_counts(text) * self.idf
-        norm = np.sqrt(x @ x)
-        return (x @ self.weights) / (norm or 1.0)
+        at, n = ngram_counts(text)
+        x = n * self.idf[at]
+        return (x @ self.weights[at]) / (np.sqrt(x @ x) or 1.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         z = self.logits(text) / self.temperature
         e = np.exp(z - z.max())
@@ -101,7 +109,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, epochs: int
         seen, rows = np.zeros(1 << BITS, np.int64), 0
         for pdf in batches:
             for text in pdf["text"]:
-                seen += ngram_counts(text) > 0
+                seen[ngram_counts(text)[0]] += 1
             rows += len(pdf)
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"at": np.append(at, -1).astype("int32"), "n": np.append(seen[at], rows)})
@@ -111,7 +119,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, epochs: int
     idf = np.zeros(1 << BITS)
     counts = counts[counts["at"] >= 0]
     idf[counts["at"].to_numpy()] = np.log((1 + rows) / (1 + counts["n"].to_numpy())) + 1
-    languages = sorted(r[0] for r in usable.groupBy("lang").count().select("lang").collect()) if rows else []
+    # Equal texts of a language have equal ranks, so a rank stands for all copies of a text.
+    rank = F.xxhash64("text", "lang", F.lit(1))
+    facts = usable.agg(F.collect_set("lang").alias("languages"), F.approx_count_distinct(rank, 0.02).alias("texts")).first()
+    languages = sorted(facts["languages"])
     if not languages:
         return Model([], idf, np.zeros((1 << BITS, 0)))
     number = {name: k for k, name in enumerate(languages)}
@@ -122,16 +133,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, epochs: int
         for pdf in batches:
             out = {"target": [], "at": [], "values": []}
             for text, lang in zip(pdf["text"], pdf["lang"]):
-                x = ngram_counts(text) * idf
-                at = np.flatnonzero(x)
+                at, n = ngram_counts(text)
+                x = n * idf[at]
                 out["target"].append(number[lang])
                 out["at"].append(at.astype("int32"))
-                out["values"].append((x[at] / (np.sqrt((x[at] ** 2).sum()) or 1.0)).astype("float32"))
+                out["values"].append((x / (np.sqrt(x @ x) or 1.0)).astype("float32"))
             yield pd.DataFrame({"rank": pdf["rank"], **out})
 
-    rank = F.xxhash64("doc_id", "text", F.lit(1))
-    part = 1.0 if rows <= sample else 1.5 * sample / rows
+    part = min(1.0, 1.5 * sample / facts["texts"])
     near = usable.withColumn("rank", rank).where(F.pmod("rank", F.lit(1 << 30)) < int(part * (1 << 30)))
+    near = near.groupBy("rank").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
     drawn = near.select("rank", "text", "lang").mapInPandas(vectors, "rank long, target int, at array<int>, values array<float>")
     drawn = written(drawn, "language-sample").orderBy("rank").limit(sample)
     drawn = written(drawn.withColumn("shard", F.pmod("rank", F.lit(shards + 1)).cast("int")), "language-rows")
