@@ -6,12 +6,14 @@ small letters, capitals, digits and each mark), so that forms of junk are known
 a word that repeats the one before it counts as a shape of its own. A value is the root of the
 n-gram's share, so that rows have length one.
 
-Training takes at most SAMPLE labelled documents, and each of SHARDS tasks its own part of them.
+Training takes at most SAMPLE labelled documents, one row for each doc_id, and each of SHARDS tasks
+its own part of them.
 
 Defined cases: null and empty texts have no n-grams and get the score of the bias; without labels
 every score is 0.5; rows without doc_id are neither held out nor learned from; of several labels of
-a document the smallest counts; repeated rows get equal scores; an empty table gives an empty
-result; other columns of the input are ignored.
+a document the smallest counts, and of several texts the least; very long texts are counted whole, by
+one task each; repeated rows get equal scores and are learned from once; an empty table gives an
+empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int =
                 lists = [pa.array([r[k] for r in rows], t) for k, t in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.float64())))]
                 yield pa.RecordBatch.from_arrays([batch.column("rank")[a:b], batch.column("target")[a:b], *lists], ["rank", "target", "at", "values"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, "doc_id").select("rank", "target", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, "doc_id").groupBy("rank", "target").agg(F.min("text").alias("text"))
     rows = texts.mapInArrow(vectors, "rank long, target int, at array<long>, values array<double>")
     rows = written(rows.withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")), "quality-rows")
     return train(rows, 1 << BITS, 1, epochs, alpha=1.0, l1=1e-3, l2=1e-3)[:, 0]
