@@ -7,13 +7,31 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import written
 
+#: Copies of one row that a task writes out at a time.
+STRETCH = 1 << 16
+
+
+def each_copy(groups: DataFrame, copies: str, name: str) -> DataFrame:
+    """A row for each of the copies that a group counts, numbered from 0 in column name.
+
+    Groups beyond a stretch are dealt to all tasks stretch by stretch, so that no task or array holds
+    a large group. groups is read twice and should be a written table.
+    """
+    n = F.col(copies)
+    few = groups.where(n <= STRETCH).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    parts = groups.where(n > STRETCH).withColumn("_stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / STRETCH))))
+    first = F.col("_stretch") * STRETCH
+    many = parts.repartition(F.col("_stretch")).withColumn(name, F.explode(F.sequence(first, F.least(first + STRETCH, n) - 1))).drop("_stretch")
+    return few.unionByName(many)
+
 
 def number_rows(df: DataFrame, key: list[str], within: str | None = None) -> DataFrame:
     """Adds row, from 0, over the whole table or within each value of a column.
 
     df must hold nothing but key and within. Equal rows are counted before the shuffle. The n rows
     of a group are dealt into about sqrt(n) buckets by hash, so that neither the largest bucket nor
-    a group's table of buckets grows faster than sqrt(n), however large one group is.
+    a group's table of buckets grows faster than sqrt(n), however large one group is. A row that is
+    repeated takes a stretch of numbers, which is written out in parts.
     """
     group = within or "_all"
     if not within:
@@ -27,4 +45,5 @@ def number_rows(df: DataFrame, key: list[str], within: str | None = None) -> Dat
     placed = dealt.withColumn("_before", F.sum("_copies").over(inside) - F.col("_copies")).join(offsets, [group, "_bucket"])
     start = F.col("_offset") + F.col("_before")
     keep = [within, *key] if within else key
-    return placed.select(*keep, F.explode(F.sequence(start, start + F.col("_copies") - 1)).alias("row"))
+    placed = written(placed.select(*keep, start.alias("_start"), "_copies"), "row-starts")
+    return each_copy(placed, "_copies", "_copy").select(*keep, (F.col("_start") + F.col("_copy")).alias("row"))

@@ -6,8 +6,9 @@ p mod shards and slot p div shards, so a row's place is computable from its numb
 from a place, with no table of the shuffle.
 
 Defined cases: null text has no bytes (size 1, CRC of nothing); null doc_id rows are numbered like
-others; repeated rows are interchangeable and each gets a number of its own; an empty table gives
-an empty result; other columns of the input are ignored.
+others; repeated rows are interchangeable and each gets a number of its own, in parts where they are
+many; of a very long text only size and CRC are shuffled; an empty table gives an empty result; other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
