@@ -431,14 +431,52 @@ def test_audio_round_trip(odd, none, monkeypatch):
         want[r.doc_id, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), hashlib.sha256(audio.wav_file(padded)).hexdigest()] += 1
     assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) for r in out) == want
     assert audio.digests(audio.store(none)).count() == 0
-    assert audio.pcm_column(audio.store(odd)).count() == odd.count()
 
 
-def test_parts_do_not_change_features(monkeypatch):
+def plain_pcm(samples):
+    """Twice the rate by the filter's definition, in whole numbers."""
+    out, last = [], len(samples) - 1
+    for i, x in enumerate(samples):
+        total = sum(int(h) * (samples[max(i - k, 0)] + samples[min(i + 1 + k, last)]) for k, h in enumerate(audio.FILTER))
+        out += [x, max(-32768, min(32767, (total + (1 << 14)) >> 15))]
+    return out
+
+
+def plain_feature(payload):
+    rows = [("mulaw", audio.MULAW[list(payload)]), ("alaw", audio.ALAW[list(payload)]), ("adpcm", audio.decode_adpcm(np.frombuffer(payload, np.uint8).reshape(-1, 64)).ravel())]
+    out = []
+    for name, samples in rows:
+        pcm = np.array(plain_pcm([int(x) for x in samples]), "<i2")
+        out.append(f"{name}={len(pcm)},{int(np.abs(pcm.astype(int)).sum()) // len(pcm)},{zlib.crc32(pcm.tobytes()):08x}")
+    return ";".join(out)
+
+
+def test_features_equal_a_plain_version_in_any_parts(odd, monkeypatch):
     payloads = [bytes(np.random.default_rng(k).integers(0, 256, 64 * n, dtype=np.uint8)) for k, n in enumerate((1, 40, 7))]
-    whole = audio.features(payloads)
-    monkeypatch.setattr(audio, "PART_BYTES", 128)
-    assert audio.features(payloads) == whole and audio.features(payloads[1:]) == whole[1:]
+    want = [plain_feature(p) for p in payloads]
+    for size in (audio.PART_BYTES, 128, 64):
+        monkeypatch.setattr(audio, "PART_BYTES", size)
+        assert audio.features(payloads, audio.pcm_of(payloads)) == want
+    texts = {audio.padded((r.text or "").encode()) for r in pairs_of(odd.where("length(text) < 300 OR text IS NULL"))}
+    features = {r.feature for r in audio.digests(audio.store(odd)).collect()}
+    assert {plain_feature(t) for t in texts} <= features
+
+
+def test_the_filter_keeps_a_tone():
+    t = np.arange(400)
+    tone = lambda t: 20000 * np.sin(0.3 * t)
+    between = audio.between(np.rint(tone(t)).astype(np.int32), np.array([400]))
+    assert np.abs(between[20:-20] - tone(t[20:-20] + 0.5)).max() < 20
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 8191, 8192, 20001])
+def test_stored_pcm_is_any_pcm(n):
+    noise = np.random.default_rng(n).integers(-32768, 32768, n).astype("<i2")
+    assert (audio.unpack_pcm(audio.pack_pcm(noise)) == noise).all()
+    codes = audio.MULAW[np.random.default_rng(n).integers(0, 256, n)].astype(np.int32)
+    pcm = audio.resample(codes, np.array([n])) if n else np.zeros(0, "<i2")
+    packed = audio.pack_pcm(pcm)
+    assert (audio.unpack_pcm(packed) == pcm).all() and len(packed) <= n + 10 + n // 4096
 
 
 # Sharding
