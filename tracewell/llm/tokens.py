@@ -5,13 +5,15 @@ has a visible character after it: it either ends a run of spaces there or starts
 Nor does it join an ASCII letter with an ASCII punctuation mark after it. So a text may be cut
 before each such space and each such mark, and the pieces encoded apart. Pieces are found in numpy
 over Arrow buffers and their ids kept from batch to batch. A text with the literal of a special
-token is encoded in one go.
+token is encoded in one go, and so is every text if the vocabulary's file states another
+pre-tokenizer, a normalizer or a model that takes words otherwise (cuts_hold).
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -51,9 +53,18 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(0x100 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
 
 
+def cuts_hold(stated: dict) -> bool:
+    """Whether a vocabulary's file states the byte-level pre-tokenizer for which the cuts are right, and plain byte-pair encoding."""
+    before, model = stated.get("pre_tokenizer") or {}, stated.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    odd = [model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+    return bool(plain and stated.get("normalizer") is None and model.get("type", "BPE") == "BPE" and not any(odd) and not stated.get("truncation") and not stated.get("padding"))
+
+
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.in_pieces = cuts_hold(json.loads(self.tokenizer.to_str()))
         self.letters = byte_characters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
@@ -104,7 +115,7 @@ class Encoder:
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, one after the other, and each row's first position (rows + 1 numbers)."""
         raw = data.tobytes()
-        if any(s.encode() in raw for s in self.special):
+        if not self.in_pieces or any(s.encode() in raw for s in self.special):
             parts = [self.whole(raw[a:b].decode()) for a, b in zip(offsets[:-1], offsets[1:])]
             return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         if len(data) == 0:
@@ -141,4 +152,4 @@ def encoder(path: str) -> Encoder:
 
 
 def crc32_of(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
