@@ -609,35 +609,72 @@ def test_token_files_round_trip(spark, docs, odd, none, tmp_path):
     e = encoder(token_files.default_tokenizer())
     for k, df in enumerate((docs, odd)):
         folder = f"file://{tmp_path}/{k}"
-        files = token_files.write_token_files(df, token_files.default_tokenizer(), folder, file_tokens=20_000)
-        out = token_files.read_token_files(files, folder).orderBy("start").collect()
-        assert files.count() > 1 or k
+        token_files.write_token_files(df, token_files.default_tokenizer(), folder, file_tokens=20_000)
+        out = token_files.read_token_files(spark, folder).orderBy("start").collect()
+        assert spark.read.parquet(f"{folder}/index").count() > 1 or k
         ids = [r.doc_id for r in out]
         assert ids == sorted(ids, key=lambda i: -1 if i is None else i)
         want = collections.Counter()
         for r in pairs_of(df):
             own = np.array(e.tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0], np.uint32)
-            want[r.doc_id, len(own), crc32_of(own)] += 1
-        assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
+            want[r.doc_id, len(own), crc32_of(own), int((own == 0).sum())] += 1
+        assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32, r.n_end_ids) for r in out) == want
         upto = 0
         for r in out:
             assert r.start == upto
             upto += r.n_tokens
-    files = token_files.write_token_files(none, token_files.default_tokenizer(), f"file://{tmp_path}/none")
-    assert token_files.read_token_files(files, f"file://{tmp_path}/none").count() == 0
-
-
-@pytest.mark.parametrize("compress", [False, True])
-def test_wavelet_matrix(compress):
-    ids = np.random.default_rng(1).integers(0, 50257, 3000).astype(np.uint32)
-    ids[100:900] = 7
-    m = token_files.WaveletMatrix(token_files.pack(ids, np.array([0, 10, 3000]), 0, compress))
-    assert (m.all_ids() == ids).all() and all(m.access(i) == ids[i] for i in range(0, 3000, 17))
-    at = np.flatnonzero(ids == 7)
-    assert m.count(7) == len(at) and m.rank(7, 500) == (ids[:500] == 7).sum() and [m.select(7, k) for k in range(0, len(at), 31)] == at[::31].tolist()
-    assert m.count(60000) == 0 and m.count(1 << 20) == 0 and m.document_of(9) == 0 and m.document_of(10) == 1
-    with pytest.raises(ValueError):
-        token_files.WaveletMatrix(token_files.pack(ids, np.array([0, 3000]), 0)[:-9] + b"123456789")
+            assert r.end_at == upto - 1
+    token_files.write_token_files(none, token_files.default_tokenizer(), f"file://{tmp_path}/none")
+    assert token_files.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("top, n", [(50257, 3000), (1, 300), (2, 700_000), (70_000, 600_000)])
+def test_wavelet_matrix(top, n):
+    import pyarrow as pa
+
+    ids = np.random.default_rng(1).integers(0, top, n).astype(np.uint32)
+    ids[100:200] = 7 % top
+    raw = token_files.pack(ids, np.array([10, n - 10]), pa.array([None, 5], pa.int64()))
+    m = token_files.WaveletMatrix(raw)
+    at = np.arange(0, n, max(n // 200, 1))
+    assert (m.access(at) == ids[at]).all() and m.doc_ids.to_pylist() == [None, 5]
+    assert n < 100_000 or len(m.blocks) <= m.planes * m.per_plane
+    for token in {7 % top, int(ids[n // 2])}:
+        where = np.flatnonzero(ids == token)
+        assert m.count(token) == len(where) and (m.rank(token, at) == np.searchsorted(where, at)).all()
+        some = np.arange(0, len(where), max(len(where) // 50, 1))
+        assert (m.select(token, some) == where[some]).all()
+    assert (m.all_ids() == ids).all()
+    assert m.count(1 << 20) == 0 and m.document_of(9) == 0 and m.document_of(10) == 1
+    for broken in (raw[:-9] + b"123456789", raw[:60] + b"12345" + raw[65:], b"x" + raw[1:]):
+        with pytest.raises(ValueError):
+            token_files.WaveletMatrix(broken).all_ids()
+
+
+def test_a_lookup_opens_few_blocks():
+    import pyarrow as pa
+
+    ids = np.random.default_rng(1).integers(0, 50257, 1_500_000).astype(np.uint32)
+    raw = token_files.pack(ids, np.array([len(ids)]), pa.array([1]))
+    m = token_files.WaveletMatrix(raw)
+    assert m.access([1_000_000])[0] == ids[1_000_000] and len(m.blocks) <= m.planes < m.planes * m.per_plane
+    same = token_files.pack(np.full(1_500_000, 9, np.uint32), np.array([len(ids)]), pa.array([1]))
+    assert len(same) < len(raw) / 50
+
+
+def test_another_tokenizer_encodes_whole_texts(tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    stated = json.load(open(token_files.default_tokenizer()))
+    stated["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(stated))
+    e = encoder(str(tmp_path / "t.json"))
+    assert not e.in_pieces and encoder(token_files.default_tokenizer()).in_pieces
+    texts = ["one two", "x.y", ""]
+    ((_, _, ids, first),) = e.texts(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [e.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
 
 
 def test_pieces_encode_like_whole_texts():
