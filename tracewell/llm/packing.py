@@ -6,35 +6,46 @@ at most one for each length a document can have and one for each stretch of like
 the number of documents; only the rank of a document within its length is a pass over all of them.
 
 A round:
-1. Documents larger than every gap open sequences: all above half a sequence, else the largest, as
-   many as their total needs.
-2. A sweep from the largest size down decides which documents get a gap: larger ones rank first.
-3. A sweep from the smallest size up hands each of these the next gap at least as large, in order.
-4. Gaps are updated. Documents without a gap go into the next round.
-Sizes above a half, above a quarter and below enter one after the other, so that small documents
-do not take the gaps of larger ones.
+1. Documents and gaps are dealt into RANGES ranges of sizes. In each range, a task of its own, a sweep
+   from the largest size down gives each document its successor, the smallest gap at least as large.
+   Where several documents want a gap, rank decides: the larger document, then the lower number.
+2. What a document leaves of a gap is a gap again, in the same sweep where its size is still ahead.
+3. Documents without a gap and gaps without a document go on to the sweep of FAN neighbouring ranges
+   together, and so on up to all ranges. A sweep takes gaps last in, first out, as brackets are
+   matched, so sweeping ranges first and then what they leave is one sweep over everything.
+4. Documents that found no gap open sequences, the largest first: all above half a sequence, else as
+   many sequences as the total of the others needs. Their gaps and the other documents go into the next
+   round.
+
+Bounds: a step of a sweep uses up a run of documents or a run of gaps, and only the former splits a
+run of gaps. So there are never more stretches of gaps than runs of documents and openings, at most
+about twice the capacity, for any number of documents, rounds and ranges.
 
 Defined cases: null text is empty and has only the end id; only documents longer than a sequence
-are cut, into full sequences after a first piece that may be shorter; repeated rows are packed as
-often as they occur; an empty table gives an empty result; other columns of the input are ignored.
+are cut, into full sequences after a first piece that may be shorter; a very long text is encoded by
+one task, in memory of a few times the text; repeated rows are packed as often as they occur; an
+empty table gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import heapq
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import fresh_path, written
+from tracewell.llm.common import written
 from tracewell.llm.numbering import number_rows
 from tracewell.llm.token_files import default_tokenizer
 from tracewell.llm.tokens import crc32_of, encoder
 
 CAPACITY = 2048
-#: Rows of placements up to which they are broadcast; they depend on CAPACITY and the rounds, not on the documents.
+#: Rows of placements up to which they are broadcast; they depend on CAPACITY, not on the documents.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -63,102 +74,93 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return plain.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-_STATE = "kind string, size long, n long, at long, bin long, offset long"
-
-
-def _rows(*rows: tuple[Column, list[Column]]) -> Column:
-    """One output row for each condition that holds."""
-    names = ["kind", "size", "n", "at", "bin", "offset"]
-    made = [F.when(when, F.struct(*[v.alias(k) for k, v in zip(names, values)])) for when, values in rows]
-    return F.explode(F.array_compact(F.array(*made))).alias("r")
-
-
-def _round(state: DataFrame, low: int, bins: int, capacity: int) -> DataFrame:
-    """The state after a round, in one chain of sweeps over runs.
-
-    kind doc: n documents of that size, numbered from at; wait: the same, but too small for this
-    phase. kind gap: n sequences with that much room, from bin on. kind put: the documents numbered
-    from at go to the sequences from bin on at offset.
-    """
-    col, zero = F.col, F.lit(0).cast("long")
-    doc, gap = col("kind") == "doc", col("kind") == "gap"
-    count = lambda when, value: F.when(when, value).otherwise(zero)
-    one = Window.partitionBy(F.lit(0))
-    sweep = lambda *order: one.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = state.withColumn("kind", F.when(gap, "gap").when(col("size") > low, "doc").otherwise("wait"))
-
-    # 1. open
-    rows = rows.withColumn("room", F.coalesce(F.max(F.when(gap, col("size"))).over(one), zero))
-    tall = doc & (col("size") > col("room"))
-    big = F.sum(count(tall & (col("size") > capacity // 2), col("n"))).over(one)
-    total = F.ceil(F.sum(count(tall, col("size") * col("n"))).over(one) / capacity)
-    before = F.sum(count(tall, col("n"))).over(sweep(F.desc("size"), F.desc("kind"), "at", "bin")) - count(tall, col("n"))
-    rows = rows.withColumn("need", F.when(big > 0, big).otherwise(total)).withColumn("before", before)
-    rows = rows.withColumn("open", count(tall, F.greatest(zero, F.least(col("n"), col("need") - col("before")))))
-    fresh, first = col("open") > 0, F.lit(bins).cast("long") + col("before")
-    rows = rows.select(_rows(
-        (fresh, [F.lit("put"), col("size"), col("open"), col("at"), first, zero]),
-        (fresh & (col("size") < capacity), [F.lit("gap"), capacity - col("size"), col("open"), zero, first, zero]),
-        (col("n") > col("open"), [col("kind"), col("size"), col("n") - col("open"), col("at") + col("open"), col("bin"), zero]),
-    )).select("r.*")
-
-    # 2. from the largest down: who gets a gap. A level below zero counts documents that found none.
-    down = sweep(F.desc("size"), F.desc("kind"), "at", "bin")
-    rows = rows.withColumn("level", F.sum(F.when(gap, col("n")).when(doc, -col("n")).otherwise(zero)).over(down))
-    rows = rows.withColumn("short", F.least(F.min("level").over(down), zero))
-    short = F.coalesce(F.lag("short").over(one.orderBy(F.desc("size"), F.desc("kind"), "at", "bin")), zero) - col("short")
-    rows = rows.withColumn("got", F.when(doc, col("n") - short).when(gap, col("n")).otherwise(zero))
-
-    # 3. from the smallest up: which gap each takes. A queue below zero counts gaps that were not needed.
-    up = sweep("size", "kind", "at", "bin")
-    rows = rows.withColumn("queue", F.sum(F.when(gap, -col("got")).otherwise(col("got"))).over(up))
-    rows = rows.withColumn("idle", F.least(F.min("queue").over(up), zero))
-    idle = F.coalesce(F.lag("idle").over(one.orderBy("size", "kind", "at", "bin")), zero) - col("idle")
-    rows = rows.withColumn("used", F.when(gap, col("n") - idle).otherwise(col("got")))
-    rows = rows.withColumn("x", F.sum("used").over(Window.partitionBy("kind").orderBy("size", "at", "bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - col("used"))
-
-    # Both sides count the same matches from 0: cut that line wherever a run of either side starts.
-    taking = col("used") > 0
-    along = one.orderBy(F.when(taking, col("x")).asc_nulls_last())
-    peers = along.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    for kind in ("doc", "gap"):
-        rows = rows.withColumn(kind, F.last(F.when(taking & (col("kind") == kind), F.struct("size", "at", "bin", "x", "used")), True).over(peers))
-    place = F.when(taking, col("x"))
-    rows = rows.withColumn("first", ~F.coalesce(F.lag(place).over(along) == place, F.lit(False)) & taking)
-    rows = rows.withColumn("next", F.min(place).over(along.rangeBetween(1, Window.unboundedFollowing)))
-    n = F.coalesce("next", col("doc.x") + col("doc.used")) - col("x")
-    to = col("gap.bin") + col("x") - col("gap.x")
-
-    # 4. update
-    kept = col("n") - col("used")
-    return rows.select(_rows(
-        (kept > 0, [col("kind"), col("size"), kept, F.when(doc, col("at") + col("used")).otherwise(col("at")), F.when(gap, col("bin") + col("used")).otherwise(col("bin")), col("offset")]),
-        (col("first"), [F.lit("put"), col("doc.size"), n, col("doc.at") + col("x") - col("doc.x"), to, capacity - col("gap.size")]),
-        (col("first") & (col("gap.size") > col("doc.size")), [F.lit("gap"), col("gap.size") - col("doc.size"), n, zero, to, zero]),
-    )).select("r.*")
+#: kind doc: n documents of a size, numbered from at. kind gap: n sequences with a room of that size from
+#: bin on. kind put: the documents numbered from at go to the sequences from bin on, at offset.
+_STATE = "kind string, size long, n long, at long, bin long, offset long, cell int"
+RANGES = 16
+FAN = 4
+
+Run = tuple[str, int, int, int, int, int]
+
+
+def sweep(runs: Iterable[Run], capacity: int) -> list[Run]:
+    """Matches documents with gaps, from the largest size down; returns placements and what is left of both."""
+    order = lambda kind, size, n, at, bin, offset: (-size, kind == "doc", at, bin, n)
+    ahead = [(order(*r), r) for r in runs if r[0] != "put"]
+    heapq.heapify(ahead)
+    out = [r for r in runs if r[0] == "put"]
+    gaps: list[tuple[int, int, int]] = []
+    while ahead:
+        kind, size, n, at, bin, _ = heapq.heappop(ahead)[1]
+        if kind == "gap":
+            gaps.append((size, n, bin))
+        elif not gaps:
+            out.append(("doc", size, n, at, 0, 0))
+        else:
+            room, held, first = gaps.pop()
+            k = min(n, held)
+            out.append(("put", size, k, at, first, capacity - room))
+            rest = [("gap", room - size, k, 0, first, 0)] if room > size else []
+            if held > k:
+                gaps.append((room, held - k, first + k))
+            if n > k:
+                rest.append(("doc", size, n - k, at + k, 0, 0))
+            for r in rest:
+                heapq.heappush(ahead, (order(*r), r))
+    return out + [("gap", size, n, 0, bin, 0) for size, n, bin in gaps]
+
+
+def opened(runs: list[Run], bins: int, capacity: int) -> list[Run]:
+    """Opens sequences, numbered from bins on, for the largest of the documents that found no gap."""
+    docs = sorted((r for r in runs if r[0] == "doc"), key=lambda r: (-r[1], r[3]))
+    out = [r for r in runs if r[0] != "doc"]
+    large = sum(n for _, size, n, *_ in docs if 2 * size > capacity)
+    need = large or -(-sum(size * n for _, size, n, *_ in docs) // capacity)
+    for _, size, n, at, _, _ in docs:
+        k = min(n, need)
+        if k:
+            out.append(("put", size, k, at, bins, 0))
+            if size < capacity:
+                out.append(("gap", capacity - size, k, 0, bins, 0))
+        if n > k:
+            out.append(("doc", size, n - k, at + k, 0, 0))
+        need, bins = need - k, bins + k
+    return out
+
+
+def _swept(state: DataFrame, group: Column, capacity: int, bins: int | None = None) -> DataFrame:
+    """A sweep for each group of ranges; with bins, the last one, documents without a gap open sequences."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        runs = sweep(list(pdf[["kind", "size", "n", "at", "bin", "offset"]].itertuples(index=False, name=None)), capacity)
+        if bins is not None:
+            runs = opened(runs, bins, capacity)
+        out = pd.DataFrame(runs, columns=["kind", "size", "n", "at", "bin", "offset"])
+        out["cell"] = ((out["size"] - 1) * RANGES // capacity).astype("int32")
+        return out
+
+    return state.groupBy(group.alias("_group")).applyInPandas(run, _STATE)
 
 
 def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Placements for lengths(length, n): kind put rows as in _round(). No pass over documents."""
+    """Placements for lengths(length, n): the rows of kind put. No pass over documents."""
     spark = lengths.sparkSession
     zero = F.lit(0).cast("long")
-    state = lengths.select(F.lit("doc").alias("kind"), F.col("length").alias("size"), "n", zero.alias("at"), zero.alias("bin"), zero.alias("offset")).coalesce(1)
-    state, paths, bins = written(state, "packing"), [], 0
-    lows = (capacity // 2, capacity // 4, 0)
-    counts = [F.count_if(F.col("kind").isin("doc", "wait") & (F.col("size") > low)).alias(f"above_{low}") for low in lows]
-    counts.append(F.max(F.when(F.col("kind") == "put", F.col("bin") + F.col("n"))).alias("bins"))
-    now = state.agg(*counts).first()
-    for low in lows:
-        while now[f"above_{low}"]:
-            path = fresh_path(spark, "packing-round")
-            _round(state.where("kind != 'put'").coalesce(1), low, bins, capacity).coalesce(1).write.parquet(path)
-            paths.append(path)
-            state = spark.read.schema(_STATE).parquet(path)
-            now = state.agg(*counts).first()
-            bins = max(bins, now["bins"] or 0)
-    if not paths:
-        return spark.createDataFrame([], _STATE)
-    return spark.read.schema(_STATE).parquet(*paths).where("kind = 'put'")
+    cell = F.floor((F.col("length") - 1) * RANGES / capacity).cast("int")
+    state = written(lengths.select(F.lit("doc").alias("kind"), F.col("length").alias("size"), "n", zero.alias("at"), zero.alias("bin"), zero.alias("offset"), cell.alias("cell")), "packing")
+    puts, bins = [], 0
+    facts = [F.count_if(F.col("kind") == "doc").alias("docs"), F.max(F.when(F.col("kind") == "put", F.col("bin") + F.col("n"))).alias("bins")]
+    now = state.agg(*facts).first()
+    while now["docs"]:
+        ranges, step = state.where("kind != 'put'"), 1
+        while step < RANGES:
+            ranges = _swept(ranges, F.floor(F.col("cell") / step), capacity)
+            step *= FAN
+        state = written(_swept(ranges, F.lit(0), capacity, bins), "packing-round")
+        puts.append(state.where("kind = 'put'"))
+        now = state.agg(*facts).first()
+        bins = max(bins, now["bins"] or 0)
+    return functools.reduce(DataFrame.union, puts, state.where("kind = 'put'").limit(0))
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
