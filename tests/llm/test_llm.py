@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, a round trip or held-out accuracy, and on odd inputs."""
 
+import bisect
 import collections
 import hashlib
 import math
@@ -183,6 +184,58 @@ def test_best_fit_places_every_document_once(spark):
         assert upto <= 100
 
 
+def plain_best_fit(lengths, capacity):
+    """Sequences of best-fit decreasing, one document at a time."""
+    rooms, used = [], 0
+    for size in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(rooms, size)
+        if i == len(rooms):
+            used += 1
+            rest = capacity - size
+        else:
+            rest = rooms.pop(i) - size
+        bisect.insort(rooms, rest)
+    return used
+
+
+@pytest.mark.parametrize("shape", ["wide", "small", "halves", "thirds", "one"])
+def test_packing_is_about_as_tight_as_plain_best_fit(spark, shape):
+    draw = random.Random(shape)
+    sizes = {
+        "wide": [draw.randint(1, 2048) for _ in range(4000)],
+        "small": [int(draw.expovariate(1 / 150)) % 2048 + 1 for _ in range(6000)],
+        "halves": [draw.randint(900, 1100) for _ in range(1500)],
+        "thirds": [draw.randint(600, 720) for _ in range(1500)],
+        "one": [700] * 5000 + [3] * 10,
+    }[shape]
+    counts = list(collections.Counter(sizes).items())
+    puts = packing.best_fit(spark.createDataFrame(counts, "length long, n long")).collect()
+    used = max(p.bin + p.n for p in puts)
+    assert sum(p.n for p in puts) == len(sizes) and used <= 1.01 * plain_best_fit(sizes, 2048) + 1
+    assert len(puts) <= 40 * len(counts) + 100
+
+
+def test_sweeps_by_range_equal_one_sweep():
+    """With gaps that take one document each, ranges first and then what they leave match as everything at once."""
+    draw = random.Random(9)
+    for _ in range(200):
+        docs = [("doc", s, draw.randint(1, 3), 0, 0, 0) for s in draw.sample(range(26, 50), 8)]
+        gaps = [("gap", s, draw.randint(1, 3), 0, 10 * k, 0) for k, s in enumerate(draw.sample(range(26, 50), 8))]
+        at_once = packing.sweep(docs + gaps, 50)
+        low = packing.sweep([r for r in docs + gaps if r[1] < 38], 50)
+        high = packing.sweep([r for r in docs + gaps if r[1] >= 38], 50)
+        parted = packing.sweep(low + high, 50)
+        puts = lambda runs: sorted((size, offset, n) for kind, size, n, _, _, offset in runs if kind == "put")
+
+        def spread(runs):
+            out = collections.Counter()
+            for size, offset, n in puts(runs):
+                out[size, offset] += n
+            return out
+
+        assert spread(at_once) == spread(parted)
+
+
 # Mixing
 
 
