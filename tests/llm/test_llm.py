@@ -339,13 +339,41 @@ def test_patterns_on_hard_lines():
 
 
 def test_markov_models_tell_random_from_ordinary(docs):
-    ratios = secrets_scan.learn(docs)
+    model = secrets_scan.learn(docs)
     draw = random.Random(1)
     letters = secrets_scan.string.ascii_letters + secrets_scan.string.digits
     random_ones = ["".join(draw.choice(letters) for _ in range(32)) for _ in range(200)]
-    ordinary = ["getUserAccountInformation", "application_default_credentials", "https-www-example-com-index", "internationalization", "MAX_CONNECTION_TIMEOUT", "the_quick_brown_fox_jumps"]
-    assert sum(bool(secrets_scan.find_spans(f"see {x} here", ratios)) for x in random_ones) >= 195
-    assert not any(secrets_scan.find_spans(f"see {x} here", ratios) for x in ordinary)
+    joined = [f"path/of/words/{x[:20]}_old" for x in random_ones]
+    words = ["invoice", "garden", "river", "update", "profile", "battery", "kitchen", "monthly", "engine", "market", "status", "window"]
+    style = ("_".join, "-".join, "/".join, lambda w: w[0] + "".join(x.title() for x in w[1:]))
+    ordinary = [draw.choice(style)([draw.choice(words) for _ in range(draw.randint(2, 5))]) for _ in range(400)]
+    ordinary += ["getUserAccountInformation", "application_default_credentials", "https-www-example-com-index", "internationalization", "MAX_CONNECTION_TIMEOUT", "the_quick_brown_fox_jumps"]
+    found = lambda xs: sum(bool(secrets_scan.find_spans(f"see {x} here", model)) for x in xs)
+    assert found(random_ones) >= 198 and found(joined) >= 190 and found(ordinary) <= 2
+    beside = "0123456789abcdef01234567" + random_ones[0]
+    kinds = [k for _, _, k in secrets_scan.find_spans(beside, model)]
+    assert 2 in kinds and 3 in kinds
+
+
+def test_markov_models_on_held_out_runs(spark, sf):
+    larger = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    found = secrets_scan.evaluate(larger, secrets_scan.learn(larger))
+    assert found["precision"] > 0.9 and found["recall"] > 0.9 and found["secrets"] > 0 and found["runs"] > 10_000
+
+
+def test_best_segments_equal_brute_force():
+    draw = np.random.default_rng(5)
+    ratios = draw.normal(0, 3, (secrets_scan.START + 1, secrets_scan.START))
+    for _ in range(60):
+        codes = np.where(draw.random(60) < 0.1, 255, draw.integers(0, secrets_scan.START, 60)).astype(np.uint8)
+        starts, ends, scores = secrets_scan.best_segments(codes, ratios)
+        for (a, b), start, end, score in zip(zip(*secrets_scan.runs_of(codes)), starts, ends, scores):
+            steps = [ratios[secrets_scan.START if i == a else codes[i - 1], codes[i]] for i in range(a, b)]
+            best = max((sum(steps[i:j]), i, j) for i in range(len(steps)) for j in range(i, len(steps) + 1))
+            if sum(max(x, 0) for x in steps) >= secrets_scan.LEAST_SCORE:
+                assert abs(score - best[0]) < 1e-9 and abs(sum(steps[start - a : end - a]) - best[0]) < 1e-9
+            else:
+                assert score == 0
 
 
 def test_secrets_are_replaced(spark, odd, none):
