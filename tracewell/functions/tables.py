@@ -1,25 +1,72 @@
-"""Cutting lineage by a written table in the folder that the cluster names."""
+"""Cutting lineage by written tables in the folder that the cluster names, and deleting them."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Open scratch() blocks, each with the tables that were written in it.
+_SCOPES: list[list[str]] = []
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df written to spark.checkpoint.dir and read again; a folder of our own only where that is unset on one machine."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Only where the setting is unset, as in tests on one machine, a folder of our own is made.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/tracewell-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new path; lasting ones belong to the scratch() block around the innermost, if any."""
+    path = f"{shared_dir(spark)}/tracewell-{name}-{uuid.uuid4().hex}"
+    scope = len(_SCOPES) - (2 if lasting else 1)
+    if scope >= 0:
+        _SCOPES[scope].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were written in it, but for lasting ones.
+
+    A frame that reads them must be used up inside.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
+def materialized(df: DataFrame, name: str, lasting: bool = False, compression: str = "zstd") -> DataFrame:
+    """df written to the shared folder and read again.
+
+    The files outlive executors, so that no later stage has to redo the work before it.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name, lasting)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
