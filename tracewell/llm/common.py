@@ -1,47 +1,20 @@
-"""Shared helpers: the cluster's folder for written tables, and Arrow text buffers."""
+"""Shared helpers: written tables, and Arrow text buffers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that a Python helper works on at a time.
-CHUNK_BYTES = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the setting is unset, as in tests on one machine, a folder of our own is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from tracewell.functions.tables import delete, fresh_path, scratch
+from tracewell.functions.tables import materialized as written
 
+__all__ = ["CHUNK_BYTES", "buffers", "delete", "fresh_path", "row_chunks", "scratch", "written"]
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracewell-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet to the shared folder and reads it again.
-
-    The files outlive executors, so that no later stage has to redo the work before it.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that a Python helper works on at a time.
+CHUNK_BYTES = 1 << 20
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

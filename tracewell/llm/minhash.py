@@ -15,10 +15,15 @@ values (three permutations) select candidates, and links are confirmed on full s
 The number of bands follows from the threshold: a pair right at it stays apart in all of them with
 a probability below MISS.
 
+Hubs are spread: a bucket's members meet their hub's set in groups of HUB_MEMBERS, each with a copy
+of it, so no join key grows with a bucket.
+
 Defined cases: null or empty text and text without words have an empty set, linked with nothing;
-fewer words than a shingle make one shingle; rows without doc_id are linked with nothing, have no
-component and are kept; rows that repeat a doc_id are one document with a component of its own
-name; an empty table gives an empty result; other columns of the input are ignored.
+fewer words than a shingle make one shingle; very long texts are hashed whole, and blocks are dealt
+by shingles as well as by members; rows without doc_id are linked with nothing, have no component and
+are kept; rows that repeat a doc_id are one document with a component of its own name, whose set for
+confirming is the greatest of theirs; an empty table gives an empty result; other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import buffers, row_chunks, written
+from tracewell.llm.common import buffers, row_chunks, scratch, written
 from tracewell.llm.components import connected_components
 from tracewell.llm.wordhash import LOWER, mix, word_hashes, word_spans
 
@@ -41,8 +46,10 @@ ROWS = 6
 MISS = 1e-7
 #: Members up to which a bucket gives all its pairs; a larger one is linked over its hub.
 SMALL_BUCKET = 12
-#: Members that are compared with as many others in one task.
-BLOCK = 1024
+#: Members, and shingles of members, that are compared with as many others in one task.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Members of a bucket that meet one copy of their hub's set.
+HUB_MEMBERS = 4096
 _PART = 4096
 
 
@@ -183,63 +190,71 @@ def _residue(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, spread: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b, salt) those whose full sets are similar. spread(node, copies): hubs with several copies of their set."""
+    copies = sets.join(spread, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1)))
+    one = copies.select(F.col("node").alias("a"), "salt", F.col("hashes").alias("_a"))
     two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("_b"))
     shared = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(two, "b").join(one, "a").where(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
+    return pairs.join(two, "b").join(one, ["a", "salt"]).where(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    signed = written(signatures(docs, size, percent), "signatures")
-    named = signed.where("doc_id IS NOT NULL AND set_hash IS NOT NULL")
-    classes = written(named.groupBy("set_hash").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = named.join(classes.withColumnRenamed("node", "doc_id"), ["set_hash", "doc_id"]).dropDuplicates(["set_hash", "doc_id"])
-    banded = written(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")), "bands")
-
-    order = F.struct(F.xxhash64("node").alias("rank"), F.col("node"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(order.alias("o"), F.col("n"))).alias("_hub")).where("members > 1")
-    buckets = written(buckets.select("band", "members", F.col("_hub.o.node").alias("hub"), F.col("_hub.n").alias("hub_n")), "buckets")
-    members = written(banded.join(buckets, "band"), "bucket-members")
-
-    small, large = members.where(F.col("members") <= SMALL_BUCKET), members.where(F.col("members") > SMALL_BUCKET)
-    listed = small.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("_m"))
-    inner = listed.select(F.posexplode("_m").alias("_i", "_x"), "_m").select("_x", F.explode(F.slice("_m", F.col("_i") + 2, SMALL_BUCKET)).alias("_y"))
-    pairs = inner.select(F.col("_x.node").alias("a"), F.col("_x.n").alias("na"), F.col("_y.node").alias("b"), F.col("_y.n").alias("nb"))
-    stars = large.where("node != hub").select(F.col("hub").alias("a"), F.col("hub_n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    pairs = written(pairs.union(stars).where(fits).select("a", "b").where("a != b").distinct(), "pairs")
-
-    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(large.select("node")).distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
-    sets = written(shingle_sets(texts, size).dropDuplicates(["node"]), "sets")
-    links = written(_confirmed(pairs, sets, percent), "links")
-    labels = connected_components(links)
-
-    # Members of large buckets that did not get into the hub's component.
-    label = lambda name, out: labels.select(F.col("node").alias(name), F.col("component").alias(out))
-    placed = (
-        large.join(label("node", "_own"), "node", "left")
-        .join(label("hub", "_hub"), "hub", "left")
-        .select("band", "node", F.coalesce("_own", "node").alias("own"), (F.coalesce("_own", "node") != F.coalesce("_hub", "hub")).alias("far"))
-    )
-    placed = written(placed, "placed")
-    open_buckets = placed.where("far").groupBy("band").agg(F.count(F.lit(1)).alias("n_far")).join(buckets.select("band", "members"), "band")
-    open_buckets = open_buckets.select("band", F.ceil(F.col("n_far") / BLOCK).alias("far_blocks"), F.ceil(F.col("members") / BLOCK).alias("near_blocks"))
-    rest = placed.join(written(open_buckets, "open-buckets"), "band")
-    own_far, own_near = F.pmod(F.xxhash64("node"), F.col("far_blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("near_blocks"))
-    dealt = rest.where("far").select("band", "node", "own", F.lit(True).alias("far"), own_far.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("near_blocks") - 1)).alias("j"))
-    dealt = dealt.union(rest.select("band", "node", "own", F.lit(False).alias("far"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("i"), own_near.alias("j")))
-    more = dealt.join(sets, "node").groupBy("band", "i", "j").applyInPandas(_residue(percent), "a long, b long")
-    more = written(more.where("a != b").distinct(), "more-links")
-    if not more.isEmpty():
-        labels = connected_components(links.union(more))
-
-    # A class's component; documents with equal sets share it.
-    joined = written(
-        classes.join(label("node", "_component"), "node", "left").select("set_hash", F.coalesce("_component", "node").alias("component_id")), "class-components"
-    )
+    with scratch(docs.sparkSession):
+        signed = written(signatures(docs, size, percent), "signatures", lasting=True)
+        named = signed.where("doc_id IS NOT NULL AND set_hash IS NOT NULL")
+        classes = written(named.groupBy("set_hash").agg(F.min("doc_id").alias("node")), "classes")
+        nodes = named.join(classes.withColumnRenamed("node", "doc_id"), ["set_hash", "doc_id"]).dropDuplicates(["set_hash", "doc_id"])
+        banded = written(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")), "bands")
+
+        order = F.struct(F.xxhash64("node").alias("rank"), F.col("node"))
+        buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(order.alias("o"), F.col("n"))).alias("_hub")).where("members > 1")
+        buckets = written(buckets.select("band", "members", F.col("_hub.o.node").alias("hub"), F.col("_hub.n").alias("hub_n")), "buckets")
+        members = written(banded.join(buckets, "band"), "bucket-members")
+
+        small, large = members.where(F.col("members") <= SMALL_BUCKET), members.where(F.col("members") > SMALL_BUCKET)
+        listed = small.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("_m"))
+        inner = listed.select(F.posexplode("_m").alias("_i", "_x"), "_m").select("_x", F.explode(F.slice("_m", F.col("_i") + 2, SMALL_BUCKET)).alias("_y"))
+        pairs = inner.select(F.col("_x.node").alias("a"), F.col("_x.n").alias("na"), F.col("_y.node").alias("b"), F.col("_y.n").alias("nb"), F.lit(0).cast("long").alias("salt"))
+        copies = F.ceil(F.col("members") / HUB_MEMBERS)
+        stars = large.where("node != hub").select(
+            F.col("hub").alias("a"), F.col("hub_n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"), F.pmod(F.xxhash64("node"), copies).alias("salt")
+        )
+        spread = buckets.groupBy(F.col("hub").alias("node")).agg(F.max(copies).alias("copies")).where("copies > 1")
+        fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        pairs = written(pairs.union(stars).where(fits).where("a != b").groupBy("a", "b").agg(F.min("salt").alias("salt")), "pairs")
+
+        wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(large.select("node")).distinct(), "wanted")
+        texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
+        sets = written(shingle_sets(texts, size).groupBy("node").agg(F.max("hashes").alias("hashes")), "sets")
+        links = written(_confirmed(pairs, sets, spread, percent), "links")
+        labels = connected_components(links)
+
+        # Members of large buckets that did not get into the hub's component.
+        label = lambda name, out: labels.select(F.col("node").alias(name), F.col("component").alias(out))
+        placed = (
+            large.join(label("node", "_own"), "node", "left")
+            .join(label("hub", "_hub"), "hub", "left")
+            .select("band", "node", "n", F.coalesce("_own", "node").alias("own"), (F.coalesce("_own", "node") != F.coalesce("_hub", "hub")).alias("far"))
+        )
+        placed = written(placed, "placed")
+        facts = placed.groupBy("band").agg(F.count_if("far").alias("n_far"), F.sum(F.when(F.col("far"), F.col("n"))).alias("s_far"), F.count(F.lit(1)).alias("n_near"), F.sum("n").alias("s_near"))
+        blocks = lambda side: F.greatest(F.ceil(F.col(f"n_{side}") / BLOCK), F.ceil(F.col(f"s_{side}") / BLOCK_SHINGLES)).alias(f"{side}_blocks")
+        open_buckets = facts.where("n_far > 0").select("band", blocks("far"), blocks("near"))
+        rest = placed.join(written(open_buckets, "open-buckets"), "band")
+        own_far, own_near = F.pmod(F.xxhash64("node"), F.col("far_blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("near_blocks"))
+        dealt = rest.where("far").select("band", "node", "own", F.lit(True).alias("far"), own_far.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("near_blocks") - 1)).alias("j"))
+        dealt = dealt.union(rest.select("band", "node", "own", F.lit(False).alias("far"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("i"), own_near.alias("j")))
+        more = dealt.join(sets, "node").groupBy("band", "i", "j").applyInPandas(_residue(percent), "a long, b long")
+        more = written(more.where("a != b").distinct(), "more-links")
+        if not more.isEmpty():
+            labels = connected_components(links.union(more))
+
+        # A class's component; documents with equal sets share it.
+        joined = written(
+            classes.join(label("node", "_component"), "node", "left").select("set_hash", F.coalesce("_component", "node").alias("component_id")), "class-components", lasting=True
+        )
     out = signed.select("doc_id", "n_shingles", "set_hash").join(joined, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

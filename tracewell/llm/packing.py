@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import written
+from tracewell.llm.common import scratch, written
 from tracewell.llm.numbering import number_rows
 from tracewell.llm.token_files import default_tokenizer
 from tracewell.llm.tokens import crc32_of, encoder
@@ -168,7 +168,9 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     cut = written(pieces(docs, tokenizer, capacity), "pieces")
     ranked = number_rows(cut, ["doc_id", "piece", "start", "ids_crc32"], within="length")
     lengths = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    puts = written(best_fit(lengths, capacity).select("size", "at", (F.col("at") + F.col("n")).alias("upto"), "bin", "offset").coalesce(1), "placements")
+    with scratch(docs.sparkSession):
+        puts = best_fit(lengths, capacity).select("size", "at", (F.col("at") + F.col("n")).alias("upto"), "bin", "offset")
+        puts = written(puts.coalesce(1), "placements", lasting=True)
     if puts.count() <= BROADCAST_ROWS:
         puts = F.broadcast(puts)
     found = ranked.join(puts, (F.col("length") == F.col("size")) & (F.col("row") >= F.col("at")) & (F.col("row") < F.col("upto")))
