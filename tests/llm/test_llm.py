@@ -4,6 +4,7 @@ import bisect
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.functions.tables import shared_dir
 from tracewell.llm import audio, language, minhash, mixing, packing, quality_model, quality_rules, secrets_scan, sharding, token_files
 from tracewell.llm.components import connected_components
 from tracewell.llm.numbering import number_rows
@@ -430,6 +432,18 @@ def test_near_duplicates_empty_and_columns(odd, none):
     assert out.columns == odd.columns and {5, 6, 7} & {r.doc_id for r in out.collect()} == {5}
 
 
+def test_hubs_and_heavy_nodes_are_spread(spark, monkeypatch):
+    from tracewell.llm import components
+
+    monkeypatch.setattr(minhash, "HUB_MEMBERS", 20)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(components, "NODE_LINKS", 10)
+    test_large_group_of_near_copies(spark)
+    links = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(60, 70)]
+    out = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert {out[i] for i in range(60)} == {0} and {out[i] for i in range(60, 71)} == {60}
+
+
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101)]
     out = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
@@ -793,3 +807,17 @@ def test_pipeline(spark, sf, docs):
     mix = stages["mixing"](spark, masked, sf).cache()
     assert mix.columns == docs.columns and {r.doc_id for r in mix.collect()} <= set(texts)
     check_packing(stages["packing"](spark, mix, sf).collect(), [(r.doc_id, r.text) for r in pairs_of(mix)])
+
+
+def test_pipeline_on_odd_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    left = lambda: set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    for name, df in (("odd", odd), ("none", none)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        before = left()
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert len(left() - before) == 1
+        rows = out.collect()
+        assert bool(rows) == (name == "odd") and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+        assert all(r.length > 0 for r in rows)
