@@ -66,7 +66,7 @@ def test_matches_have_python_offsets(spark):
         assert [(m.value, m.start) for m in r.m] == [(m.group(), m.start()) for m in re.finditer(r"\d+", r.t)]
 
 
-@pytest.mark.parametrize("n, want", [(999, "999 B"), (1000, "1.0 KB"), (30_000_000, "30.0 MB"), (5 * 10**12, "5.0 TB")])
+@pytest.mark.parametrize("n, want", [(999, "999 B"), (1000, "1.0 KB"), (30_000_000, "30.0 MB"), (5 * 10**12, "5.0 TB"), (1250, "1.2 KB"), (1150, "1.1 KB"), (2350, "2.4 KB"), (1_234_567_000, "1.2 GB")])
 def test_human_size(spark, n, want):
     assert spark.range(1).select(T.human_size(F.lit(n))).first()[0] == want
 

@@ -49,6 +49,61 @@ def test_archives(spark):
     assert skips["bad.zip"] == "unreadable zip (BadZipFile)" and skips["cut.gz"].startswith("corrupt gzip stream")
 
 
+def test_damaged_and_closed_files_leave_a_skip_row(spark):
+    good = zipped(a_dot_txt=b"tel 03-1234-5678 " * 40)
+    torn = bytearray(good)
+    torn[60:80] = b"\xff" * 20
+    stored = io.BytesIO()
+    with zipfile.ZipFile(stored, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.txt", b"abc" * 500)
+        z.writestr("y.txt", b"def" * 500)
+    deflated = bytearray(stored.getvalue())
+    deflated[36:44] = b"\x07" * 8
+    locked = bytearray(good)
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        locked[locked.index(mark) + at] |= 1
+    gz = bytearray(gzip.compress(b"plain" * 100))
+    gz[15] ^= 0xFF
+    half = tarred("", a_dot_txt=b"one", b_dot_txt=b"two")[:1500]
+    named = {"t.zip": torn, "d.zip": deflated, "l.zip": locked, "g.gz": gz, "s.7z": b"7z\xbc\xaf\x27\x1c...", "r.rar": b"Rar!\x1a\x07..", "z.zst": b"\x28\xb5\x2f\xfd..", "h.tgz": gzip.compress(half)}
+    rows = [(k, bytearray(v)) for k, v in named.items()]
+    out = files.expand_archives(spark.createDataFrame(rows, "path string, content binary")).collect()
+    skips = {r.path: r.reason for r in out if r.what == "skip"}
+    assert skips["t.zip"].startswith("unreadable zip") and skips["g.gz"].startswith("corrupt gzip stream")
+    assert skips["d.zip"].startswith(("error (", "unreadable zip")) and {skips[x] for x in ("s.7z", "r.rar", "z.zst")} == {"uninspectable archive"}
+    assert {r.path for r in out if r.path.startswith("l.zip")} == {"l.zip!a.txt"} and not any(r.content for r in out if r.path.startswith("l.zip"))
+    assert [bytes(r.content) for r in out if r.path == "h.tgz!a.txt" and r.what == "file"] == [b"one"]
+
+
+def test_scan_of_files(spark):
+    from tracewell.jobs.report import render_head, render_skipped, scan_files
+
+    body = "<w:p>call 03-1234-5678 &eacute;</w:p>"
+    docx = zipped(word__document_dot_xml=body, docProps__core_dot_xml="<dc:creator>Ann &#66;.</dc:creator>", word__media__p_dot_png=b"\x89PNG\r\n\x1a\n..")
+    inner = zipped(notes_dot_txt="mail a@b.jp\n普通預金 1234567".encode(), d_dot_docx=docx)
+    named = {
+        "/data/in.zip": inner, "/data/090-1234-5678.txt": b"nothing", "/home/u/.ssh/id": b"tel 03-1111-2222", "/data/x.svg": b"<svg><text>&#43;81 90-1234-5678</text></svg>",
+        "/data/b.bin": b"\x00\x01", "/data/c.pdf": b"%PDF-1.4", "/data/bad.zip": inner[:40], "/data/e.7z": b"7z\xbc\xaf\x27\x1c",
+    }
+    out = scan_files(spark.createDataFrame([(k, bytearray(v)) for k, v in named.items()], "path string, content binary"))
+    found = {(r.category, r.value, r.locations[0].path, r.locations[0].kind) for r in out.findings.collect()}
+    assert found == {
+        ("private_phone", "03-1234-5678", "/data/in.zip!d.docx!word/document.xml", "office"), ("private_email", "a@b.jp", "/data/in.zip!notes.txt", "text"),
+        ("account_number", "普通預金 1234567", "/data/in.zip!notes.txt", "text"), ("private_phone", "090-1234-5678", "/data/090-1234-5678.txt", "filename"),
+        ("private_phone", "+81 90-1234-5678", "/data/x.svg", "text"), ("metadata_person", "Ann B.", "/data/in.zip!d.docx!docProps/core.xml", "metadata"),
+    }
+    skips = {r.path: r.reason for r in out.skipped.collect()}
+    assert skips == {
+        "/home/u/.ssh/id": "refused location: .ssh", "/data/b.bin": "binary (not PII-scanned)", "/data/c.pdf": "PDF without text layer (no OCR available)",
+        "/data/bad.zip": "unreadable zip (BadZipFile)", "/data/e.7z": "uninspectable archive",
+    }
+    assert {r.path for r in out.images.collect()} == {"/data/in.zip!d.docx!word/media/p.png"}
+    facts = out.summary.first()
+    assert (facts.files_seen, facts.findings_count, facts.ok) == (9, 6, False) and len(facts.first_skipped) == 5
+    assert render_head(out.summary).first().section.startswith("# PII report\n\n- findings: 6\n- model: NOT used\n")
+    assert "- binary (not PII-scanned): 1 (e.g. /data/b.bin)" in {r.section for r in render_skipped(out.skipped).collect()}
+
+
 def test_office_files(spark):
     body = "<w:p>one &amp; two</w:p><w:p>three</w:p>"
     docx = zipped(word__document_dot_xml=body, docProps__core_dot_xml="<dc:creator>Ann &lt;B&gt;</dc:creator>")
@@ -79,6 +134,23 @@ def test_reading_and_sniffing(spark, tmp_path):
     assert small.count() == 3
 
 
+def test_entities_like_python(spark):
+    import html
+
+    from tracewell.functions import text as T
+
+    texts = ["a &amp;lt; b", "&eacute;&#233;&#xE9;&notit;&#x80;&nosuch; & &", "none", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.unescape(F.col("t")).alias("u")).collect()
+    assert all(r.u == (html.unescape(r.t) if r.t is not None else None) for r in rows)
+
+
+def test_only_one_space_between_characters_goes(spark):
+    from tracewell.functions import text as T
+
+    rows = spark.createDataFrame([("東 京 都  渋\n谷 a",)], "t string")
+    assert rows.select(T.cjk_despace(F.col("t"))).first()[0] == "東京都  渋谷 a"
+
+
 def test_limits_are_strict(spark):
     rows = spark.createDataFrame([("a", 30_000_000), ("b", 30_000_001)], "path string, length long")
     assert [r.over_download for r in files.size_flags(rows).orderBy("path").collect()] == [False, True]

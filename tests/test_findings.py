@@ -146,3 +146,34 @@ def test_sections_are_numbered_without_a_window_over_a_category(spark):
     got = [(r.n, r.section.split("\n")[0]) for r in out.orderBy("n").collect()]
     want = sorted(rows, key=lambda r: (r[0], -r[4], r[1]))
     assert got == [(i, f"## {i}. label: {r[1]}") for i, r in enumerate(want, 1)]
+
+
+def test_locations_of_absorbed_findings_are_kept(spark):
+    """+81 90-... at line 1; its short form there and at lines 2 to 30: one finding, twenty places, the host's first."""
+    texts = ["+81 090-1234-5678"] + ["090-1234-5678"] * 29
+    lines = spark.createDataFrame([("p", None, i, "text", t) for i, t in enumerate(texts, 1)], "path string, page int, line int, kind string, text string")
+    (row,) = report.scan(lines, (D.JP_PHONE, D.INTL_PHONE)).collect()
+    assert row.value == "+81 090-1234-5678" and row.occurrences == 30 and [x.line for x in row.locations] == list(range(1, 21))
+
+
+def test_hot_bundles_are_in_no_single_window(spark):
+    from tracewell.operators import images
+
+    rows = [("hot" if i % 3 else None, f"i{i}", 200 + i * 7919 % 500, 300 + i % 100, i % 40 == 0, i * 31 % 50) for i in range(2000)]
+    df = spark.createDataFrame(rows, "bundle string, path string, width int, height int, photo_like boolean, ocr_chars int")
+    out = images.select_ocr_images(df)
+    want = {}
+    for b in ("hot", None):
+        fit = sorted((r for r in rows if r[0] == b and min(r[2:4]) >= 120 and r[2] * r[3] >= 60_000), key=lambda r: (-r[2] * r[3], r[1]))
+        want |= {r[1]: "selected" if k < 40 else "cap" for k, r in enumerate(fit)}
+    assert {r.path: r.status for r in out.collect()} == {r[1]: want.get(r[1], "small") for r in rows}
+    seen = images.visual_review(df).collect()
+    for b in ("hot", None):
+        fit = sorted((r for r in rows if r[0] == b and (r[4] or r[5] >= 10)), key=lambda r: (-r[4], -r[5], -r[2] * r[3], r[1]))
+        got = sorted((r.nth, r.path, r.overflow) for r in seen if r.bundle == b)
+        assert got == [(k, r[1], len(fit) - 20) for k, r in enumerate(fit[:20], 1)]
+    lines = spark.createDataFrame([(b, i, "x" * (i % 7)) for b in ("hot", None) for i in range(700)], "bundle string, seq int, text string")
+    starts, at = {(r.bundle, r.seq): (r.start, r.next) for r in model.line_starts(lines).collect()}, 0
+    for i in range(700):
+        assert starts["hot", i] == starts[None, i] == (at, at + i % 7 + 1)
+        at += i % 7 + 1

@@ -58,9 +58,34 @@ MODEL_WORTHY = (
 HUMAN_FILENAME = r"[぀-ヿ㐀-鿿]| |[A-Z][a-z]+[_\-.][A-Z][a-z]+"
 EDGE_PUNCTUATION = ",;:()<>[]{}\"'`「」『』、。，．・"
 
+XML_LINE_END = r"</(?:w:p|a:p|text:p|text:h)>|<(?:w:br|w:tab|a:br|text:line-break)[^>]*/?>|</si>|</row>"
+XML_CELL_END = "</c>|</w:tc>"
+XML_TAG = "<[^>]+>"
+CJK = r"[\u3040-\u30ff\u3400-\u9fff]"
+
+OFFICE_PARTS = {
+    "docx": r"^word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$",
+    "xlsx": r"^xl/(sharedStrings|worksheets/sheet\d+|comments\d*)\.xml$",
+    "pptx": r"^ppt/(slides/slide\d+|notesSlides/notesSlide\d+|comments/.*)\.xml$",
+    "odf": r"^(content|meta)\.xml$",
+}
+OFFICE_META = r"^docProps/(core|app)\.xml$"
+OFFICE_MEDIA = ("word/media/", "ppt/media/", "xl/media/", "Pictures/")
+OFFICE_AUTHOR_TAGS = ("dc:creator", "cp:lastModifiedBy", "meta:initial-creator", "Company", "Manager")
+IMAGE_AUTHOR_TAGS = ("Artist", "Copyright", "CameraOwnerName", "XPAuthor", "author", "Author")
+IMAGE_TEXT_TAGS = ("ImageDescription", "comment", "description", "title", "copyright", "source", "xml:com.adobe.xmp")
+
+TOO_DEEP = "archive nesting too deep"
+NO_ARCHIVE = "uninspectable archive"
+NO_PDF_TEXT = "PDF without text layer (no OCR available)"
+TOO_LARGE = "text too large for PII scan (>50MB)"
+BINARY = "binary (not PII-scanned)"
+
 MAX_SCANNED_CHARS = 20_000
 MAX_MODEL_LINE_CHARS = 2_000
 MAX_LOCATIONS = 20
+MAX_SKIP_EXAMPLES = 10
+MAX_METADATA_CHARS = 5_000
 MAX_TEXT_BYTES = 50 * 1024 * 1024
 MAX_ARCHIVE_DEPTH = 4
 DOWNLOAD_LIMIT_BYTES = 30_000_000

@@ -84,3 +84,16 @@ def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
     counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.select("_range", (F.sum("_c").over(Window.orderBy("_range")) - F.col("_c")).alias("_before"))
     return rows.join(F.broadcast(before), "_range").withColumn("n", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_range", "_before", "_at")
+
+
+def running_total(df: DataFrame, value: Column, group: str, *order: str) -> DataFrame:
+    """Adds total, the sum of value over the rows of the group up to this one, null-safe in group.
+
+    Within range partitions, and from the sums of the partitions before, so that no task holds a group.
+    """
+    rows = materialized(in_ranges(df.withColumn("_value", value), group, *order), "ranges").withColumn("_range", F.shiftright("_at", 33))
+    sums = rows.groupBy("_range", group).agg(F.sum("_value").alias("_sum"))
+    before = sums.select(F.col("_range").alias("_r"), F.col(group).alias("_g"), (F.sum("_sum").over(Window.partitionBy(group).orderBy("_range")) - F.col("_sum")).alias("_before"))
+    inside = F.sum("_value").over(Window.partitionBy("_range", group).orderBy("_at"))
+    joined = rows.withColumn("_inside", inside).join(before, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn("total", F.col("_before") + F.col("_inside")).drop("_value", "_range", "_at", "_inside", "_before", "_r", "_g")

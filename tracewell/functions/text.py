@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tracewell.functions import patterns as P
 
@@ -61,26 +65,33 @@ def context(line: Column, start: Column, end: Column, width: int = 40) -> Column
 
 
 def human_size(n: Column) -> Column:
-    """a size in steps of 1000."""
-    out = F.format_string("%.1f TB", n / 1e12)
+    """a size in steps of 1000. format_number rounds the exact value, halves to even."""
+    tenths = lambda step, unit: F.concat(F.call_function("format_number", n / step, F.lit("0.0")), F.lit(f" {unit}"))
+    out = tenths(1e12, "TB")
     for unit, step in (("GB", 1e9), ("MB", 1e6), ("KB", 1e3)):
-        out = F.when(n < step * 1e3, F.format_string(f"%.1f {unit}", n / step)).otherwise(out)
+        out = F.when(n < step * 1e3, tenths(step, unit)).otherwise(out)
     return F.when(n < 1000, F.format_string("%d B", n.cast("long"))).otherwise(out)
 
 
 def cjk_despace(text: Column) -> Column:
-    """no white space between two CJK characters."""
-    cjk = r"[\u3040-\u30ff\u3400-\u9fff]"
-    return F.regexp_replace(text, rf"(?U)(?<={cjk})\s+(?={cjk})", "")
+    """no single white space between two CJK characters."""
+    return F.regexp_replace(text, rf"(?U)(?<={P.CJK})[\s\x1c-\x1f](?={P.CJK})", "")
+
+
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: html.unescape(t) if t is not None else None)
+
+
+def unescape(text: Column) -> Column:
+    """Named and numeric entities as characters; only texts with an ampersand go to Python."""
+    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def xml_to_text(xml: Column) -> Column:
     """line ends for paragraphs, rows and strings, tabs for cells, no tags, entities unescaped."""
-    out = F.regexp_replace(xml, r"</(?:w:p|a:p|text:p|text:h)>|<(?:w:br|w:tab|a:br|text:line-break)[^>]*/?>|</si>|</row>", "\n")
-    out = F.regexp_replace(F.regexp_replace(out, "</c>|</w:tc>", "\t"), "<[^>]+>", "")
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+    lines = F.regexp_replace(F.regexp_replace(xml, P.XML_LINE_END, "\n"), P.XML_CELL_END, "\t")
+    return unescape(F.regexp_replace(lines, P.XML_TAG, ""))
 
 
 def luhn_digits(value: Column) -> Column:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import patterns as P
 from tracewell.functions import text as T
 from tracewell.functions.tables import materialized, numbered
 from tracewell.operators import findings as G
 from tracewell.operators.detectors import DETECTORS, Detector, detect
 from tracewell.operators.merge import merge_overlapping
+from tracewell.sources.files import add_filenames, decode_text, expand_archives, extension, office_authors, office_text, skip_summary, sniff_kind, split_refused
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
@@ -19,24 +23,133 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return T.to_lines(texts, "path").select("path", F.lit(None).cast("int").alias("page"), "line", F.lit("text").alias("kind"), "text")
 
 
-def scan(lines: DataFrame, detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
-    """Merged findings with their first locations and category labels, ranked."""
-    # Matches are few beside lines; written once, so that lines are scanned once.
-    matches = materialized(detect(lines, detectors), "matches")
+def first_places(matches: DataFrame, merged: DataFrame, limit: int = P.MAX_LOCATIONS) -> DataFrame:
+    """category, key and locations: the first places of each merged finding, its own before those of what it absorbed.
+
+    Each finding brings at most limit places, so what meets here is bounded by the findings.
+    """
+    own = G.first_locations(matches, limit)
+    members = merged.select("category", F.col("key").alias("home"), F.posexplode(F.concat(F.array("key"), "absorbed")).alias("_order", "key"))
+    joined = own.join(members, ["category", "key"])
+    spot = F.struct(*G.PLACE)
+    once = joined.groupBy("category", "home", spot.alias("_spot")).agg(F.min(F.struct("_order", "nth", "kind", "context")).alias("_f"))
+    rank = F.row_number().over(Window.partitionBy("category", "home").orderBy("_f._order", "_f.nth"))
+    few = once.withColumn("nth", rank).where(F.col("nth") <= limit)
+    where = F.sort_array(F.collect_list(F.struct("nth", *[F.col(f"_spot.{c}").alias(c) for c in G.PLACE], "_f.kind", "_f.context"))).alias("locations")
+    return few.groupBy("category", F.col("home").alias("key")).agg(where)
+
+
+def report_of(matches: DataFrame) -> DataFrame:
+    """Merged findings of matches, with their first locations and category labels, ranked. matches is read several times."""
     found = G.aggregate_findings(matches, keep_seq=True)
-    merged = merge_overlapping(found, G.distinct_places(matches).select("category", "key", *G.PLACE))
-    where = F.sort_array(F.collect_list(F.struct("nth", *G.PLACE, "kind", "context"))).alias("locations")
-    places = G.first_locations(matches).groupBy("category", "key").agg(where)
-    return G.sort_findings(G.label_categories(merged.join(places, ["category", "key"], "left")))
-
-
-def scan_summary(files: DataFrame, findings: DataFrame, skipped: DataFrame) -> DataFrame:
-    """One row of counts; ok means no findings."""
-    one = files.agg(F.count(F.lit(1)).alias("files_seen"))
-    two = findings.agg(F.count(F.lit(1)).alias("findings_count"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"))
-    three = skipped.select("path").orderBy("path").limit(50).agg(F.sort_array(F.collect_list("path")).alias("first_skipped"))
-    # Three rows of one each.
-    return one.crossJoin(two).crossJoin(three).withColumn("ok", F.col("findings_count") == 0)
+    merged = materialized(merge_overlapping(found, G.distinct_places(matches).select("category", "key", *G.PLACE)), "merged")
+    return G.sort_findings(G.label_categories(merged.join(first_places(matches, merged), ["category", "key"], "left")))
+
+
+def scan(lines: DataFrame, detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
+    """The report on lines. Matches are few beside lines; written once, so that lines are scanned once."""
+    return report_of(materialized(detect(lines, detectors), "matches"))
+
+
+@dataclass
+class FileScan:
+    """What a scan of files gives: ranked findings, what was not scanned and why, pictures, and one row of counts."""
+
+    findings: DataFrame
+    skipped: DataFrame
+    images: DataFrame
+    summary: DataFrame
+
+
+def _read(expanded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of expanded files: texts(path, text), skipped(path, reason) and images(path)."""
+    seen = expanded.where("what = 'file'").withColumn("_kind", sniff_kind(F.col("content"), F.col("path")))
+    large = F.length("content") > P.MAX_TEXT_BYTES
+    # Pictures, PDF and large files are not decoded.
+    plain = F.when((F.col("_kind") != "pdf") & (F.col("_kind") != "image") & ~large, F.col("content"))
+    read = seen.select("path", "_kind", large.alias("_large"), decode_text(plain).alias("text"))
+    reason = F.when(F.col("_kind") == "pdf", P.NO_PDF_TEXT).when(F.col("_kind") == "image", None).when(F.col("_large"), P.TOO_LARGE).when(F.col("text").isNull(), P.BINARY)
+    read = materialized(read.select("path", "_kind", "text", reason.alias("reason")), "texts")
+    images = read.where("_kind = 'image'").select("path")
+    drawing = read.where("reason IS NULL AND _kind != 'image'")
+    text = F.when(extension(F.col("path")) == ".svg", T.xml_to_text(F.when(extension(F.col("path")) == ".svg", F.col("text")))).otherwise(F.col("text"))
+    return drawing.select("path", text.alias("text")), read.where("reason IS NOT NULL").select("path", "reason"), images
+
+
+def _people(authors: DataFrame) -> DataFrame:
+    """Match rows of authors(path, tag, value)."""
+    nothing = F.lit(None).cast("int")
+    seq = F.struct("path", F.lit(0).alias("page"), F.lit(0).alias("line"), F.lit(-1).alias("rule"), F.lit(0).alias("start"))
+    value = T.normalize_value(F.col("value"))
+    return authors.select(
+        F.lit("metadata_person").alias("category"), value.alias("value"), F.lit("metadata").alias("detector"), F.lit(1.0).alias("score"), "path",
+        nothing.alias("page"), nothing.alias("line"), F.lit("metadata").alias("kind"), F.concat("tag", F.lit(" = "), F.col("value")).alias("context"), seq.alias("seq"),
+    ).where("value IS NOT NULL")
+
+
+def scan_files(files: DataFrame, detectors: Sequence[Detector] = DETECTORS, extra_lines: DataFrame | None = None, extra_matches: DataFrame | None = None) -> FileScan:
+    """The whole scan of files(path, content): refused places, names, archives, office files, texts, findings and skips.
+
+    extra_lines are lines of other origin (text of pictures, descriptions of images), extra_matches are
+    match rows (of a model, of positions). Each file that can't be scanned, wholly or from some place on,
+    leaves a row in skipped; a damaged one never ends the job.
+    """
+    allowed, refused = split_refused(files.select("path", "content"))
+    expanded = materialized(expand_archives(allowed), "expanded")
+    texts, unread, images = _read(expanded)
+    names = add_filenames(allowed.select("path").union(expanded.where("what = 'name'").select("path")))
+    office = T.to_lines(office_text(expanded), "path").select("path", F.lit(None).cast("int").alias("page"), "line", F.lit("office").alias("kind"), "text")
+    lines = lines_of(texts).unionByName(office).unionByName(names)
+    if extra_lines is not None:
+        lines = lines.unionByName(extra_lines)
+    matches = detect(lines, detectors).unionByName(_people(office_authors(expanded)))
+    if extra_matches is not None:
+        matches = matches.unionByName(extra_matches)
+    found = materialized(report_of(materialized(matches, "matches")), "findings")
+    skipped = refused.unionByName(expanded.where("what = 'skip'").select("path", "reason")).unionByName(unread)
+    # A file that an archive gives counts as one, like the archive.
+    inner = expanded.where("what = 'file'").select("path").join(allowed.select("path"), "path", "left_anti")
+    return FileScan(found, skipped, images, scan_summary(allowed.select("path").union(inner), found, skipped))
+
+
+def scan_summary(files: DataFrame, findings: DataFrame, skipped: DataFrame, images: DataFrame | None = None, budgeted: DataFrame | None = None) -> DataFrame:
+    """One row of counts; ok means no findings.
+
+    images(status, ocr_chars) as of select_ocr_images() adds the counts of reading pictures, budgeted(tokens, admitted)
+    as of apply_token_budget() the tokens that a model took and those over its budget.
+    """
+    frames = [
+        files.agg(F.count(F.lit(1)).alias("files_seen")),
+        findings.agg(F.count(F.lit(1)).alias("findings_count"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences")),
+        skipped.select("path").orderBy("path").limit(50).agg(F.sort_array(F.collect_list("path")).alias("first_skipped")),
+    ]
+    if images is not None:
+        status = F.col("status")
+        frames.append(images.agg(
+            F.count(F.lit(1)).alias("images_total"), F.count_if((status == "selected") & (F.col("ocr_chars") >= 4)).alias("images_ocr"),
+            F.count_if(status == "small").alias("images_skipped_small"), F.count_if(status == "cap").alias("images_skipped_cap"),
+        ))
+    if budgeted is not None:
+        cost = (F.col("tokens") + 1).cast("long")
+        frames.append(budgeted.agg(F.coalesce(F.sum(F.when(F.col("admitted"), cost)), F.lit(0)).alias("tokens_processed"), F.coalesce(F.sum(F.when(~F.col("admitted"), cost)), F.lit(0)).alias("tokens_over")))
+    # Frames of one row each.
+    return functools.reduce(DataFrame.crossJoin, frames).withColumn("ok", F.col("findings_count") == 0)
+
+
+def render_head(summary: DataFrame, ocr_available: bool = False, model_used: bool = False) -> DataFrame:
+    """The head of the report."""
+    pictures = F.col("images_ocr") if "images_ocr" in summary.columns else F.lit(0)
+    lines = [
+        F.lit("# PII report"), F.lit(""), F.format_string("- findings: %d", "findings_count"), F.lit(f"- model: {'used' if model_used else 'NOT used'}"),
+        F.concat(F.lit(f"- OCR: {'available' if ocr_available else 'unavailable'} ("), pictures.cast("string"), F.lit(" image(s) with text)")), F.lit(""),
+    ]
+    return summary.select(F.array_join(F.array(*lines), "\n").alias("section"))
+
+
+def render_skipped(skipped: DataFrame) -> DataFrame:
+    """A line for each reason why something was not scanned, with three examples."""
+    few = F.array_join(F.slice("examples", 1, 3), ", ")
+    return skip_summary(skipped).select("reason", F.format_string("- %s: %d (e.g. %s)", F.col("reason"), F.col("n"), few).alias("section"))
 
 
 def write_report(findings: DataFrame, path: str) -> None:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import patterns as P
-
-AUTHOR_TAGS = ("Artist", "Copyright", "CameraOwnerName", "XPAuthor", "author", "Author")
+from tracewell.functions import text as T
 
 
 def _degrees(dms: Column, ref: Column, negative: str) -> Column:
@@ -26,16 +25,37 @@ def gps_findings(image_meta: DataFrame) -> DataFrame:
 def author_metadata(meta: DataFrame) -> DataFrame:
     """People named in meta(path, tag, value)."""
     value = F.btrim("value")
-    found = meta.where(F.col("tag").isin(*AUTHOR_TAGS) & (value != ""))
+    found = meta.where(F.col("tag").isin(*P.IMAGE_AUTHOR_TAGS) & (value != ""))
     return found.select("path", F.lit("metadata_person").alias("category"), value.alias("value"), F.concat("tag", F.lit(" = "), value).alias("context"))
 
 
+def metadata_lines(meta: DataFrame) -> DataFrame:
+    """Descriptions, titles and comments of meta(path, tag, value) as lines to scan."""
+    value = F.when(F.col("tag") == "ImageDescription", T.stripped(F.col("value"))).otherwise(F.substring("value", 1, P.MAX_METADATA_CHARS))
+    texts = meta.where(F.col("tag").isin(*P.IMAGE_TEXT_TAGS)).select("path", value.alias("text"))
+    return T.to_lines(texts, "path").select("path", F.lit(None).cast("int").alias("page"), "line", F.lit("metadata").alias("kind"), "text")
+
+
+def _first(rows: DataFrame, order: list[Column], limit: int, salts: int = 32) -> DataFrame:
+    """The first rows of each bundle with their number nth, taken per salt and then per bundle."""
+    salted = Window.partitionBy("bundle", F.pmod(F.xxhash64("path"), F.lit(salts))).orderBy(*order)
+    few = rows.withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= limit).drop("_n")
+    return few.withColumn("nth", F.row_number().over(Window.partitionBy("bundle").orderBy(*order))).where(F.col("nth") <= limit)
+
+
 def select_ocr_images(images: DataFrame, cap: int = P.MAX_OCR) -> DataFrame:
-    """Status small, selected or cap; the largest images of a bundle come first."""
-    small = (F.least("width", "height") < P.OCR_MIN_SIDE) | (F.col("width") * F.col("height") < P.OCR_MIN_AREA)
-    order = Window.partitionBy("bundle", small).orderBy(F.desc(F.col("width") * F.col("height")), "path")
-    rank = F.row_number().over(order)
-    return images.withColumn("status", F.when(small, "small").when(rank <= cap, "selected").otherwise("cap"))
+    """Status small, selected or cap; the largest images of a bundle come first.
+
+    The last image that is selected in a bundle tells which others are; no bundle is sorted as a whole.
+    """
+    area = F.col("width") * F.col("height")
+    small = (F.least("width", "height") < P.OCR_MIN_SIDE) | (area < P.OCR_MIN_AREA)
+    place = F.struct((-area).alias("area"), F.col("path").alias("path"))
+    first = _first(images.where(~small).select("bundle", "path", "width", "height"), [F.desc(area), F.col("path")], cap)
+    last = first.groupBy("bundle").agg(F.max(place).alias("_last"), F.lit(True).alias("_any"))
+    joined = images.join(last.withColumnRenamed("bundle", "_bundle"), F.col("bundle").eqNullSafe(F.col("_bundle")), "left")
+    status = F.when(small, "small").when(place <= F.col("_last"), "selected").otherwise("cap")
+    return joined.withColumn("status", status).drop("_last", "_any", "_bundle")
 
 
 def visual_review(images: DataFrame, ocr_available: bool = True, limit: int = P.MAX_VISUAL) -> DataFrame:
@@ -43,6 +63,7 @@ def visual_review(images: DataFrame, ocr_available: bool = True, limit: int = P.
     wanted = F.col("photo_like") | (F.col("ocr_chars") >= 10)
     if not ocr_available:
         wanted = wanted | (F.least("width", "height") >= P.OCR_MIN_SIDE)
-    order = Window.partitionBy("bundle").orderBy(F.desc("photo_like"), F.desc("ocr_chars"), F.desc(F.col("width") * F.col("height")), "path")
-    ranked = images.where(wanted).withColumn("nth", F.row_number().over(order)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("bundle")))
-    return ranked.where(F.col("nth") <= limit).withColumn("overflow", F.greatest(F.col("_all") - limit, F.lit(0))).drop("_all")
+    seen = images.where(wanted)
+    order = [F.desc("photo_like"), F.desc("ocr_chars"), F.desc(F.col("width") * F.col("height")), F.col("path")]
+    counts = seen.groupBy(F.col("bundle").alias("_bundle")).agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("overflow"))
+    return _first(seen, order, limit).join(counts, F.col("bundle").eqNullSafe(F.col("_bundle"))).drop("_bundle")

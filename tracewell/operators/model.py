@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import patterns as P
 from tracewell.functions import text as T
+from tracewell.functions.tables import running_total
 from tracewell.sources.files import is_prose
 
 
@@ -55,8 +56,9 @@ def apply_token_budget(lines: DataFrame, budget: int = P.TOKEN_BUDGET, salts: in
 
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
     chosen = few.select("bundle", "priority", "seq", "_cost").groupBy("bundle").applyInPandas(greedy, ", ".join(f"{c} {kinds[c]}" for c in ("bundle", "priority", "seq")))
-    out = lines.join(chosen.withColumn("_in", F.lit(True)), ["bundle", "priority", "seq"], "left")
-    return out.withColumn("admitted", F.coalesce("_in", F.lit(False))).drop("_in")
+    chosen = chosen.select(F.lit(True).alias("_in"), *[F.col(c).alias(f"_{c}") for c in ("bundle", "priority", "seq")])
+    out = lines.join(chosen, (F.col("seq") == F.col("_seq")) & (F.col("priority") == F.col("_priority")) & F.col("bundle").eqNullSafe(F.col("_bundle")), "left")
+    return out.select(*lines.columns, F.coalesce("_in", F.lit(False)).alias("admitted"))
 
 
 def token_windows(documents: DataFrame, size: int = P.MODEL_WINDOW, overlap: int = P.MODEL_CONTEXT) -> DataFrame:
@@ -138,10 +140,9 @@ def accept_spans(spans: DataFrame) -> DataFrame:
 
 
 def line_starts(lines: DataFrame) -> DataFrame:
-    """Start and next start of lines(bundle, seq, text) joined by line ends, per bundle."""
-    order = Window.partitionBy("bundle").orderBy("seq")
-    start = F.sum(F.length("text") + 1).over(order) - F.length("text") - 1
-    return lines.withColumn("start", start).withColumn("next", F.col("start") + F.length("text") + 1)
+    """Start and next start of lines(bundle, seq, text) joined by line ends, per bundle; no task holds a bundle."""
+    placed = running_total(lines, (F.length("text") + 1).cast("long"), "bundle", "seq").withColumnRenamed("total", "next")
+    return placed.withColumn("start", F.col("next") - F.length("text") - 1).select(*lines.columns, "start", "next")
 
 
 def offsets_to_lines(spans: DataFrame, lines: DataFrame, bucket: int = 65536) -> DataFrame:
