@@ -52,10 +52,15 @@ def select_ocr_images(images: DataFrame, cap: int = P.MAX_OCR) -> DataFrame:
     small = (F.least("width", "height") < P.OCR_MIN_SIDE) | (area < P.OCR_MIN_AREA)
     place = F.struct((-area).alias("area"), F.col("path").alias("path"))
     first = _first(images.where(~small).select("bundle", "path", "width", "height"), [F.desc(area), F.col("path")], cap)
-    last = first.groupBy("bundle").agg(F.max(place).alias("_last"), F.lit(True).alias("_any"))
-    joined = images.join(last.withColumnRenamed("bundle", "_bundle"), F.col("bundle").eqNullSafe(F.col("_bundle")), "left")
-    status = F.when(small, "small").when(place <= F.col("_last"), "selected").otherwise("cap")
-    return joined.withColumn("status", status).drop("_last", "_any", "_bundle")
+    ranked = first.groupBy("bundle").agg(F.max(place).alias("_last"), F.collect_list(place).alias("_all"))
+    last = ranked.select(F.col("bundle").alias("_bundle"), "_last", F.size(F.filter("_all", lambda x: x == F.col("_last"))).alias("_same"))
+    joined = images.join(last, F.col("bundle").eqNullSafe(F.col("_bundle")), "left")
+    at_last = F.coalesce(~small & (place == F.col("_last")), F.lit(False))
+    status = F.when(small, "small").when(place < F.col("_last"), "selected").otherwise("cap")
+    # Rows that repeat the last image: as many as the cap leaves room for.
+    again = F.row_number().over(Window.partitionBy("bundle", "path", "width", "height").orderBy("path"))
+    tied = joined.where(at_last).withColumn("status", F.when(again <= F.col("_same"), "selected").otherwise("cap"))
+    return joined.where(~at_last).withColumn("status", status).unionByName(tied).drop("_last", "_same", "_bundle")
 
 
 def visual_review(images: DataFrame, ocr_available: bool = True, limit: int = P.MAX_VISUAL) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import patterns as P
@@ -53,8 +53,8 @@ FILES_SQL = "f AS (SELECT doc_id, source AS bundle, 'doc/' || doc_id || '.txt' A
 
 @query()
 def s1_read_files(spark: SparkSession, d: str) -> DataFrame:
-    """The files of the tables themselves, by name and size; content is not read."""
-    return files.read_files(spark, d).select(files.basename(F.col("path")).alias("name"), "length")
+    """The files of the tables themselves with their digests; tests/ compares with what was written."""
+    return files.read_files(spark, d).select(files.basename(F.col("path")).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN '/home/u/.ssh/' WHEN 1 THEN '/mnt/skills/' WHEN 2 THEN '/home/u/.config/' ELSE '/data/' END || doc_id AS path FROM documents)
@@ -72,34 +72,45 @@ def s3_decode_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", files.decode_text(content).alias("text"))
 
 
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'zip' WHEN 3 THEN 'gzip' WHEN 4 THEN 'x:7z' ELSE 'raw' END AS kind FROM documents WHERE NOT regexp_matches(text, '^(BM|BZh|%PDF)')")
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'zip' WHEN 3 THEN 'gzip' WHEN 4 THEN 'x:7z'
+  ELSE CASE WHEN text LIKE '\\%PDF%' ESCAPE '\\' THEN 'pdf' WHEN regexp_matches(text, '^(BM|GIF8[79]a)') THEN 'image' WHEN text LIKE 'BZh%' THEN 'bz2' ELSE 'raw' END END AS kind FROM documents""".replace("\\\\", "\\"))
 def s4_sniff_kind(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("doc_id") % 6
     head = F.when(m == 0, "25504446").when(m == 1, "FFD8FF").when(m == 2, "504B0304").when(m == 3, "1F8B").when(m == 4, "377ABCAF271C").otherwise("")
-    docs = table(spark, d, "documents").where(~F.col("text").rlike("^(BM|BZh|%PDF)"))
-    return docs.select("doc_id", files.sniff_kind(F.concat(F.unhex(head), F.encode("text", "UTF-8")), doc_path()).alias("kind"))
+    return table(spark, d, "documents").select("doc_id", files.sniff_kind(F.concat(F.unhex(head), F.encode("text", "UTF-8")), doc_path()).alias("kind"))
 
 
-@query()
-def s5_expand_archives(spark: SparkSession, d: str) -> DataFrame:
-    """Each document as a zip member, compressed by a small helper; members come out whole."""
+def _archives(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files(path, content): zip archives of one member, some cut short, and other kinds that can't be read."""
     import io
     import zipfile
 
     import pandas as pd
 
-    def zipped(batches):
+    def packed(batches):
         for pdf in batches:
             out = []
-            for path, text in zip(pdf["path"], pdf["text"]):
+            for i, text in zip(pdf["doc_id"], pdf["text"]):
                 held = io.BytesIO()
                 with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr(path, text or "")
-                out.append(held.getvalue())
-            yield pd.DataFrame({"path": pdf["path"] + ".zip", "content": out})
+                    z.writestr(f"{i}.txt", f"{text or ''}\n普通預金 {i * 13 % 10**7:07d}")
+                raw = held.getvalue()
+                out.append({1: raw[:-30], 2: b"7z\xbc\xaf\x27\x1c" + raw, 3: b"\0" + raw, 4: b"%PDF-" + raw}.get(i % 25, raw))
+            yield pd.DataFrame({"path": [f"/data/{'.ssh/' if i % 25 == 5 else ''}{i}.zip" for i in pdf["doc_id"]], "content": out})
+
+    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(packed, "path string, content binary")
 
-    packed = document_texts(spark, d).mapInPandas(zipped, "path string, content binary")
-    return files.expand_archives(packed).select("path", "what", F.sha2("content", 256).alias("sha256"), "reason")
+
+ARCHIVES_SQL = """k AS (SELECT doc_id, doc_id % 25 AS m, '/data/' || CASE WHEN doc_id % 25 = 5 THEN '.ssh/' ELSE '' END || doc_id || '.zip' AS path,
+  coalesce(text, '') || chr(10) || '普通預金 ' || lpad((doc_id * 13 % 10000000)::varchar, 7, '0') AS text FROM documents)"""
+
+
+@query(f"""WITH {ARCHIVES_SQL} SELECT path, 'skip' AS what, NULL AS sha256, CASE m WHEN 1 THEN 'unreadable zip (BadZipFile)' ELSE 'uninspectable archive' END AS reason FROM k WHERE m IN (1, 2)
+UNION ALL SELECT path || '!' || doc_id || '.txt', 'name', NULL, NULL FROM k WHERE m NOT IN (1, 2, 3, 4) UNION ALL SELECT path || '!' || doc_id || '.txt', 'file', sha256(text), NULL FROM k WHERE m NOT IN (1, 2, 3, 4)""")
+def s5_expand_archives(spark: SparkSession, d: str) -> DataFrame:
+    """Members come out whole; damaged archives and kinds that can't be opened leave skip rows. Files that are no archive are not listed."""
+    out = files.expand_archives(_archives(spark, d)).where("what != 'file' OR path LIKE '%!%'")
+    return out.select("path", "what", F.sha2("content", 256).alias("sha256"), "reason")
 
 
 @query("""WITH p AS (SELECT doc_id, replace(text, chr(10), chr(12)) AS t FROM documents WHERE length(trim(text, ' ' || chr(10) || chr(12) || chr(9))) >= 20),
@@ -234,9 +245,27 @@ def d4_postal_code(spark: SparkSession, d: str) -> DataFrame:
     return _detected(spark, d, detectors.POSTAL)
 
 
-@query(_found_sql(r"東京都千代田区[0-9]+丁目[0-9]+", "private_address"))
+# Of the parts of a rule, those of the original pattern without its Unicode flag, which this engine has no need of here.
+_ADDRESS = P.ADDRESS.removeprefix("(?U)").replace(r"\s", r"\s　")
+
+
+def _address_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses in every prefecture, with all kinds of block numbers, some with none."""
+    k = F.col("c_custkey").cast("long")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), (at % len(values)).cast("int"))
+    text = F.concat(F.lit("所在地 "), pick(P.PREFECTURES.split("|"), k), pick(ADDRESS_TOWNS, F.floor(k / 7)), F.lit("本町"), pick(ADDRESS_BLOCKS, F.floor(k / 3)), F.lit(" 終"))
+    return table(spark, d, "customer").select(F.concat(F.lit("addr/"), k.cast("string")).alias("path"), F.lit(None).cast("int").alias("page"), F.lit(1).alias("line"), F.lit("text").alias("kind"), text.alias("text"))
+
+
+ADDRESS_TOWNS = ("中央区", "北市", "港町", "東村", "西郡南町", "丘")
+ADDRESS_BLOCKS = ("1丁目2-3", "一丁目２番３号", "12番地", "５－６－７", "3ー4", "十番", "", "名", "七丁目8-9号")
+_list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(rf"""WITH a AS (SELECT 'addr/' || c_custkey AS path, '所在地 ' || {_list(P.PREFECTURES.split("|"))}[c_custkey % 47 + 1] || {_list(ADDRESS_TOWNS)}[c_custkey // 7 % 6 + 1] || '本町' || {_list(ADDRESS_BLOCKS)}[c_custkey // 3 % 9 + 1] || ' 終' AS text FROM customer)
+SELECT 'private_address' AS category, path, 1 AS line, unnest(regexp_extract_all(text, '{_ADDRESS}')) AS value FROM a""")
 def d5_address(spark: SparkSession, d: str) -> DataFrame:
-    return _detected(spark, d, detectors.ADDRESS)
+    return detectors.detect(_address_lines(spark, d), (detectors.ADDRESS,)).select("category", "path", "line", "value")
 
 
 _MY = " + ".join(f"substr(digits, {11 - k}, 1)::INT * {k + 2 if k <= 5 else k - 4}" for k in range(11))
@@ -262,16 +291,51 @@ def d7_card_any_context(spark: SparkSession, d: str) -> DataFrame:
     return _detected(spark, d, detectors.card(require_context=False))
 
 
-@query(_found_sql(r"普通預金 [0-9]{7}", "account_number"))
+BANK_WORDS = ("口座番号", "普通預金", "当座預金", "普通", "当座", "貯蓄")
+BANK_MARKS = (" ", ":", "：No.", " No ", "")
+BANK_NUMBERS = ("1234567", "７６５４３２１", "12345678", "123456")
+
+
+@query(rf"""WITH a AS (SELECT 'bank/' || c_custkey AS path, '振込先 ' || {_list(BANK_WORDS)}[c_custkey % 6 + 1] || {_list(BANK_MARKS)}[c_custkey // 6 % 5 + 1] || {_list(BANK_NUMBERS)}[c_custkey // 30 % 4 + 1] || ' ' AS text FROM customer)
+SELECT 'account_number' AS category, path, 1 AS line, unnest(regexp_extract_all(text, '((?:口座番号|普通預金|当座預金|普通|当座) *[:：]? *(?:No[.]? *)?[0-9０-９]{{7}})[^0-9０-９]', 1)) AS value FROM a""")
 def d8_bank_account(spark: SparkSession, d: str) -> DataFrame:
-    return _detected(spark, d, detectors.BANK)
+    k = F.col("c_custkey").cast("long")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), (at % len(values)).cast("int"))
+    text = F.concat(F.lit("振込先 "), pick(BANK_WORDS, k), pick(BANK_MARKS, F.floor(k / 6)), pick(BANK_NUMBERS, F.floor(k / 30)), F.lit(" "))
+    lines = table(spark, d, "customer").select(F.concat(F.lit("bank/"), k.cast("string")).alias("path"), F.lit(None).cast("int").alias("page"), F.lit(1).alias("line"), F.lit("text").alias("kind"), text.alias("text"))
+    return detectors.detect(lines, (detectors.BANK,)).select("category", "path", "line", "value")
+
+
+def _credential_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' lines and, for each customer, a token of each public format."""
+    k = F.col("c_custkey").cast("string")
+    fill = lambda n: F.rpad(F.concat(k, F.lit("Q")), n, "7")
+    texts = F.array(
+        F.concat(F.lit("id AKIA"), F.rpad(k, 16, "Z"), F.lit(" end")), F.lit("-----BEGIN RSA PRIVATE KEY-----"), F.concat(F.lit("ghp_"), fill(36)), F.concat(F.lit("xoxb-"), fill(12)),
+        F.concat(F.lit("AIza"), fill(35), F.lit(" ")), F.concat(F.lit("sk_live_"), fill(16)), F.concat(F.lit("eyJ"), fill(10), F.lit("."), fill(10), F.lit("."), fill(10)), F.concat(F.lit('Password: "'), fill(8), F.lit('"')),
+    )
+    own = table(spark, d, "customer").select(F.concat(F.lit("cred/"), k).alias("path"), F.posexplode(texts).alias("_i", "text")).select("path", (F.col("_i") + 1).alias("line"), "text")
+    return _lines(spark, d).select("path", "line", "text").unionByName(own)
+
 
+_CREDENTIALS = {name: rx.replace("'", "''") for name, rx in credentials.RULES.items()}
 
-@query(rf"""WITH {SQL_LINES}, m AS (SELECT path, line, unnest(regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']? ?[:=] ?["'']?[A-Za-z0-9+/_.=\-]{{8,}}')) AS v FROM lines)
-SELECT path, line::INT AS line, 'assigned_secret' AS rule, left(v, 4) || repeat('*', length(v) - 4) AS detail FROM m
-UNION ALL SELECT path, line::INT, 'aws_access_key', left(v, 4) || repeat('*', length(v) - 4) FROM (SELECT path, line, unnest(regexp_extract_all(text, '\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b')) AS v FROM lines)""")
+
+@query(rf"""WITH {SQL_LINES}, c AS (SELECT c_custkey::varchar AS k FROM customer), f AS (SELECT k, rpad(k || 'Q', 8, '7') AS f8, rpad(k || 'Q', 10, '7') AS f10, rpad(k || 'Q', 12, '7') AS f12, rpad(k || 'Q', 16, '7') AS f16, rpad(k || 'Q', 35, '7') AS f35, rpad(k || 'Q', 36, '7') AS f36 FROM c),
+t AS (SELECT 'cred/' || k AS path, ['id AKIA' || rpad(k, 16, 'Z') || ' end', '-----BEGIN RSA PRIVATE KEY-----', 'ghp_' || f36, 'xoxb-' || f12, 'AIza' || f35 || ' ', 'sk_live_' || f16, 'eyJ' || f10 || '.' || f10 || '.' || f10, 'Password: "' || f8 || '"'] AS t FROM f),
+al AS (SELECT path, line, text FROM lines UNION ALL SELECT path, generate_subscripts(t, 1), unnest(t) FROM t),
+m AS ({" UNION ALL ".join(f"SELECT path, line, '{name}' AS rule, unnest(regexp_extract_all(text, '{rx}')) AS v FROM al" for name, rx in _CREDENTIALS.items())})
+SELECT path, line::INT AS line, rule, left(v, 4) || repeat('*', length(v) - 4) AS detail FROM m""")
 def d9_credentials(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.credential_hits(_lines(spark, d))
+    return credentials.credential_hits(_credential_lines(spark, d))
+
+
+@query("SELECT path, 'credential_file' AS rule, string_split(path, '/')[-1] AS detail FROM (SELECT 'h/' || doc_id || '/' || ['.env', '.env.local', 'auth.json', 'id_rsa', 'key.PEM', 'readme.md', 'my.envelope', 'store.jks'][doc_id % 8 + 1] AS path FROM documents) WHERE NOT regexp_matches(path, 'md$|envelope$')")
+def d9_refused_files(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, (".env", ".env.local", "auth.json", "id_rsa", "key.PEM", "readme.md", "my.envelope", "store.jks")))
+    i = F.col("doc_id")
+    path = F.concat(F.lit("h/"), i.cast("string"), F.lit("/"), F.get(names, (i % 8).cast("int")))
+    return credentials.refused_files(table(spark, d, "documents").select(path.alias("path"))).select("path", "rule", "detail")
 
 
 def _image_meta(spark: SparkSession, d: str) -> DataFrame:
@@ -295,17 +359,21 @@ def d11_author_metadata(spark: SparkSession, d: str) -> DataFrame:
     return images.author_metadata(_image_meta(spark, d))
 
 
+@query("SELECT 'img/' || o_orderkey || '.jpg' AS path, 1 AS line, 'metadata' AS kind, o_orderpriority AS text FROM orders WHERE o_orderkey % 4 = 2")
+def d11_metadata_lines(spark: SparkSession, d: str) -> DataFrame:
+    return images.metadata_lines(_image_meta(spark, d)).select("path", "line", "kind", "text")
+
+
 @query("""SELECT o_orderkey, nullif(trim(trim(regexp_replace('(' || o_orderpriority || ' ;) ', '\\s+', ' ', 'g')), ',;:()<>[]{}"''`'), '') AS value FROM orders""".replace("\\\\", "\\"))
 def d12_normalize_value(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", T.normalize_value(F.concat(F.lit("("), "o_orderpriority", F.lit(" ;) "))).alias("value"))
 
 
 @query("""SELECT doc_id, CASE WHEN s - 40 > 0 THEN '…' ELSE '' END || replace(substring(text, (greatest(s - 40, 0) + 1)::INT, (least(s + 45, length(text)) - greatest(s - 40, 0))::INT), chr(9), ' ') || CASE WHEN s + 45 < length(text) THEN '…' ELSE '' END AS context
-FROM (SELECT doc_id, text, doc_id % 200 AS s FROM documents WHERE length(text) > 300)""")
+FROM (SELECT doc_id, text, least(doc_id % 200, greatest(length(text) - 5, 0)) AS s FROM documents)""")
 def d13_context(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.length("text") > 300)
-    at = (F.col("doc_id") % 200).cast("int")
-    return docs.select("doc_id", T.context(F.col("text"), at, at + 5).alias("context"))
+    at = F.least(F.col("doc_id") % 200, F.greatest(F.length("text") - 5, F.lit(0))).cast("int")
+    return table(spark, d, "documents").select("doc_id", T.context(F.col("text"), at, at + 5).alias("context"))
 
 
 # Joins
@@ -328,7 +396,6 @@ def j1_merge_overlapping(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SQL_LINES}, h AS (SELECT DISTINCT text, length(text) AS n FROM lines) SELECT path, line::INT AS line, n::INT AS n FROM lines JOIN h USING (text)")
 def j2_attach_locations(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
-    hits = model.distinct_lines(lines.withColumn("seq", F.col("line"))).select("text")
     plain = lines.select("path", "line", "text")
     hits = plain.select("text").distinct().withColumn("n", F.length("text"))
     return merge.attach_locations(hits, plain).select("path", "line", "n")
@@ -430,11 +497,18 @@ def a5_distinct_lines(spark: SparkSession, d: str) -> DataFrame:
     return model.distinct_lines(_lines(spark, d).withColumn("seq", seq))
 
 
-@query(f"WITH {_FOUND} SELECT (SELECT count(*) FROM documents) AS files_seen, count(DISTINCT (category, key)) AS findings_count, count(DISTINCT (category, key, path, line)) AS occurrences, count(*) = 0 AS ok FROM keyed")
+@query(f"""WITH {_FOUND} SELECT (SELECT count(*) FROM documents) AS files_seen, count(DISTINCT (category, key)) AS findings_count, count(DISTINCT (category, key, path, line)) AS occurrences, count(*) = 0 AS ok,
+  (SELECT array_to_string(list(p ORDER BY p), ' ') FROM (SELECT '/home/u/.ssh/' || doc_id AS p FROM documents WHERE doc_id % 20 = 0 ORDER BY p LIMIT 50)) AS first_skipped,
+  (SELECT count(*) FROM lineitem) AS images_total, (SELECT count(*) FROM j WHERE status = 'selected' AND ocr_chars >= 4) AS images_ocr, (SELECT count(*) FROM j WHERE status = 'small') AS images_skipped_small, (SELECT count(*) FROM j WHERE status = 'cap') AS images_skipped_cap,
+  (SELECT coalesce(sum(cost), 0) FROM o WHERE admitted)::BIGINT AS tokens_processed, (SELECT coalesce(sum(cost), 0) FROM o WHERE NOT admitted)::BIGINT AS tokens_over FROM keyed""".replace("WITH ", "WITH RECURSIVE @IMAGES@, @BUDGET@, ", 1))
 def a6_scan_summary(spark: SparkSession, d: str) -> DataFrame:
     found = findings.aggregate_findings(_bank_and_mail(spark, d))
-    _, skipped = files.split_refused(_files(spark, d))
-    return report.scan_summary(_files(spark, d), found, skipped).select("files_seen", "findings_count", "occurrences", "ok")
+    i = F.col("doc_id")
+    path = F.concat(F.when(i % 20 == 0, "/home/u/.ssh/").otherwise("/data/"), i.cast("string"))
+    all_files = table(spark, d, "documents").select(path.alias("path"))
+    _, skipped = files.split_refused(all_files)
+    out = report.scan_summary(all_files, found, skipped, images.select_ocr_images(_images(spark, d)), model.apply_token_budget(_budget_lines(spark, d), 20_000))
+    return out.withColumn("first_skipped", F.array_join("first_skipped", " "))
 
 
 # Windows and order
@@ -470,12 +544,24 @@ def w3_visual_review(spark: SparkSession, d: str) -> DataFrame:
     return images.visual_review(_images(spark, d)).select("bundle", "path", "nth", "overflow")
 
 
-@query()
-def w4_token_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Costs are words, not a model's tokens. tests/ compares with the plain greedy pass."""
+def _budget_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Costs are words, not a model's tokens."""
     i = F.col("doc_id")
-    lines = table(spark, d, "documents").select(F.col("source").alias("bundle"), (i % 5).cast("int").alias("priority"), i.alias("seq"), "text", F.size(F.split("text", r"\s+")).alias("tokens"))
-    return model.apply_token_budget(lines, 20_000).select("bundle", "priority", "seq", "tokens", "admitted")
+    return table(spark, d, "documents").select(F.col("source").alias("bundle"), (i % 5).cast("int").alias("priority"), i.alias("seq"), "text", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("tokens"))
+
+
+BUDGET_SQL = """b AS (SELECT source AS bundle, (doc_id % 5)::INT AS priority, doc_id AS seq, (length(text) - length(replace(text, ' ', '')))::INT AS tokens, length(text) - length(replace(text, ' ', '')) + 1 AS cost,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id % 5, doc_id) AS n FROM documents),
+g AS (SELECT bundle, n, cost <= 20000 AS admitted, CASE WHEN cost <= 20000 THEN 20000 - cost ELSE 20000 END AS rest FROM b WHERE n = 1
+  UNION ALL SELECT b.bundle, b.n, b.cost <= g.rest, CASE WHEN b.cost <= g.rest THEN g.rest - b.cost ELSE g.rest END FROM g JOIN b ON b.bundle IS NOT DISTINCT FROM g.bundle AND b.n = g.n + 1),
+o AS (SELECT b.*, g.admitted FROM b JOIN g ON b.bundle IS NOT DISTINCT FROM g.bundle AND b.n = g.n)"""
+ORACLE_SQL["a6_scan_summary"] = ORACLE_SQL["a6_scan_summary"].replace("@BUDGET@", BUDGET_SQL).replace("@IMAGES@", _IMAGES + """,
+j AS (SELECT *, CASE WHEN small THEN 'small' WHEN row_number() OVER (PARTITION BY bundle, small ORDER BY width * height DESC, path) <= 40 THEN 'selected' ELSE 'cap' END AS status FROM (SELECT *, least(width, height) < 120 OR width * height < 60000 AS small FROM i))""")
+
+
+@query(f"WITH RECURSIVE {BUDGET_SQL} SELECT bundle, priority, seq, tokens, admitted FROM o")
+def w4_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    return model.apply_token_budget(_budget_lines(spark, d), 20_000).select("bundle", "priority", "seq", "tokens", "admitted")
 
 
 @query("""WITH n AS (SELECT doc_id, n_chars AS n, ceil(greatest(n_chars - 1536, 0) / 1280.0)::BIGINT AS last FROM documents WHERE n_chars > 0), w AS (SELECT doc_id, n, last, unnest(range(0, last + 1)) AS "window" FROM n)
@@ -533,13 +619,13 @@ def f3_content_sha256(spark: SparkSession, d: str) -> DataFrame:
     return files.content_sha256(document_texts(spark, d).withColumn("content", F.encode("text", "UTF-8")))
 
 
-@query(f"WITH {SQL_SYNTH} SELECT path, line::INT AS line, '住所' || text || ' 終' AS text FROM synth WHERE line = 4")
+@query(f"WITH {SQL_SYNTH} SELECT path, line::INT AS line, '住所' || text || '  終' AS text FROM synth WHERE line = 4")
 def f4_cjk_despace(spark: SparkSession, d: str) -> DataFrame:
     lines = synthetic_lines(spark, d).where("line = 4")
-    return lines.select("path", "line", T.cjk_despace(F.concat(F.lit("住 所 "), "text", F.lit(" 終"))).alias("text"))
+    return lines.select("path", "line", T.cjk_despace(F.concat(F.lit("住 所 "), "text", F.lit("  終"))).alias("text"))
 
 
-@query(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(replace(replace(replace(html, '</row>', chr(10)), '</si>', chr(10)), '</c>', chr(9)), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS text FROM pages""")
+@query(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(replace(replace(replace(html, '</row>', chr(10)), '</si>', chr(10)), '</c>', chr(9)), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS text FROM pages""")
 def f5_xml_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.xml_to_text(F.col("html")).alias("text"))
 
@@ -560,25 +646,61 @@ def _word_scorer():
 LABELS = ["O", "B-private_person", "I-private_person", "E-private_person", "S-private_person"]
 
 
-@query(rf"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\s]+')) AS w FROM documents) SELECT doc_id, count(*) AS n_tokens FROM p GROUP BY doc_id""")
+_TOKENS = r"""p AS (SELECT doc_id, unnest(regexp_extract_all(text, '\s*[^\s]+')) AS w, generate_subscripts(regexp_extract_all(text, '\s*[^\s]+'), 1) AS i FROM documents),
+q AS (SELECT doc_id, i, regexp_replace(w, '^\s+', '') AS w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM p)"""
+
+
+@query(f"""WITH {_TOKENS} SELECT doc_id, (i - 1)::INT AS pos, (upto - length(w))::INT AS start, upto::INT AS "end", CASE WHEN upper(w[1]) = w[1] AND lower(w[1]) <> w[1] THEN 4.0 ELSE 0.0 END::DOUBLE AS name FROM q""")
 def m1_score_tokens(spark: SparkSession, d: str) -> DataFrame:
     scored = model.score_tokens(table(spark, d, "documents"), _word_scorer)
-    return scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    return scored.select("doc_id", "pos", "start", "end", F.get("logits", F.lit(4)).cast("double").alias("name"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\s]+')) AS w FROM documents) SELECT doc_id, count(*) AS n_spans FROM p WHERE upper(w[1]) = w[1] AND lower(w[1]) <> w[1] GROUP BY doc_id""")
+@query(f"""WITH {_TOKENS} SELECT doc_id, 'private_person' AS category, (upto - length(w))::INT AS start, upto::INT AS "end", round(exp(4) / (exp(4) + 4), 6) AS score FROM q WHERE upper(w[1]) = w[1] AND lower(w[1]) <> w[1]""")
 def m2_decode_spans(spark: SparkSession, d: str) -> DataFrame:
     scored = model.score_tokens(table(spark, d, "documents"), _word_scorer)
-    return model.decode_spans(scored, LABELS).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"))
+    return model.decode_spans(scored, LABELS).withColumn("score", F.round("score", 6))
 
 
 # Workloads
 
 
-@query()
+_JP = r"(?:^|[^0-9\-])(0[0-9]{1,4}-[0-9]{1,4}-[0-9]{3,4}|0[5789]0[0-9]{8}|\(0[0-9]{1,4}\)\s?[0-9]{1,4}-[0-9]{4})(?:$|[^0-9\-])"
+_INTL = r"(?:^|[^\pL\pN_+])(\+[0-9]{1,3}[\s\-]?\(?[0-9]{1,4}\)?(?:[\s\-]?[0-9]{2,4}){2,4})(?:$|[^0-9])"
+_EXAMPLE = r"@([A-Za-z0-9_\-]+\.)*(example\.(com|org|net)|example|test|invalid|localhost)$"
+
+
+@query(rf"""WITH {SQL_LINES}, al AS (SELECT path, line, left(text, 20000) AS text FROM lines),
+raws AS (SELECT 'private_phone' AS category, path, line, unnest(regexp_extract_all(text, '{_JP}', 1)) AS raw, text FROM al
+  UNION ALL SELECT 'private_phone', path, line, unnest(regexp_extract_all(text, '{_INTL}', 1)), text FROM al
+  UNION ALL SELECT 'private_email', path, line, unnest(regexp_extract_all(text, '{_MAIL}', 1)), text FROM al
+  UNION ALL SELECT 'account_number', path, line, unnest(regexp_extract_all(text, '{_CARD}', 1)), text FROM al),
+n AS (SELECT category, path, line, text, raw, trim(regexp_replace(raw, '\s+', ' ', 'g'), ' ,;:()<>[]{{}}"''`') AS value, regexp_replace(raw, '[^0-9]', '', 'g') AS digits FROM raws),
+ok AS (SELECT category, path, line, value, CASE category WHEN 'private_email' THEN lower(value) ELSE value END AS key FROM n WHERE CASE category WHEN 'private_phone' THEN length(digits) BETWEEN 10 AND 15
+  WHEN 'private_email' THEN NOT regexp_matches(raw, '{_EXAMPLE}') ELSE {_CARD_OK} AND (regexp_matches(raw, '[^0-9]') OR regexp_matches(text, '(?i)card|credit|visa|master|amex|jcb')) END),
+pl AS (SELECT DISTINCT category, key, path, line FROM ok),
+ho AS (SELECT a.category, a.key, arg_max(b.key, length(b.key)) AS host FROM pl a JOIN pl b ON a.category = b.category AND a.path = b.path AND a.line = b.line
+  AND length(b.key) > length(a.key) AND contains(replace(b.key, ' ', ''), replace(a.key, ' ', '')) GROUP BY a.category, a.key),
+ro AS (SELECT DISTINCT pl.category, coalesce(ho.host, pl.key) AS key, path, line FROM pl LEFT JOIN ho USING (category, key)),
+na AS (SELECT category, key, arg_min(value, path || chr(0) || lpad(line::varchar, 9, '0')) AS value FROM ok GROUP BY category, key)
+SELECT category, CASE category WHEN 'private_phone' THEN '電話番号' WHEN 'private_email' THEN 'メールアドレス' ELSE '口座番号・カード番号等' END AS category_label, any_value(value) AS value, 'regex' AS detectors, 1.0::DOUBLE AS score, count(*) AS occurrences, least(count(*), 20)::INT AS n_locations
+FROM ro JOIN na USING (category, key) GROUP BY category, key""")
 def wl1_pii_report(spark: SparkSession, d: str) -> DataFrame:
-    """The report over all documents; tests/ holds its counts against known ones."""
-    return report.scan(_lines(spark, d)).withColumn("locations", F.to_json("locations"))
+    """The report over all documents; their texts hold no other kinds of values that the rules take."""
+    out = report.scan(_lines(spark, d))
+    return out.select("category", "category_label", "value", F.array_join("detectors", ",").alias("detectors"), "score", "occurrences", F.size("locations").alias("n_locations"))
+
+
+@query(rf"""WITH {ARCHIVES_SQL}, r AS (SELECT *, m NOT BETWEEN 1 AND 5 AS readable FROM k), v AS (SELECT doc_id, unnest(regexp_extract_all(text, '普通預金 [0-9]{{7}}')) AS value FROM r WHERE readable)
+SELECT 'finding' AS what, value AS name, count(DISTINCT doc_id) AS n FROM v GROUP BY value
+UNION ALL SELECT 'skip', CASE m WHEN 1 THEN 'unreadable zip (BadZipFile)' WHEN 2 THEN 'uninspectable archive' WHEN 3 THEN 'binary (not PII-scanned)' WHEN 4 THEN 'PDF without text layer (no OCR available)' ELSE 'refused location: .ssh' END, count(*) FROM r WHERE NOT readable GROUP BY m
+UNION ALL SELECT 'files', 'seen', count(*) FILTER (m <> 5) + count(*) FILTER (readable) FROM r""")
+def wl4_scan_files(spark: SparkSession, d: str) -> DataFrame:
+    """The scan of files: archives made of all documents, some damaged, closed, binary or in a refused place."""
+    out = report.scan_files(_archives(spark, d), (detectors.BANK,))
+    found = out.findings.select(F.lit("finding").alias("what"), F.col("value").alias("name"), F.col("occurrences").alias("n"))
+    skips = files.skip_summary(out.skipped).select(F.lit("skip").alias("what"), F.col("reason").alias("name"), "n")
+    return found.unionByName(skips).unionByName(out.summary.select(F.lit("files").alias("what"), F.lit("seen").alias("name"), F.col("files_seen").alias("n")))
 
 
 @query()
