@@ -18,7 +18,7 @@ PLACE = ("path", "line", "page")
 FINDING = ["category", "key"]
 
 
-def _norm(value: Column) -> Column:
+def without_space(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, r"(?U)[\s\x1c-\x1f]", ""))
 
 
@@ -29,6 +29,8 @@ def _inside(norm: Column, host: Column) -> Column:
 def containing_pairs(spots: DataFrame) -> DataFrame:
     """(category, key, host) of findings that share a place with an earlier one that contains them.
 
+    spots(category, key, rank, norm, _place): rank orders findings, norm is the value without space.
+
     An equi-join on the place; containment is tested on its rows. A place is one line of at most
     20,000 scanned characters, which bounds the findings that meet there.
     """
@@ -74,7 +76,7 @@ def merge_overlapping(findings: DataFrame, places: DataFrame) -> DataFrame:
     order = seen if "seq" in findings.columns else F.col("key")
     rank = F.struct((-F.length("value")).alias("shorter"), order.alias("seen"), F.col("key").alias("key")).alias("rank")
     # Written, so that a join of a hot finding's places is split, and findings are counted once.
-    base = materialized(findings.select(*FINDING, "value", "detectors", "score", "occurrences", rank, _norm(F.col("value")).alias("norm")), "findings")
+    base = materialized(findings.select(*FINDING, "value", "detectors", "score", "occurrences", rank, without_space(F.col("value")).alias("norm")), "findings")
     none = F.array().cast("array<string>")
     shown = [*FINDING, "value", "detectors", "score", "occurrences"]
     spots = materialized(places.select(*FINDING, spot.alias("_place")).distinct().join(base.select(*FINDING, "rank", "norm"), FINDING), "spots")

@@ -593,7 +593,10 @@ def u3_places_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Findings that share a place with a longer one that contains them, by an equi-join on the place."""
     matches = detectors.detect(synthetic_lines(spark, d), (detectors.JP_PHONE, detectors.INTL_PHONE))
     spot = F.concat_ws("/", "path", F.col("line").cast("string")).alias("_place")
-    return merge.containing_pairs(findings.distinct_places(matches).select("category", "key", F.col("first.value").alias("value"), spot))
+    value = F.col("first.value")
+    rank = F.struct((-F.length(value)).alias("shorter"), F.col("key").alias("key")).alias("rank")
+    spots = findings.distinct_places(matches).select("category", "key", rank, merge.without_space(value).alias("norm"), spot)
+    return merge.containing_pairs(spots).select("category", "key", F.col("host.key").alias("host_key"))
 
 
 # Scalar functions
