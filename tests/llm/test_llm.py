@@ -363,6 +363,14 @@ def test_markov_models_on_held_out_runs(spark, sf):
     assert found["precision"] > 0.9 and found["recall"] > 0.9 and found["secrets"] > 0 and found["runs"] > 10_000
 
 
+def test_texts_that_are_measured_on_are_not_learned_from(docs):
+    learned = secrets_scan.learn(docs)
+    measured = docs.select("text", secrets_scan._rank().alias("rank")).where(secrets_scan._part() == secrets_scan.MEASURED)
+    others = docs.join(measured.select("text").distinct(), "text", "left_anti")
+    same = secrets_scan._fitted(secrets_scan._sampled(others, secrets_scan.SAMPLE))
+    assert measured.count() > 0 and np.array_equal(learned.ratios, same.ratios) and learned.least == same.least
+
+
 def test_best_segments_equal_brute_force():
     draw = np.random.default_rng(5)
     ratios = draw.normal(0, 3, (secrets_scan.START + 1, secrets_scan.START))
