@@ -71,7 +71,7 @@ def test_damaged_and_closed_files_leave_a_skip_row(spark):
     skips = {r.path: r.reason for r in out if r.what == "skip"}
     assert skips["t.zip"].startswith("unreadable zip") and skips["g.gz"].startswith("corrupt gzip stream")
     assert skips["d.zip"].startswith(("error (", "unreadable zip")) and {skips[x] for x in ("s.7z", "r.rar", "z.zst")} == {"uninspectable archive"}
-    assert {r.path for r in out if r.path.startswith("l.zip")} == {"l.zip!a.txt"} and not any(r.content for r in out if r.path.startswith("l.zip"))
+    assert {r.path for r in out if r.path.startswith("l.zip") and r.what != "archive"} == {"l.zip!a.txt"} and not any(r.content for r in out if r.path.startswith("l.zip"))
     assert [bytes(r.content) for r in out if r.path == "h.tgz!a.txt" and r.what == "file"] == [b"one"]
 
 
@@ -99,7 +99,8 @@ def test_scan_of_files(spark):
     }
     assert {r.path for r in out.images.collect()} == {"/data/in.zip!d.docx!word/media/p.png"}
     facts = out.summary.first()
-    assert (facts.files_seen, facts.findings_count, facts.ok) == (9, 6, False) and len(facts.first_skipped) == 5
+    # Seven files that are not refused, and the three that archives and office files hold, d.docx among them.
+    assert (facts.files_seen, facts.findings_count, facts.ok) == (10, 6, False) and len(facts.first_skipped) == 5
     assert render_head(out.summary).first().section.startswith("# PII report\n\n- findings: 6\n- model: NOT used\n")
     assert "- binary (not PII-scanned): 1 (e.g. /data/b.bin)" in {r.section for r in render_skipped(out.skipped).collect()}
 

@@ -58,6 +58,15 @@ MODEL_WORTHY = (
 HUMAN_FILENAME = r"[぀-ヿ㐀-鿿]| |[A-Z][a-z]+[_\-.][A-Z][a-z]+"
 EDGE_PUNCTUATION = ",;:()<>[]{}\"'`「」『』、。，．・"
 
+#: Kind by the first bytes, as hexadecimal prefixes.
+MAGIC = (
+    ("pdf", "25504446"), ("image", "89504E470D0A1A0A"), ("image", "FFD8FF"), ("image", "474946383761"), ("image", "474946383961"),
+    ("image", "424D"), ("image", "49492A00"), ("image", "4D4D002A"), ("zip", "504B0304"), ("zip", "504B0506"), ("gzip", "1F8B"),
+    ("bz2", "425A68"), ("xz", "FD377A585A00"), ("x:7z", "377ABCAF271C"), ("x:rar", "526172211A07"), ("x:zstd", "28B52FFD"),
+)
+#: Office kinds by the members that mark them.
+OFFICE_MARKS = (("docx", ("word/document.xml",)), ("xlsx", ("xl/workbook.xml",)), ("pptx", ("ppt/presentation.xml",)), ("odf", ("content.xml", "mimetype")))
+OFFICE_AUTHOR = "<{tag}[^>]*>([^<]+)</{tag}>"
 XML_LINE_END = r"</(?:w:p|a:p|text:p|text:h)>|<(?:w:br|w:tab|a:br|text:line-break)[^>]*/?>|</si>|</row>"
 XML_CELL_END = "</c>|</w:tc>"
 XML_TAG = "<[^>]+>"
@@ -95,5 +104,8 @@ TOKEN_BUDGET = 40_000
 MODEL_WINDOW, MODEL_CONTEXT = 1536, 128
 MIN_SPAN_SCORE = 0.6
 OCR_MIN_SIDE, OCR_MIN_AREA, MAX_OCR = 120, 60_000, 40
-MAX_VISUAL = 20
+MAX_VISUAL, MIN_OCR_CHARS = 20, 4
 # End of fixed values.
+
+#: Reasons of our own.
+UNPACKS_TOO_FAR = "archive unpacks to more than the limit"

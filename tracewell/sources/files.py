@@ -1,17 +1,8 @@
-"""Files as rows: reading, refusing, sniffing, decoding, opening archives, and checks on names and sizes."""
+"""Files as rows: reading, refusing, sniffing, decoding, and checks on names and sizes."""
 
 from __future__ import annotations
 
-import bz2
-import functools
-import gzip
 import hashlib
-import io
-import lzma
-import re
-import tarfile
-import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +14,7 @@ from pyspark.sql.types import StringType
 from tracewell.functions import patterns as P
 from tracewell.functions import text as T
 from tracewell.functions.tables import in_ranges, materialized
+from tracewell.sources.archives import ROW_SCHEMA, Limits, Row, in_batches, unpack
 
 REFUSED = {
     "/mnt/skills": r"(?:^|/)mnt/skills(?:/|$)",
@@ -96,19 +88,11 @@ def decode_text(content: Column) -> Column:
     return F.when(marked, _decode_other(content)).when(binary, None).when(plain, content.cast("string")).otherwise(_decode_other(content))
 
 
-#: Kind by the first bytes, as hexadecimal prefixes.
-MAGIC = (
-    ("pdf", "25504446"), ("image", "89504E470D0A1A0A"), ("image", "FFD8FF"), ("image", "474946383761"), ("image", "474946383961"),
-    ("image", "424D"), ("image", "49492A00"), ("image", "4D4D002A"), ("zip", "504B0304"), ("zip", "504B0506"), ("gzip", "1F8B"),
-    ("bz2", "425A68"), ("xz", "FD377A585A00"), ("x:7z", "377ABCAF271C"), ("x:rar", "526172211A07"), ("x:zstd", "28B52FFD"),
-)
-
-
 def sniff_kind(content: Column, path: Column) -> Column:
     """Pdf, image, zip, tar, gzip, bz2, xz, x:... or raw."""
     head = F.hex(F.substring(content, 1, 12))
     out = F.coalesce(
-        *[F.when(head.startswith(prefix), F.lit(kind)) for kind, prefix in MAGIC],
+        *[F.when(head.startswith(prefix), F.lit(kind)) for kind, prefix in P.MAGIC],
         F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), F.lit("image")),
         F.when(F.hex(F.substring(content, 258, 5)) == "7573746172", F.lit("tar")),
         F.when(extension(path).isin(*P.IMAGE_EXTENSIONS), F.lit("image")),
@@ -117,153 +101,38 @@ def sniff_kind(content: Column, path: Column) -> Column:
     return out
 
 
-#: Office kinds by the members that mark them.
-OFFICE_MARKS = (("docx", {"word/document.xml"}), ("xlsx", {"xl/workbook.xml"}), ("pptx", {"ppt/presentation.xml"}), ("odf", {"content.xml", "mimetype"}))
-
-#: Rows of what is found in a file: path, what, content and reason. what is file (to be scanned as it is), part or meta
-#: (of an office file), name (a member, also one that can't be read) or skip.
-Row = tuple[str, str, bytes | None, str | None]
-#: Files still to look at: path, bytes, and how many archives they are in.
-Item = tuple[str, bytes, int]
-_SIGNS = sorted(((bytes.fromhex(sign), kind) for kind, sign in MAGIC if kind not in ("pdf", "image")), key=lambda x: -len(x[0]))
-_STREAMS = {"gzip": lambda source: gzip.GzipFile(fileobj=source), "bz2": bz2.BZ2File, "xz": lzma.LZMAFile}
-_STREAM_ERRORS = (OSError, EOFError, lzma.LZMAError, zlib.error)
-_READ = 1 << 20
-
-
-def archive_kind(raw: bytes) -> str:
-    found = next((kind for sign, kind in _SIGNS if raw.startswith(sign)), None)
-    return found or ("tar" if raw[257:262] == b"ustar" else "raw")
-
-
-class _Unpacked:
-    """What one archive gives: rows that are final, and items for the work stack."""
-
-    def __init__(self, path: str, depth: int):
-        self.path, self.depth = path, depth
-        self.rows: list[Row] = []
-        self.items: list[Item] = []
-
-    def member(self, name: str, content: bytes | None) -> None:
-        inner = f"{self.path}!{name}"
-        self.rows.append((inner, "name", None, None))
-        if content is not None:
-            self.items.append((inner, content, self.depth + 1))
-
-    def skip(self, reason: str) -> None:
-        self.rows.append((self.path, "skip", None, reason))
-
-
-def _office(archive: zipfile.ZipFile, kind: str, out: _Unpacked, limit: int) -> None:
-    """Parts with text, parts with authors, and pictures, which are files that no archive is looked for in."""
-    for name in sorted(set(archive.namelist())):
-        inner = f"{out.path}!{name}"
-        if re.match(P.OFFICE_META, name) or (kind == "odf" and name == "meta.xml"):
-            out.rows.append((inner, "meta", archive.read(name), None))
-        elif re.match(P.OFFICE_PARTS[kind], name):
-            out.rows.append((inner, "part", archive.read(name), None))
-        elif name.startswith(P.OFFICE_MEDIA) and name.lower().endswith(P.IMAGE_EXTENSIONS):
-            out.items.append((inner, archive.read(name), limit))
-
-
-def _open_zip(raw: bytes, out: _Unpacked, limit: int) -> None:
-    try:
-        with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-            names = set(archive.namelist())
-            office = next((kind for kind, marks in OFFICE_MARKS if marks <= names), None)
-            if office:
-                _office(archive, office, out, limit)
-            elif out.depth >= limit:
-                out.skip(P.TOO_DEEP)
-            else:
-                for info in archive.infolist():
-                    closed = info.is_dir() or bool(info.flag_bits & 1)
-                    out.member(info.filename, None)
-                    if not closed:
-                        out.items.append((f"{out.path}!{info.filename}", archive.read(info), out.depth + 1))
-    except (zipfile.BadZipFile, OSError, NotImplementedError, RuntimeError) as error:
-        out.skip(f"unreadable zip ({type(error).__name__})")
-
-
-def _open_tar(raw: bytes, out: _Unpacked, limit: int) -> bool:
-    """Whether it is a tar; members before a damaged place are found."""
-    try:
-        with tarfile.open(fileobj=io.BytesIO(raw), mode="r:") as archive:
-            for info in archive:
-                source = archive.extractfile(info) if info.isfile() else None
-                out.member(info.name, source.read() if source else None)
-    except (tarfile.TarError, OSError, EOFError):
-        return bool(out.rows)
-    return True
-
-
-def _open_stream(kind: str, raw: bytes, out: _Unpacked, limit: int) -> None:
-    """A compressed tar, or one compressed file. What comes before a damaged place is still looked at as a tar."""
-    data, broken = io.BytesIO(), None
-    try:
-        with _STREAMS[kind](io.BytesIO(raw)) as source:
-            while part := source.read(_READ):
-                data.write(part)
-    except _STREAM_ERRORS as error:
-        broken = type(error).__name__
-    is_tar = _open_tar(data.getvalue(), out, limit)
-    if broken:
-        out.skip(f"corrupt {kind} stream ({broken})")
-    elif not is_tar:
-        out.items.append((f"{out.path}!<decompressed>", data.getvalue(), out.depth + 1))
-
-
-OPENERS = {"zip": _open_zip, "tar": _open_tar, **{kind: functools.partial(_open_stream, kind) for kind in _STREAMS}}
-
-
-def unpack(path: str, raw: bytes, limit: int) -> Iterator[Row]:
-    """All rows of a file. Whatever goes wrong with it ends as a skip row and never ends the job."""
-    todo: list[Item] = [(path, raw, 0)]
-    while todo:
-        inner, content, depth = todo.pop()
-        kind, out = archive_kind(content), _Unpacked(inner, depth)
-        try:
-            if kind.startswith("x:"):
-                out.skip(P.NO_ARCHIVE)
-            elif kind == "raw":
-                out.rows.append((inner, "file", content, None))
-            elif kind != "zip" and depth >= limit:
-                out.skip(P.TOO_DEEP)
-            else:
-                OPENERS[kind](content, out, limit)
-        except Exception as error:  # any damage that the formats' readers have no name for
-            out.rows.append((path, "skip", None, f"error ({type(error).__name__}: {error})"))
-        yield from out.rows
-        todo += reversed(out.items)
-
-
-def expand_archives(files: DataFrame, max_depth: int = P.MAX_ARCHIVE_DEPTH) -> DataFrame:
+def expand_archives(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Path, what, content and reason of files, archive members, office parts, names and skips.
 
-    An archive is opened by the task that holds it, member by member.
+    Of files(path, content). An archive is opened by the task that holds it, member by member; no file ends the job.
+    For files that are too large for a row see tree.read_tree().
     """
-    kinds = (pa.string(), pa.string(), pa.binary(), pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
         for batch in batches:
             for path, raw in zip(batch.column("path"), batch.column("content")):
-                for row in unpack(path.as_py(), raw.as_py() or b"", max_depth):
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["path", "what", "content", "reason"])
+                held = raw.as_buffer() if raw.is_valid else pa.py_buffer(b"")
+                yield from unpack(path.as_py() or "", pa.BufferReader(held), held.size, limits)
+
+    return files.select("path", "content").mapInArrow(lambda batches: in_batches(rows(batches)), ROW_SCHEMA)
+
 
-    return files.select("path", "content").mapInArrow(run, "path string, what string, content binary, reason string")
+def _utf8(content: Column) -> Column:
+    """Text of bytes of which those that aren't UTF-8 become replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def office_text(expanded: DataFrame) -> DataFrame:
     """Path and text of the parts of office files."""
-    return expanded.where("what = 'part'").select("path", T.xml_to_text(F.decode("content", "UTF-8")).alias("text"))
+    return expanded.where("what = 'part'").select("path", T.xml_to_text(_utf8(F.col("content"))).alias("text"))
 
 
 def office_authors(expanded: DataFrame) -> DataFrame:
     """D11 for office files: path, tag, value."""
-    xml = F.decode("content", "UTF-8")
+    xml = _utf8(F.col("content"))
 
     def named(tag: str) -> Column:
-        values = F.regexp_extract_all(xml, F.lit(rf"<{tag}[^>]*>([^<]+)</{tag}>"), F.lit(1))
+        values = F.regexp_extract_all(xml, F.lit(P.OFFICE_AUTHOR.format(tag=tag)), F.lit(1))
         return F.transform(values, lambda v: F.struct(F.lit(tag).alias("tag"), v.alias("value")))
 
     found = expanded.where("what = 'meta'").select("path", F.explode(F.concat(*map(named, P.OFFICE_AUTHOR_TAGS))).alias("m"))
