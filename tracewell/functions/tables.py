@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,8 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Open scratch() blocks, each with the tables that were written in it.
-_SCOPES: list[list[str]] = []
+#: Open scratch() blocks of this thread, each with the tables that were written in it.
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
     """A new path; lasting ones belong to the scratch() block around the innermost, if any."""
     path = f"{shared_dir(spark)}/tracewell-{name}-{uuid.uuid4().hex}"
-    scope = len(_SCOPES) - (2 if lasting else 1)
-    if scope >= 0:
-        _SCOPES[scope].append(path)
+    open_ = _SCOPES.get()[:-1] if lasting else _SCOPES.get()
+    if open_:
+        open_[-1].append(path)
     return path
 
 
@@ -50,11 +51,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     A frame that reads them must be used up inside.
     """
     paths: list[str] = []
-    _SCOPES.append(paths)
+    before = _SCOPES.set((*_SCOPES.get(), paths))
     try:
         yield
     finally:
-        _SCOPES.remove(paths)
+        _SCOPES.reset(before)
         for path in paths:
             delete(spark, path)
 
@@ -71,9 +72,11 @@ def materialized(df: DataFrame, name: str, lasting: bool = False, compression: s
 
 
 def in_ranges(df: DataFrame, *order: str | Column) -> DataFrame:
-    """df sorted over range partitions, with _at: partition in the upper bits, row in it in the lower 33."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    """df sorted over range partitions, with _at: partition in the upper bits, row in it in the lower 33.
+
+    Spark joins small neighbouring ranges, so that their number follows the data.
+    """
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
 
 
 def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
@@ -97,3 +100,30 @@ def running_total(df: DataFrame, value: Column, group: str, *order: str) -> Data
     inside = F.sum("_value").over(Window.partitionBy("_range", group).orderBy("_at"))
     joined = rows.withColumn("_inside", inside).join(before, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
     return joined.withColumn("total", F.col("_before") + F.col("_inside")).drop("_value", "_range", "_at", "_inside", "_before", "_r", "_g")
+
+
+#: A key with more than a HEAVY-th of all rows is heavy; there are fewer than HEAVY of them.
+HEAVY = 1000
+
+
+def spread_join(few: DataFrame, many: DataFrame, on: list[str]) -> DataFrame:
+    """few.join(many, on), where one key may have a large part of the rows of many.
+
+    Keys of at least a HEAVY-th of the rows are found by count. Each is dealt over as many keys as its
+    share of the partitions, and its rows in few are copied to all of them. many is read twice and should
+    be a written table.
+    """
+    spark = many.sparkSession
+    total = many.count()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = many.withColumn("_key", F.xxhash64(*on))
+    counts = hashed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HEAVY > total)
+    heavy = counts.where(F.col("_n") * parts > total).select("_key", F.ceil(F.col("_n") * parts / total).cast("int").alias("_copies")).collect()
+    if not heavy:
+        return few.join(many, on)
+    copies = F.broadcast(spark.createDataFrame(heavy, "_key long, _copies int"))
+    salt = F.pmod(F.xxhash64(*many.columns), F.coalesce("_copies", F.lit(1)))
+    dealt = hashed.join(copies, "_key", "left").withColumn("_salt", salt).drop("_key", "_copies")
+    copied = few.withColumn("_key", F.xxhash64(*on)).join(copies, "_key", "left")
+    copied = copied.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("_copies", F.lit(1)) - 1).cast("long")))).drop("_key", "_copies")
+    return copied.join(dealt, [*on, "_salt"]).drop("_salt")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
@@ -18,7 +18,7 @@ RULES = {
     "json_web_token": r"\beyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}",
     "assigned_secret": r"""(?i:password|passwd|secret|token|api_?key)["']? ?[:=] ?["']?[A-Za-z0-9+/_.=\-]{8,}""",
 }
-REFUSED_NAMES = r"(?i)(?:^|/)(?:\.env(?:\..+)?|auth\.json|credentials|\.netrc|id_rsa|id_ed25519|[^/]+\.(?:jks|keystore|p12|pfx|pem))$"
+REFUSED_NAMES = r"(?i)(?:^|[/!])(?:\.env(?:\..+)?|auth\.json|credentials|\.netrc|id_rsa|id_ed25519|[^/!]+\.(?:jks|keystore|p12|pfx|pem))$"
 MASK_KEEP = 4
 
 
@@ -39,7 +39,34 @@ def credential_hits(lines: DataFrame) -> DataFrame:
 
 def refused_files(files: DataFrame) -> DataFrame:
     """Files that are credentials by name."""
-    return files.where(F.col("path").rlike(REFUSED_NAMES)).select("path", F.lit(None).cast("int").alias("line"), F.lit("credential_file").alias("rule"), F.element_at(F.split("path", "/"), -1).alias("detail"))
+    return files.where(F.col("path").rlike(REFUSED_NAMES)).select("path", F.lit(None).cast("int").alias("line"), F.lit("credential_file").alias("rule"), F.element_at(F.split("path", "[/!]"), -1).alias("detail"))
+
+
+#: Reasons for which a file could not be looked into: what it holds may be a credential.
+CLOSED = r"^(?:uninspectable archive|archive nesting too deep|archive unpacks to more than the limit|unreadable zip|corrupt \w+ stream|damaged tar|error \()"
+
+
+def root_of(path: Column) -> Column:
+    """The outermost file that a path of outer!member!member lies in."""
+    return F.substring_index(path, "!", 1)
+
+
+def file_hits(lines: DataFrame, names: DataFrame, skipped: DataFrame) -> DataFrame:
+    """D9 over files: root, path, line, rule and detail of each hit in lines, names of files and members, and closed archives.
+
+    lines(path, line, text) and names(path) are what the scan of files reads, skipped(path, reason) what it can't.
+    Whatever is hit, in whatever depth of archives, counts against its root.
+    """
+    content = credential_hits(lines)
+    named = refused_files(names)
+    closed = skipped.where(F.col("reason").rlike(CLOSED)).select("path", F.lit(None).cast("int").alias("line"), F.lit("uninspectable").alias("rule"), F.col("reason").alias("detail"))
+    hits = content.unionByName(named).unionByName(closed)
+    return hits.select(root_of(F.col("path")).alias("root"), "path", "line", "rule", "detail")
+
+
+def blocked_roots(hits: DataFrame) -> DataFrame:
+    """path of each root with a hit, for size_check(); nothing overrides it."""
+    return hits.select(F.col("root").alias("path")).distinct()
 
 
 def blocked(hits: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import patterns as P
 from tracewell.functions import text as T
+from tracewell.operators.findings import seen_at, step_of
 
 Check = Callable[[Column, Column], Column]
 
@@ -41,7 +42,7 @@ def card(require_context: bool = True) -> Detector:
     return Detector("card", "account_number", P.CARD, lambda x: x.rlike(r"(?U)\d{4}"), valid)
 
 
-JP_PHONE = Detector("jp_phone", "private_phone", P.JP_PHONE, lambda x: F.contains(x, F.lit("0")) | x.rlike(r"[^\x00-\x7f]"), _phone)
+JP_PHONE = Detector("jp_phone", "private_phone", P.JP_PHONE, lambda x: F.contains(x, F.lit("0")), _phone)
 INTL_PHONE = Detector("intl_phone", "private_phone", P.INTL_PHONE, lambda x: F.contains(x, F.lit("+")), _phone)
 POSTAL = Detector("postal", "private_address", P.POSTAL, lambda x: F.contains(x, F.lit("〒")))
 ADDRESS = Detector("address", "private_address", P.ADDRESS, lambda x: x.rlike("[都道府県]"))
@@ -66,7 +67,7 @@ def detect(lines: DataFrame, detectors: Sequence[Detector] = DETECTORS) -> DataF
     """A row for each match in lines(path, page, line, kind, text): category, value, detector, score, context and seq.
 
     No shuffle and no Python: each rule's pattern runs only on lines that pass its guard. seq is the
-    order in which findings are first seen: place, rule, position.
+    order in which findings are first seen: phase of the scan, place, rule, position.
     """
     scanned = lines.withColumn("_scan", F.substring("text", 1, P.MAX_SCANNED_CHARS))
     line = F.col("_scan")
@@ -77,7 +78,7 @@ def detect(lines: DataFrame, detectors: Sequence[Detector] = DETECTORS) -> DataF
     return hits.select(
         F.col("_m.category").alias("category"), value.alias("value"), F.lit("regex").alias("detector"), F.lit(1.0).alias("score"),
         "path", "page", "line", "kind", T.context(line, F.col("_m.start"), end).alias("context"),
-        F.struct("path", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("line", F.lit(0)).alias("line"), F.col("_m.rule").alias("rule"), F.col("_m.start").alias("start")).alias("seq"),
+        seen_at(F.col("kind"), F.col("path"), F.col("path"), F.col("page"), F.col("line"), F.col("_m.rule"), F.col("_m.start"), step_of(F.col("kind"))).alias("seq"),
     ).where("value IS NOT NULL")
 
 

@@ -9,10 +9,12 @@ what rests is the result of the pass one by one. Rounds join pairs of findings;
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.tables import materialized
+from tracewell.functions.tables import materialized, spread_join
 
 PLACE = ("path", "line", "page")
 FINDING = ["category", "key"]
@@ -72,8 +74,7 @@ def merge_overlapping(findings: DataFrame, places: DataFrame) -> DataFrame:
     absorbed lists the keys that were folded in.
     """
     spot = F.concat_ws("\x00", F.col("path"), F.coalesce(F.col("line"), F.lit(-1)).cast("string"), F.coalesce(F.col("page"), F.lit(-1)).cast("string"))
-    seen = F.format_string("%s\x00%010d%010d%05d%010d", *[F.col(f"seq.{c}") for c in ("path", "page", "line", "rule", "start")])
-    order = seen if "seq" in findings.columns else F.col("key")
+    order = F.col("seq") if "seq" in findings.columns else F.col("key")
     rank = F.struct((-F.length("value")).alias("shorter"), order.alias("seen"), F.col("key").alias("key")).alias("rank")
     # Written, so that a join of a hot finding's places is split, and findings are counted once.
     base = materialized(findings.select(*FINDING, "value", "detectors", "score", "occurrences", rank, without_space(F.col("value")).alias("norm")), "findings")
@@ -101,6 +102,9 @@ def merge_overlapping(findings: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
-def attach_locations(hits: DataFrame, locations: DataFrame) -> DataFrame:
-    """Results found once for a distinct text go to every place of that text."""
-    return hits.join(locations, "text")
+def attach_locations(hits: DataFrame, locations: DataFrame, on: Sequence[str] = ("text",)) -> DataFrame:
+    """Results found once for a distinct text go to every place of that text.
+
+    A text that stands on a large part of all lines is dealt over several keys. locations is read twice.
+    """
+    return spread_join(hits, locations, list(on))
