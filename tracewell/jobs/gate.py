@@ -34,8 +34,24 @@ def expiry_date(jwt: Column, lifetime: Column, today: Column) -> Column:
     return F.coalesce(F.when(stated.rlike(r"^\d{4}-\d{2}-\d{2}$"), stated), F.date_add(today, lifetime).cast("string"))
 
 
+def latest_reports(reports: DataFrame) -> DataFrame:
+    """The row of each bundle's latest report, by created, of reports that are kept for good.
+
+    A report without time is older than any other. Of reports of one time, one that is reviewed comes last, then the
+    one with fewer findings, then the one with the greater fingerprint.
+    """
+    kept = [c for c in reports.columns if c != "bundle"]
+    order = F.struct("created", F.coalesce("reviewed", F.lit(False)).alias("reviewed"), (-F.col("findings_count")).alias("fewer"), "fingerprint")
+    return reports.groupBy("bundle").agg(F.max_by(F.struct(*kept), order).alias("_latest")).select("bundle", *[F.col(f"_latest.{c}").alias(c) for c in kept])
+
+
 def release_gate(reports: DataFrame, current: DataFrame) -> DataFrame:
-    """Status and reasons of each bundle of current(bundle, fingerprint) by its latest report."""
+    """Status and reasons of each bundle of current(bundle, fingerprint) by its latest report.
+
+    reports may hold several reports of a bundle; created tells which is the latest. Without created, there is one for each.
+    """
+    if "created" in reports.columns:
+        reports = latest_reports(reports)
     model_missing = ~F.col("model_used") & ~F.coalesce(F.col("model_reason") == NO_MODEL_NEEDED, F.lit(False))
     reasons = F.array_compact(
         F.array(
@@ -44,7 +60,7 @@ def release_gate(reports: DataFrame, current: DataFrame) -> DataFrame:
             F.when(model_missing, F.concat(F.lit("model not used ("), F.coalesce("model_reason", F.lit("None")), F.lit(")"))).when(F.size("not_model_scanned") > 0, F.lit("token budget exceeded")),
         )
     )
-    joined = current.join(reports.withColumnRenamed("fingerprint", "_reported"), "bundle", "left")
+    joined = current.join(reports.withColumnRenamed("fingerprint", "_reported").withColumnRenamed("bundle", "_bundle"), F.col("bundle").eqNullSafe(F.col("_bundle")), "left")
     status = (
         F.when(F.col("_reported").isNull(), "missing")
         .when(F.col("_reported") != F.col("fingerprint"), "mismatched")
