@@ -182,3 +182,11 @@ def test_a_text_that_stands_everywhere_is_dealt_out(spark):
     out = merge.attach_locations(hits, spark.createDataFrame(rows, "text string, path string"))
     assert sorted((r.text, r.path, r.n) for r in out.collect()) == sorted((t, p, 1 if t == "hot" else 2) for t, p in rows if t in ("hot", "t1"))
     assert "_salt" in out._jdf.queryExecution().toString()
+
+
+def test_a_budget_goes_by_the_whole_seq(spark):
+    costs = [5, 7, 3, 2, 9, 1, 4, 6]
+    rows = [(None, 1, f"p\x00{i:03d}", "t", c - 1) for i, c in enumerate(costs)]
+    random.Random(3).shuffle(rows)
+    out = model.apply_token_budget(spark.createDataFrame(rows, "bundle string, priority int, seq string, text string, tokens int").repartition(3), 16).where("admitted")
+    assert sorted(int(r.seq[2:]) for r in out.collect()) == [0, 1, 2, 5]

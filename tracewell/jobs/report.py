@@ -177,10 +177,30 @@ def scan_files(files: DataFrame, detectors: Sequence[Detector] = DETECTORS, extr
     extra_lines are lines of other origin, extra_matches are match rows. Each file that can't be scanned, wholly or
     from some place on, leaves a row in skipped; a damaged one never ends the job.
     """
+    return scan_expanded(expanded_files(files, limits), detectors, extra_lines, extra_matches, pictures, model)
+
+
+def expanded_files(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """What files(path, content) hold, with their own names and refused places, like the rows of tree.read_tree()."""
     allowed, refused = split_refused(files.select("path", "content"))
     names = allowed.select("path", F.lit("name").alias("what"), F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("reason"))
     skips = refused.select("path", F.lit("skip").alias("what"), F.lit(None).cast("binary").alias("content"), "reason")
-    return scan_expanded(names.unionByName(skips).unionByName(expand_archives(allowed, limits)), detectors, extra_lines, extra_matches, pictures, model)
+    return names.unionByName(skips).unionByName(expand_archives(allowed, limits))
+
+
+def check_credentials(expanded: DataFrame) -> DataFrame:
+    """D9 alone, of what files hold: the hits that block their root, without the rest of the scan."""
+    expanded = materialized(expanded, "expanded")
+    texts, unread, _ = _read(expanded)
+    return _credentials(lines_of(texts).unionByName(_office_lines(expanded)), expanded, expanded.where("what = 'skip'").select("path", "reason").unionByName(unread))
+
+
+def _credentials(lines: DataFrame, expanded: DataFrame, skipped: DataFrame) -> DataFrame:
+    return file_hits(lines.select("path", "line", "text"), expanded.where("what = 'name'").select("path"), skipped)
+
+
+def _office_lines(expanded: DataFrame) -> DataFrame:
+    return T.to_lines(office_text(expanded), "path").select("path", F.lit(None).cast("int").alias("page"), "line", F.lit("office").alias("kind"), "text")
 
 
 def scan_tree(spark: SparkSession, *roots: str, detectors: Sequence[Detector] = DETECTORS, pictures: Pictures | None = None, model: Model | None = None, limits: Limits = Limits()) -> FileScan:
@@ -194,13 +214,12 @@ def scan_expanded(expanded: DataFrame, detectors: Sequence[Detector] = DETECTORS
     expanded = materialized(expanded.observe(opened, F.count_if(F.col("what").isin("file", "large", "archive")).alias("files_seen")), "expanded")
     texts, unread, images = _read(expanded)
     paths = expanded.where("what = 'name'").select("path")
-    office = T.to_lines(office_text(expanded), "path").select("path", F.lit(None).cast("int").alias("page"), "line", F.lit("office").alias("kind"), "text")
-    plain = lines_of(texts)
+    office, plain = _office_lines(expanded), lines_of(texts)
     chosen, review, seen, known = _look_at(images, pictures)
     lines = functools.reduce(DataFrame.unionByName, [plain, office, add_filenames(paths), *seen, *([extra_lines] if extra_lines is not None else [])])
     matches = functools.reduce(DataFrame.unionByName, [detect(lines, detectors), _people(office_authors(expanded)), *known, *([extra_matches] if extra_matches is not None else [])])
     skipped = materialized(expanded.where("what = 'skip'").select("path", "reason").unionByName(unread), "skipped")
-    credentials = materialized(file_hits(plain.unionByName(office).select("path", "line", "text"), paths, skipped), "credentials")
+    credentials = materialized(_credentials(plain.unionByName(office), expanded, skipped), "credentials")
     facts = {"used": False, "reason": "disabled", "tokens_processed": 0, "token_budget": model.budget if model else 0, "not_model_scanned": []}
     if model:
         asked = lines.withColumn("bundle", F.lit(None).cast("string"))

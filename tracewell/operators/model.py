@@ -56,7 +56,8 @@ def apply_token_budget(lines: DataFrame, budget: int = P.TOKEN_BUDGET, salts: in
     few = few.withColumn("_n", F.row_number().over(Window.partitionBy("bundle", "_cost").orderBy(*order))).where(F.col("_n") <= most)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["priority", "seq"])
+        # Not by pandas, which takes strings as equal that are up to a NUL.
+        pdf = pdf.iloc[sorted(range(len(pdf)), key=list(zip(pdf["priority"], pdf["seq"])).__getitem__)]
         left, taken = budget, []
         for cost in pdf["_cost"]:
             taken.append(cost <= left)

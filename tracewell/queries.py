@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import patterns as P
 from tracewell.functions import text as T
-from tracewell.jobs import gate, report
+from tracewell.functions.tables import fresh_path, materialized
+from tracewell.jobs import gate, incremental, report
 from tracewell.jobs.inputs import SQL_LINES, SQL_SYNTH, doc_path, document_texts, synthetic_lines, table
 from tracewell.operators import credentials, detectors, findings, images, merge, model
-from tracewell.sources import files
+from tracewell.sources import files, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +58,13 @@ def s1_read_files(spark: SparkSession, d: str) -> DataFrame:
     return files.read_files(spark, d).select(files.basename(F.col("path")).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+@query()
+def s1_read_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the tables as the data source lists and reads them, with digests of those that are held whole."""
+    found = tree.read_tree(spark, d).where("what != 'name'")
+    return found.select(files.basename(F.col("path")).alias("name"), "what", F.sha2("content", 256).alias("sha256"), "reason")
+
+
 @query(f"""WITH p AS (SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN '/home/u/.ssh/' WHEN 1 THEN '/mnt/skills/' WHEN 2 THEN '/home/u/.config/' ELSE '/data/' END || doc_id AS path FROM documents)
 SELECT path, 'refused location: ' || CASE doc_id % 20 WHEN 0 THEN '.ssh' WHEN 1 THEN '/mnt/skills' ELSE '.config' END AS reason FROM p WHERE doc_id % 20 < 3""")
 def s2_split_refused(spark: SparkSession, d: str) -> DataFrame:
@@ -81,32 +89,70 @@ def s4_sniff_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _archives(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as files(path, content): zip archives of one member, some cut short, and other kinds that can't be read."""
+    """Documents as files(path, content): archives of several members and levels, some cut short, and other kinds that can't be read.
+
+    Each holds its document as a text with some lines after it; every third one an archive (a compressed tar or a
+    zip) with two more files, of which the second of every fifteenth is an archive that can't be looked into; every
+    tenth one a file that is a credential by its name.
+    """
+    import gzip
     import io
+    import tarfile
     import zipfile
 
     import pandas as pd
 
+    def zipped(members):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, raw in members.items():
+                z.writestr(name, raw)
+        return held.getvalue()
+
+    def tarred(members):
+        held = io.BytesIO()
+        with tarfile.open(fileobj=held, mode="w") as t:
+            for name, raw in members.items():
+                info = tarfile.TarInfo(name)
+                info.size = len(raw)
+                t.addfile(info, io.BytesIO(raw))
+        return gzip.compress(held.getvalue(), mtime=0)
+
+    def one(i, text):
+        secret = f'\npassword = "hunter{i}xyz"' if i % 9 == 0 else ""
+        members = {f"{i}.txt": f"{text or ''}\n普通預金 {i * 13 % 10**7:07d}{secret}".encode()}
+        if i % 3 == 0:
+            inner = {f"deep/{i}.md": f"mail User{i % 500}@corp{i % 7}.jp end\n\ntel +81 090-{i % 10**4:04d}-{i * 7 % 10**4:04d}".encode(), f"deep/{i}.x": b"7z\xbc\xaf\x27\x1c" if i % 15 == 0 else b"\0"}
+            members["in"] = tarred(inner) if i % 2 else zipped(inner)
+        if i % 10 == 0:
+            members["conf/.env"] = b"A=1"
+        return zipped(members)
+
     def packed(batches):
         for pdf in batches:
-            out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
-                held = io.BytesIO()
-                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr(f"{i}.txt", f"{text or ''}\n普通預金 {i * 13 % 10**7:07d}")
-                raw = held.getvalue()
-                out.append({1: raw[:-30], 2: b"7z\xbc\xaf\x27\x1c" + raw, 3: b"\0" + raw, 4: b"%PDF-" + raw}.get(i % 25, raw))
+            raws = [one(i, text) for i, text in zip(pdf["doc_id"], pdf["text"])]
+            out = [{1: raw[:-30], 2: b"7z\xbc\xaf\x27\x1c" + raw, 3: b"\0" + raw, 4: b"%PDF-" + raw}.get(i % 25, raw) for i, raw in zip(pdf["doc_id"], raws)]
             yield pd.DataFrame({"path": [f"/data/{'.ssh/' if i % 25 == 5 else ''}{i}.zip" for i in pdf["doc_id"]], "content": out})
 
     return table(spark, d, "documents").select("doc_id", "text").mapInPandas(packed, "path string, content binary")
 
 
-ARCHIVES_SQL = """k AS (SELECT doc_id, doc_id % 25 AS m, '/data/' || CASE WHEN doc_id % 25 = 5 THEN '.ssh/' ELSE '' END || doc_id || '.zip' AS path,
-  coalesce(text, '') || chr(10) || '普通預金 ' || lpad((doc_id * 13 % 10000000)::varchar, 7, '0') AS text FROM documents)"""
+#: k: the archives; me: the members that hold text (path, text) of those that can be read.
+ARCHIVES_SQL = """k AS (SELECT doc_id, doc_id % 25 AS m, '/data/' || CASE WHEN doc_id % 25 = 5 THEN '.ssh/' ELSE '' END || doc_id || '.zip' AS path, coalesce(text, '') AS text FROM documents),
+me AS (SELECT doc_id, path || '!' || doc_id || '.txt' AS path, text || chr(10) || '普通預金 ' || lpad((doc_id * 13 % 10000000)::varchar, 7, '0') || CASE WHEN doc_id % 9 = 0 THEN chr(10) || 'password = "hunter' || doc_id || 'xyz"' ELSE '' END AS text FROM k WHERE m = 0 OR m > 4
+UNION ALL SELECT doc_id, path || '!in!deep/' || doc_id || '.md', 'mail User' || doc_id % 500 || '@corp' || doc_id % 7 || '.jp end' || chr(10) || chr(10) || 'tel +81 090-' || lpad((doc_id % 10000)::varchar, 4, '0') || '-' || lpad((doc_id * 7 % 10000)::varchar, 4, '0') FROM k WHERE (m = 0 OR m > 4) AND doc_id % 3 = 0
+UNION ALL SELECT doc_id, path || '!conf/.env', 'A=1' FROM k WHERE (m = 0 OR m > 4) AND doc_id % 10 = 0)"""
 
 
-@query(f"""WITH {ARCHIVES_SQL} SELECT path, 'skip' AS what, NULL AS sha256, CASE m WHEN 1 THEN 'unreadable zip (BadZipFile)' ELSE 'uninspectable archive' END AS reason FROM k WHERE m IN (1, 2)
-UNION ALL SELECT path || '!' || doc_id || '.txt', 'name', NULL, NULL FROM k WHERE m NOT IN (1, 2, 3, 4) UNION ALL SELECT path || '!' || doc_id || '.txt', 'file', sha256(text), NULL FROM k WHERE m NOT IN (1, 2, 3, 4)""")
+@query(f"""WITH {ARCHIVES_SQL}, r AS (SELECT * FROM k WHERE m = 0 OR m > 4)
+SELECT path, 'skip' AS what, NULL AS sha256, CASE m WHEN 1 THEN 'unreadable zip (BadZipFile)' ELSE 'uninspectable archive' END AS reason FROM k WHERE m IN (1, 2)
+UNION ALL SELECT path, 'archive', NULL, NULL FROM k WHERE m NOT IN (3, 4)
+UNION ALL SELECT path, 'name', NULL, NULL FROM me UNION ALL SELECT path, 'file', sha256(text), NULL FROM me
+UNION ALL SELECT path || '!in', unnest(['name', 'archive']), NULL, NULL FROM r WHERE doc_id % 3 = 0
+UNION ALL SELECT path || '!in!deep/' || doc_id || '.x', 'name', NULL, NULL FROM r WHERE doc_id % 3 = 0
+UNION ALL SELECT path || '!in!deep/' || doc_id || '.x', 'file', sha256(chr(0)), NULL FROM r WHERE doc_id % 3 = 0 AND doc_id % 15 > 0
+UNION ALL SELECT path || '!in!deep/' || doc_id || '.x', 'archive', NULL, NULL FROM r WHERE doc_id % 15 = 0
+UNION ALL SELECT path || '!in!deep/' || doc_id || '.x', 'skip', NULL, 'uninspectable archive' FROM r WHERE doc_id % 15 = 0""")
 def s5_expand_archives(spark: SparkSession, d: str) -> DataFrame:
     """Members come out whole; damaged archives and kinds that can't be opened leave skip rows. Files that are no archive are not listed."""
     out = files.expand_archives(_archives(spark, d)).where("what != 'file' OR path LIKE '%!%'")
@@ -245,10 +291,6 @@ def d4_postal_code(spark: SparkSession, d: str) -> DataFrame:
     return _detected(spark, d, detectors.POSTAL)
 
 
-# Of the parts of a rule, those of the original pattern without its Unicode flag, which this engine has no need of here.
-_ADDRESS = P.ADDRESS.removeprefix("(?U)").replace(r"\s", r"\s　")
-
-
 def _address_lines(spark: SparkSession, d: str) -> DataFrame:
     """Addresses in every prefecture, with all kinds of block numbers, some with none."""
     k = F.col("c_custkey").cast("long")
@@ -262,8 +304,12 @@ ADDRESS_BLOCKS = ("1丁目2-3", "一丁目２番３号", "12番地", "５－６
 _list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-@query(rf"""WITH a AS (SELECT 'addr/' || c_custkey AS path, '所在地 ' || {_list(P.PREFECTURES.split("|"))}[c_custkey % 47 + 1] || {_list(ADDRESS_TOWNS)}[c_custkey // 7 % 6 + 1] || '本町' || {_list(ADDRESS_BLOCKS)}[c_custkey // 3 % 9 + 1] || ' 終' AS text FROM customer)
-SELECT 'private_address' AS category, path, 1 AS line, unnest(regexp_extract_all(text, '{_ADDRESS}')) AS value FROM a""")
+#: What the rule takes of each block: a chome, a ban or numbers joined by a hyphen, then up to two more numbers.
+ADDRESS_FOUND = ("1丁目2-3", "一丁目２", "12番地", "５－６－７", "3ー4", "十番", None, None, "七丁目8-9号")
+
+
+@query(f"""WITH a AS (SELECT 'addr/' || c_custkey AS path, {_list(P.PREFECTURES.split("|"))}[c_custkey % 47 + 1] || {_list(ADDRESS_TOWNS)}[c_custkey // 7 % 6 + 1] || '本町' AS head, {_list(ADDRESS_FOUND).replace("'None'", "NULL")}[c_custkey // 3 % 9 + 1] AS block FROM customer)
+SELECT 'private_address' AS category, path, 1 AS line, head || block AS value FROM a WHERE block IS NOT NULL""")
 def d5_address(spark: SparkSession, d: str) -> DataFrame:
     return detectors.detect(_address_lines(spark, d), (detectors.ADDRESS,)).select("category", "path", "line", "value")
 
@@ -318,14 +364,12 @@ def _credential_lines(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).select("path", "line", "text").unionByName(own)
 
 
-_CREDENTIALS = {name: rx.replace("'", "''") for name, rx in credentials.RULES.items()}
-
-
-@query(rf"""WITH {SQL_LINES}, c AS (SELECT c_custkey::varchar AS k FROM customer), f AS (SELECT k, rpad(k || 'Q', 8, '7') AS f8, rpad(k || 'Q', 10, '7') AS f10, rpad(k || 'Q', 12, '7') AS f12, rpad(k || 'Q', 16, '7') AS f16, rpad(k || 'Q', 35, '7') AS f35, rpad(k || 'Q', 36, '7') AS f36 FROM c),
-t AS (SELECT 'cred/' || k AS path, ['id AKIA' || rpad(k, 16, 'Z') || ' end', '-----BEGIN RSA PRIVATE KEY-----', 'ghp_' || f36, 'xoxb-' || f12, 'AIza' || f35 || ' ', 'sk_live_' || f16, 'eyJ' || f10 || '.' || f10 || '.' || f10, 'Password: "' || f8 || '"'] AS t FROM f),
-al AS (SELECT path, line, text FROM lines UNION ALL SELECT path, generate_subscripts(t, 1), unnest(t) FROM t),
-m AS ({" UNION ALL ".join(f"SELECT path, line, '{name}' AS rule, unnest(regexp_extract_all(text, '{rx}')) AS v FROM al" for name, rx in _CREDENTIALS.items())})
-SELECT path, line::INT AS line, rule, left(v, 4) || repeat('*', length(v) - 4) AS detail FROM m""")
+# What each customer's tokens are by their formats: rule, first characters, length. In documents, assignments are the only kind.
+@query(rf"""WITH {SQL_LINES}, t AS (SELECT unnest([{{'line': 1, 'rule': 'aws_access_key', 'head': 'AKIA', 'n': 20}}, {{'line': 2, 'rule': 'private_key', 'head': '----', 'n': 31}}, {{'line': 3, 'rule': 'github_token', 'head': 'ghp_', 'n': 40}}, {{'line': 4, 'rule': 'slack_token', 'head': 'xoxb', 'n': 17}},
+  {{'line': 5, 'rule': 'google_api_key', 'head': 'AIza', 'n': 39}}, {{'line': 6, 'rule': 'stripe_key', 'head': 'sk_l', 'n': 24}}, {{'line': 7, 'rule': 'json_web_token', 'head': 'eyJ' , 'n': 35}}, {{'line': 8, 'rule': 'assigned_secret', 'head': 'Pass', 'n': 19}}]) AS x),
+m AS (SELECT path, line, unnest(regexp_extract_all(text, '(?i:api_?key|passw(?:or)?d|secret|token)[''"]?[ ]?[=:][ ]?[''"]?[0-9A-Za-z=._/+-]{{8,}}')) AS v FROM lines)
+SELECT path, line::INT AS line, 'assigned_secret' AS rule, left(v, 4) || repeat('*', length(v) - 4) AS detail FROM m
+UNION ALL SELECT 'cred/' || c_custkey, x.line, x.rule, CASE x.line WHEN 7 THEN 'eyJ' || left(c_custkey::varchar, 1) ELSE x.head END || repeat('*', x.n - 4) FROM customer, t""")
 def d9_credentials(spark: SparkSession, d: str) -> DataFrame:
     return credentials.credential_hits(_credential_lines(spark, d))
 
@@ -406,25 +450,33 @@ sp AS (SELECT bundle, max(st + length(text)) // 2 AS a FROM b GROUP BY bundle)
 SELECT bundle, line::BIGINT AS seq, (a - st)::BIGINT AS line_start, least(length(text), a + 8 - st)::BIGINT AS line_end FROM sp JOIN b USING (bundle) WHERE a >= st AND a < st + length(text) + 1""")
 def j3_offsets_to_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d).select(F.col("path").alias("bundle"), F.col("line").cast("long").alias("seq"), "text")
-    middle = model.line_starts(lines).groupBy("bundle").agg(F.floor(F.max(F.col("start") + F.length("text")) / 2).alias("start"))
+    starts = materialized(model.line_starts(lines), "starts")
+    middle = starts.groupBy("bundle").agg(F.floor(F.max(F.col("start") + F.col("length")) / 2).alias("start"))
     spans = middle.withColumn("end", F.col("start") + 8)
-    return model.offsets_to_lines(spans, lines).select("bundle", "seq", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+    return model.offsets_to_lines(spans, lines, starts=starts).select("bundle", "seq", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
 def _reports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    k = F.col("o_orderkey")
+    """Up to three reports of each bundle, at different times, some without time; the latest is not the last in any other order."""
+    k, v = F.col("o_orderkey"), F.col("v")
     orders = table(spark, d, "orders")
     current = orders.select(F.concat(F.lit("b"), k.cast("string")).alias("bundle"), k.cast("string").alias("fingerprint"))
-    reports = orders.where(k % 9 > 0).select(
-        F.concat(F.lit("b"), k.cast("string")).alias("bundle"), F.when(k % 8 == 0, "x").otherwise(k.cast("string")).alias("fingerprint"), (k % 3).cast("long").alias("findings_count"), (k % 2).cast("int").alias("visual_images"),
-        (k % 5 > 0).alias("model_used"), F.when(k % 10 == 0, gate.NO_MODEL_NEEDED).otherwise("off").alias("model_reason"), F.when(k % 4 == 0, F.array(F.lit("p"))).otherwise(F.array().cast("array<string>")).alias("not_model_scanned"), (k % 6 == 1).alias("reviewed"),
+    each = orders.where(k % 9 > 0).withColumn("v", F.explode(F.sequence(F.lit(0), (k % 3).cast("int"))))
+    n = k + v
+    reports = each.select(
+        F.concat(F.lit("b"), k.cast("string")).alias("bundle"), F.when((k % 7 > 0) | (v > 0), F.timestamp_seconds((k * 5 + v * 7) % 11 * 1000 + v)).alias("created"),
+        F.when(n % 8 == 0, "x").otherwise(k.cast("string")).alias("fingerprint"), (n % 3).cast("long").alias("findings_count"), (n % 2).cast("int").alias("visual_images"),
+        (n % 5 > 0).alias("model_used"), F.when(n % 10 == 0, gate.NO_MODEL_NEEDED).otherwise("off").alias("model_reason"), F.when(n % 4 == 0, F.array(F.lit("p"))).otherwise(F.array().cast("array<string>")).alias("not_model_scanned"), (n % 6 == 1).alias("reviewed"),
     )
     return reports, current
 
 
-@query("""WITH r AS (SELECT o_orderkey AS k, list_filter([CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 3) || ' finding(s)' END, CASE WHEN o_orderkey % 2 > 0 THEN (o_orderkey % 2) || ' image(s) for visual review' END,
-  CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 10 <> 0 THEN 'model not used (off)' WHEN o_orderkey % 4 = 0 THEN 'token budget exceeded' END], lambda x: x IS NOT NULL) AS reasons FROM orders)
-SELECT 'b' || k AS bundle, CASE WHEN k % 9 = 0 THEN 'missing' WHEN k % 8 = 0 THEN 'mismatched' WHEN len(reasons) > 0 AND k % 6 <> 1 THEN 'needs review' ELSE 'ok' END AS status, CASE WHEN k % 9 > 0 THEN array_to_string(reasons, ', ') END AS reasons FROM r""")
+@query("""WITH e AS (SELECT o_orderkey AS k, unnest(range(0, o_orderkey % 3 + 1)) AS v FROM orders WHERE o_orderkey % 9 > 0),
+t AS (SELECT k, k + v AS n, CASE WHEN k % 7 > 0 OR v > 0 THEN (k * 5 + v * 7) % 11 * 1000 + v END AS ts FROM e),
+l AS (SELECT k, n FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC NULLS LAST) AS r FROM t) WHERE r = 1),
+r AS (SELECT *, list_filter([CASE WHEN n % 3 > 0 THEN (n % 3) || ' finding(s)' END, CASE WHEN n % 2 > 0 THEN (n % 2) || ' image(s) for visual review' END,
+  CASE WHEN n % 5 = 0 AND n % 10 <> 0 THEN 'model not used (off)' WHEN n % 4 = 0 THEN 'token budget exceeded' END], lambda x: x IS NOT NULL) AS reasons FROM l)
+SELECT 'b' || o_orderkey AS bundle, CASE WHEN n IS NULL THEN 'missing' WHEN n % 8 = 0 THEN 'mismatched' WHEN len(reasons) > 0 AND n % 6 <> 1 THEN 'needs review' ELSE 'ok' END AS status, array_to_string(reasons, ', ') AS reasons FROM orders LEFT JOIN r ON k = o_orderkey""")
 def j4_release_gate(spark: SparkSession, d: str) -> DataFrame:
     reports, current = _reports(spark, d)
     return gate.release_gate(reports, current).withColumn("reasons", F.array_join("reasons", ", "))
@@ -437,6 +489,23 @@ def j5_changed_files(spark: SparkSession, d: str) -> DataFrame:
     return files.changed_files(now.drop("doc_id"), seen.drop("doc_id"))
 
 
+@query(rf"""WITH {SQL_LINES}, {SQL_SYNTH}, al AS (SELECT path, line, left(text, 20000) AS text FROM lines UNION ALL SELECT path, line, text FROM synth WHERE substring(path, 6, length(path) - 9)::BIGINT % 5 > 0),
+v AS (SELECT 'account_number' AS category, path, line, unnest(regexp_extract_all(text, '普通預金 [0-9]{{7}}')) AS value FROM al UNION ALL SELECT 'private_email', path, line, unnest(regexp_extract_all(text, '@MAIL@', 1)) FROM al),
+w AS (SELECT category, CASE category WHEN 'private_email' THEN lower(value) ELSE value END AS key, path, line FROM v WHERE NOT regexp_matches(value, '@([A-Za-z0-9_\-]+\.)*example\.(com|org|net)$'))
+SELECT category, key, count(DISTINCT (path, line)) AS occurrences FROM w GROUP BY category, key""".replace("@MAIL@", _MAIL))
+def j5_incremental_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A scan that is kept, after a fifth of the synthetic files has gone and every seventh has changed from what it was at first."""
+    lines, synth = _lines(spark, d), synthetic_lines(spark, d)
+    n = F.regexp_extract("path", "[0-9]+", 0).cast("long")
+    first = synth.withColumn("text", F.when(n % 7 == 0, F.concat(F.lit("old@mail.jp "), "text")).otherwise(F.col("text")))
+    now = lines.unionByName(synth.where(n % 5 > 0))
+    was = lines.unionByName(first)
+    listed = lambda x: x.groupBy("path").agg(F.sum(F.octet_length("text")).alias("length"), F.lit(1).cast("long").alias("mtime"))
+    scan = lambda x: lambda some: detectors.detect(x.join(some.select("path"), "path", "left_semi"), (detectors.email(), detectors.BANK))
+    state = incremental.first_scan(listed(was), scan(was), fresh_path(spark, "scan-state"))
+    return incremental.update(state, listed(now), scan(now)).findings.select("category", "key", "occurrences")
+
+
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'private_phone' WHEN 1 THEN 'secret' ELSE 'other' END AS category, CASE o_orderkey % 3 WHEN 0 THEN '電話番号' WHEN 1 THEN '秘密情報の疑い' ELSE 'other' END AS category_label FROM orders")
 def j6_label_categories(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("o_orderkey") % 3
@@ -694,16 +763,164 @@ def wl1_pii_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select("category", "category_label", "value", F.array_join("detectors", ",").alias("detectors"), "score", "occurrences", F.size("locations").alias("n_locations"))
 
 
-@query(rf"""WITH {ARCHIVES_SQL}, r AS (SELECT *, m NOT BETWEEN 1 AND 5 AS readable FROM k), v AS (SELECT doc_id, unnest(regexp_extract_all(text, '普通預金 [0-9]{{7}}')) AS value FROM r WHERE readable)
-SELECT 'finding' AS what, value AS name, count(DISTINCT doc_id) AS n FROM v GROUP BY value
-UNION ALL SELECT 'skip', CASE m WHEN 1 THEN 'unreadable zip (BadZipFile)' WHEN 2 THEN 'uninspectable archive' WHEN 3 THEN 'binary (not PII-scanned)' WHEN 4 THEN 'PDF without text layer (no OCR available)' ELSE 'refused location: .ssh' END, count(*) FROM r WHERE NOT readable GROUP BY m
-UNION ALL SELECT 'files', 'seen', count(*) FILTER (m <> 5) + count(*) FILTER (readable) FROM r""")
+def _merged_sql(lines: str) -> str:
+    """CTEs pl(category, key, path, line) of distinct places and ro, the same after merging, of a CTE al(path, line, text)."""
+    return rf"""{lines},
+raws AS (SELECT 'private_phone' AS category, path, line, unnest(regexp_extract_all(text, '{_JP}', 1)) AS raw, text FROM al
+  UNION ALL SELECT 'private_phone', path, line, unnest(regexp_extract_all(text, '{_INTL}', 1)), text FROM al
+  UNION ALL SELECT 'private_email', path, line, unnest(regexp_extract_all(text, '{_MAIL}', 1)), text FROM al
+  UNION ALL SELECT 'bank', path, line, unnest(regexp_extract_all(text, '普通預金 [0-9]{{7}}')), text FROM al
+  UNION ALL SELECT 'account_number', path, line, unnest(regexp_extract_all(text, '{_CARD}', 1)), text FROM al),
+n AS (SELECT category, path, line, text, raw, trim(regexp_replace(raw, '\s+', ' ', 'g'), ' ,;:()<>[]{{}}"''`') AS value, regexp_replace(raw, '[^0-9]', '', 'g') AS digits FROM raws),
+ok AS (SELECT CASE category WHEN 'bank' THEN 'account_number' ELSE category END AS category, path, line, value, CASE category WHEN 'private_email' THEN lower(value) ELSE value END AS key FROM n WHERE CASE category WHEN 'private_phone' THEN length(digits) BETWEEN 10 AND 15
+  WHEN 'private_email' THEN NOT regexp_matches(raw, '{_EXAMPLE}') WHEN 'bank' THEN TRUE ELSE {_CARD_OK} AND (regexp_matches(raw, '[^0-9]') OR regexp_matches(text, '(?i)card|credit|visa|master|amex|jcb')) END),
+pl AS (SELECT DISTINCT category, key, path, line FROM ok),
+ho AS (SELECT a.category, a.key, arg_max(b.key, length(b.key)) AS host FROM pl a JOIN pl b ON a.category = b.category AND a.path = b.path AND a.line = b.line
+  AND length(b.key) > length(a.key) AND contains(replace(b.key, ' ', ''), replace(a.key, ' ', '')) GROUP BY a.category, a.key),
+ro AS (SELECT DISTINCT pl.category, coalesce(ho.host, pl.key) AS key, path, line FROM pl LEFT JOIN ho USING (category, key)),
+na AS (SELECT category, key, arg_min(value, path || chr(0) || lpad(line::varchar, 9, '0')) AS value FROM ok GROUP BY category, key)"""
+
+
+_ARCHIVE_LINES = rf"""{ARCHIVES_SQL}, r AS (SELECT * FROM k WHERE m = 0 OR m > 5),
+al AS (SELECT path, line, left(text, 20000) AS text FROM (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM me WHERE doc_id % 25 <> 5)),
+sk AS (SELECT CASE m WHEN 1 THEN 'unreadable zip (BadZipFile)' WHEN 2 THEN 'uninspectable archive' WHEN 3 THEN 'binary (not PII-scanned)' WHEN 4 THEN 'PDF without text layer (no OCR available)' ELSE 'refused location: .ssh' END AS reason, path FROM k WHERE m BETWEEN 1 AND 5
+  UNION ALL SELECT CASE WHEN doc_id % 15 = 0 THEN 'uninspectable archive' ELSE 'binary (not PII-scanned)' END, path || '!in!deep/' || doc_id || '.x' FROM r WHERE doc_id % 3 = 0),
+cr AS (SELECT split_part(path, '!', 1) AS root, 'assigned_secret' AS rule FROM (SELECT path, unnest(regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']? ?[:=] ?["'']?[A-Za-z0-9+/_.=\-]{{8,}}')) FROM al)
+  UNION ALL SELECT split_part(path, '!', 1), 'aws_access_key' FROM (SELECT path, unnest(regexp_extract_all(text, '\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b')) FROM al)
+  UNION ALL SELECT path, 'credential_file' FROM r WHERE doc_id % 10 = 0 UNION ALL SELECT split_part(path, '!', 1), 'uninspectable' FROM sk WHERE regexp_matches(reason, '^un'))"""
+
+
+@query(rf"""WITH {_merged_sql(_ARCHIVE_LINES)}
+SELECT 'finding' AS what, value AS name, count(*) AS n FROM ro JOIN na USING (category, key) GROUP BY category, key, value
+UNION ALL SELECT 'skip', reason, count(*) FROM sk GROUP BY reason
+UNION ALL SELECT 'credential', root || ' ' || rule, count(*) FROM cr GROUP BY root, rule
+UNION ALL SELECT 'files', 'seen', (SELECT count(*) FROM k WHERE m <> 5) + (SELECT count(*) FROM me WHERE doc_id % 25 <> 5) + 2 * (SELECT count(*) FROM r WHERE doc_id % 3 = 0)""")
 def wl4_scan_files(spark: SparkSession, d: str) -> DataFrame:
-    """The scan of files: archives made of all documents, some damaged, closed, binary or in a refused place."""
-    out = report.scan_files(_archives(spark, d), (detectors.BANK,))
+    """The scan of files with all detectors: archives made of all documents, some damaged, closed, binary or in a refused place."""
+    out = report.scan_files(_archives(spark, d))
     found = out.findings.select(F.lit("finding").alias("what"), F.col("value").alias("name"), F.col("occurrences").alias("n"))
     skips = files.skip_summary(out.skipped).select(F.lit("skip").alias("what"), F.col("reason").alias("name"), "n")
-    return found.unionByName(skips).unionByName(out.summary.select(F.lit("files").alias("what"), F.lit("seen").alias("name"), F.col("files_seen").alias("n")))
+    hits = out.credentials.groupBy("root", "rule").agg(F.count(F.lit(1)).alias("n")).select(F.lit("credential").alias("what"), F.concat("root", F.lit(" "), "rule").alias("name"), "n")
+    seen = out.summary.select(F.lit("files").alias("what"), F.lit("seen").alias("name"), F.col("files_seen").alias("n"))
+    return found.unionByName(skips).unionByName(hits).unionByName(seen)
+
+
+def _cased_words():
+    """Words as tokens, with id 1 if they begin with a capital; the empty line before a document is a token too."""
+    import re
+
+    return lambda texts: [[(int(m.group()[0].isupper()), m.start(), m.end()) for m in re.finditer(r"\S+|^\n", t)] for t in texts]
+
+
+def _name_model():
+    """A deterministic stand-in for a model, whose logits depend on a word and its neighbours: runs of capitalised words are names."""
+    import numpy as np
+
+    def score(ids):
+        big = np.concatenate(([False], np.asarray(ids) == 1, [False]))
+        before, mine, after = big[:-2], big[1:-1], big[2:]
+        label = np.where(mine, np.where(before, np.where(after, 2, 3), np.where(after, 1, 4)), 0)
+        return 4.0 * np.eye(len(LABELS))[label]
+
+    return score
+
+
+MODEL_BUDGET = 3000
+
+
+@query(rf"""WITH RECURSIVE {SQL_LINES}, ln AS MATERIALIZED (SELECT d.source AS bundle, CASE WHEN d.doc_id % 10 = 0 THEN path ELSE 'doc/' || d.doc_id || '.py' END AS path, d.doc_id % 10 = 0 AS prose, line, l.text FROM lines l JOIN documents d ON l.path = 'doc/' || d.doc_id || '.txt' WHERE length(l.text) <= 2000 AND (d.doc_id % 10 = 0 OR regexp_matches(l.text,
+  '@|[0-9]{{2,4}}[-\s][0-9]{{2,4}}[-\s][0-9]{{3,4}}|(^|[^\pL\pN_])[A-Z][a-z]+ [A-Z][a-z]+($|[^\pL\pN_])|(?i:name|address|addr|phone|tel|mobile|e-?mail|birth|dob|author|copyright|contact|owner|street|city|zip|postal|customer)'))),
+st AS MATERIALIZED (SELECT *, path || chr(1) || lpad(line::varchar, 10, '0') AS seq, CASE WHEN prose THEN path ELSE '' END AS doc, CASE WHEN prose THEN text ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS t FROM ln),
+en AS (SELECT bundle, 3 AS priority, doc, seq, t FROM st WHERE prose UNION ALL SELECT bundle, 4, '', min(seq), t FROM st WHERE NOT prose GROUP BY bundle, t),
+co AS MATERIALIZED (SELECT *, len(regexp_extract_all(t, '[^\s]+')) + 1 AS cost, row_number() OVER (PARTITION BY bundle ORDER BY priority, seq) AS n FROM en),
+g AS (SELECT bundle, n, cost <= {MODEL_BUDGET} AS admitted, CASE WHEN cost <= {MODEL_BUDGET} THEN {MODEL_BUDGET} - cost ELSE {MODEL_BUDGET} END AS rest FROM co WHERE n = 1
+  UNION ALL SELECT co.bundle, co.n, co.cost <= g.rest, CASE WHEN co.cost <= g.rest THEN g.rest - co.cost ELSE g.rest END FROM g JOIN co ON co.bundle IS NOT DISTINCT FROM g.bundle AND co.n = g.n + 1),
+us AS MATERIALIZED (SELECT co.*, g.admitted FROM co JOIN g ON co.bundle IS NOT DISTINCT FROM g.bundle AND co.n = g.n),
+w0 AS (SELECT bundle, priority, doc, seq, t, unnest(regexp_extract_all(t, '[^\s]+')) AS w, generate_subscripts(regexp_extract_all(t, '[^\s]+'), 1) AS i FROM us WHERE admitted),
+w1 AS (SELECT *, upper(w[1]) = w[1] AND lower(w[1]) <> w[1] AS cap FROM w0),
+w2 AS (SELECT *, cap AND NOT coalesce(lag(cap) OVER (PARTITION BY bundle, priority, doc ORDER BY seq, i), FALSE) AS first FROM w1),
+w3 AS (SELECT *, sum(first::INT) OVER (PARTITION BY bundle, priority, doc ORDER BY seq, i) AS run FROM w2),
+sp AS (SELECT bundle, priority, doc, run, string_agg(w, ' ' ORDER BY seq, i) AS raw, min(seq) AS seq, arg_min(t, seq) AS t FROM w3 WHERE cap GROUP BY bundle, priority, doc, run),
+va AS (SELECT *, trim(raw, ' ,;:()<>[]{{}}"''`「」『』、。，．・') AS value FROM sp WHERE length(raw) >= 2 AND regexp_matches(raw, '[\pL\pN_]')),
+pl AS (SELECT va.value, st.path, st.line FROM va JOIN st ON va.bundle IS NOT DISTINCT FROM st.bundle AND va.t = st.t AND NOT st.prose WHERE va.priority = 4 UNION ALL SELECT value, st.path, st.line FROM va JOIN st ON va.seq = st.seq WHERE va.priority = 3)
+SELECT 'finding' AS what, value AS name, count(DISTINCT (path, line)) AS n FROM pl WHERE value <> '' GROUP BY value
+UNION ALL SELECT CASE WHEN admitted THEN 'tokens' ELSE 'over' END, bundle, sum(cost)::BIGINT FROM us GROUP BY bundle, admitted""")
+def wl5_model_stage(spark: SparkSession, d: str) -> DataFrame:
+    """The model's part of the scan, from lines to findings; every tenth document is prose, the others are code, sources are bundles."""
+    docs = table(spark, d, "documents").select("source", doc_path().alias("_path"))
+    lines = _lines(spark, d).join(docs, F.col("path") == F.col("_path")).drop("_path").withColumnRenamed("source", "bundle")
+    as_code = F.when(F.col("path").rlike(r"0\.txt$"), F.col("path")).otherwise(F.replace("path", F.lit(".txt"), F.lit(".py")))
+    stage = model.model_stage(lines.withColumn("path", as_code), _cased_words, _name_model, LABELS, MODEL_BUDGET)
+    found = findings.aggregate_findings(stage.matches).select(F.lit("finding").alias("what"), F.col("value").alias("name"), F.col("occurrences").alias("n"))
+    used = stage.used.groupBy("bundle", "admitted").agg(F.sum(F.col("tokens") + 1).alias("n"))
+    return found.unionByName(used.select(F.when(F.col("admitted"), "tokens").otherwise("over").alias("what"), F.col("bundle").alias("name"), "n"))
+
+
+@query(rf"""WITH i AS (SELECT doc_id AS k, '/p/' || doc_id || '.png' AS path, doc_id % 977 + 10 AS w, doc_id * 7 % 613 + 10 AS h, doc_id % 37 = 0 AS photo, '普通預金 ' || lpad((doc_id % 100)::varchar, 7, '0') AS text FROM documents),
+j AS (SELECT *, least(w, h) < 120 OR w * h < 60000 AS small FROM i),
+s AS (SELECT *, CASE WHEN small THEN 'small' WHEN row_number() OVER (PARTITION BY small ORDER BY w * h DESC, path) <= 40 THEN 'selected' ELSE 'cap' END AS status FROM j),
+m AS (SELECT 'account_number' AS category, path, 1 AS line, text AS value, 'ocr' AS kind FROM s WHERE status = 'selected' UNION ALL SELECT 'account_number', path, 1, text, 'metadata' FROM s WHERE k % 3 = 0 UNION ALL SELECT 'metadata_person', path, 0, 'Name ' || k % 50, 'metadata' FROM s WHERE k % 3 = 1
+  UNION ALL SELECT 'location_gps', path, 0, printf('%.6f, %.6f', k % 90 + 0.5, -(k % 180 + 0.25)), 'metadata' FROM s WHERE k % 5 = 0),
+f AS (SELECT category, value, path, line, min(kind) AS kind FROM m GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY category, value ORDER BY kind = 'ocr', path, line) AS nth FROM f),
+v AS (SELECT path, row_number() OVER (ORDER BY photo DESC, status = 'selected' DESC, w * h DESC, path) AS nth FROM s WHERE photo OR status = 'selected')
+SELECT 'finding' AS what, value AS name, count(*) AS n, arg_min(kind, nth) AS kind FROM o GROUP BY category, value UNION ALL SELECT 'status', status, count(*), NULL FROM s GROUP BY status UNION ALL SELECT 'review', path, nth, NULL FROM v WHERE nth <= 20
+UNION ALL SELECT 'overflow', NULL, greatest(count(*) - 20, 0), NULL FROM v UNION ALL SELECT 'read', NULL, count(*), NULL FROM s WHERE status = 'selected'""")
+def wl7_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """The scan of pictures, one for each document: positions, authors, descriptions, and the texts of those that are read."""
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").select(i, F.concat(F.lit("/p/"), i.cast("string"), F.lit(".png")).alias("path"), F.concat(F.lit("普通預金 "), F.lpad((i % 100).cast("string"), 7, "0")).alias("text"))
+    sizes = docs.select("path", (i % 977 + 10).cast("int").alias("width"), (i * 7 % 613 + 10).cast("int").alias("height"), (i % 37 == 0).alias("photo_like"))
+    dms = lambda degrees, minutes: F.array(degrees.cast("double"), F.lit(minutes), F.lit(0.0))
+    gps = F.when(i % 5 == 0, F.struct(dms(i % 90, 30.0).alias("lat"), F.lit("N").alias("lat_ref"), dms(i % 180, 15.0).alias("lon"), F.lit("W").alias("lon_ref")))
+    tag = F.when(i % 3 == 0, "ImageDescription").when(i % 3 == 1, "Artist").otherwise("Software")
+    meta = docs.select("path", tag.alias("tag"), F.when(i % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("Name "), (i % 50).cast("string"))).alias("value"), gps.alias("gps"))
+    texts = docs.select("path", F.concat("text", F.lit(" is read")).alias("text"))
+    content = F.unhex(F.lit("89504E470D0A1A0A"))
+    out = report.scan_files(docs.select("path", content.alias("content")), pictures=report.Pictures(sizes, meta, lambda chosen: texts.join(chosen, "path")))
+    row = lambda frame, what, name, n, kind=None: frame.select(F.lit(what).alias("what"), (F.lit(None).cast("string") if name is None else F.col(name)).alias("name"), n.cast("long").alias("n"), (F.lit(None).cast("string") if kind is None else kind).alias("kind"))
+    found = row(out.findings, "finding", "value", F.col("occurrences"), F.get("locations", F.lit(0))["kind"])
+    status = row(out.images.groupBy("status").agg(F.count(F.lit(1)).alias("n")), "status", "status", F.col("n"))
+    review = row(out.review, "review", "path", F.col("nth"))
+    more = row(out.review.agg(F.coalesce(F.max("overflow"), F.lit(0)).alias("n")), "overflow", None, F.col("n"))
+    return found.unionByName(status).unionByName(review).unionByName(more).unionByName(row(out.summary, "read", None, F.col("images_ocr")))
+
+
+_REPORT_SQL = rf"""{SQL_LINES}, {SQL_SYNTH}, al AS (SELECT path, line, left(text, 20000) AS text FROM lines UNION ALL SELECT path, line, text FROM synth)"""
+_RANKED_SQL = rf"""{_merged_sql(_REPORT_SQL)}, an AS (SELECT category, key, value FROM na WHERE TRUE), fi AS (SELECT category, CASE category WHEN 'private_phone' THEN '電話番号' WHEN 'private_email' THEN 'メールアドレス' ELSE '口座番号・カード番号等' END AS label, value, count(*) AS n FROM ro JOIN an USING (category, key) GROUP BY category, key, value),
+ra AS (SELECT *, row_number() OVER (ORDER BY category, n DESC, encode(value)) AS i FROM fi)"""
+
+
+def _file_scan(spark: SparkSession, d: str) -> report.FileScan:
+    """The scan of documents and synthetic texts as files."""
+    synth = synthetic_lines(spark, d).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("t")).select("path", F.array_join("t.text", "\n").alias("text"))
+    texts = document_texts(spark, d).unionByName(synth)
+    rules = (detectors.email(), detectors.JP_PHONE, detectors.INTL_PHONE, detectors.card(), detectors.BANK)
+    return report.scan_files(texts.select("path", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), rules)
+
+
+@query(f"WITH {_RANKED_SQL} SELECT i::BIGINT AS i, category, label AS category_ja, value, n AS occurrences, least(n, 20)::INT AS n_locations FROM ra")
+def s10_write_report(spark: SparkSession, d: str) -> DataFrame:
+    """The findings of the JSON report of all files, read back from the file, a line for each; i is the place in the file."""
+    file = fresh_path(spark, "report") + "/report.json"
+    report.write_json(_file_scan(spark, d), file)
+    shape = "category string, category_ja string, value string, occurrences long, locations array<struct<path:string,line:int>>"
+    # One file, so its lines are numbered by their order in it.
+    lines = spark.read.text(file, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line"))
+    found = lines.select(F.col("i").cast("long").alias("i"), F.from_json(F.ltrim(F.col("line"), F.lit(",")), shape).alias("f")).where("f.category IS NOT NULL")
+    return found.select("i", *[F.col(f"f.{c}") for c in ("category", "category_ja", "value", "occurrences")], F.size("f.locations").alias("n_locations"))
+
+
+@query(f"""WITH {_RANKED_SQL} SELECT '## ' || i || '. ' || label || ': ' || value AS line, 1::BIGINT AS n FROM ra
+UNION ALL SELECT 'detectors: regex / score 1.0 / ' || n || ' occurrence(s)', count(*) FROM ra GROUP BY n
+UNION ALL SELECT 'places', sum(least(n, 20))::BIGINT FROM ra UNION ALL SELECT '# PII report', 1 UNION ALL SELECT '- findings: ' || count(*), 1 FROM ra UNION ALL SELECT '- model: NOT used disabled', 1 UNION ALL SELECT '- OCR: unavailable (0 image(s) with text)', 1
+UNION ALL SELECT '', count(*) + 2 FROM ra""")
+def s11_write_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the Markdown report of all files, read back from the file and counted; lines of places are counted together."""
+    file = fresh_path(spark, "report") + "/report.md"
+    report.write_markdown(_file_scan(spark, d), file)
+    place = F.when(F.col("value").startswith("- `"), "places").otherwise(F.col("value"))
+    return spark.read.text(file).groupBy(place.alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -716,6 +933,18 @@ def phones(spark: SparkSession, d: str) -> DataFrame:
     return report.scan(_lines(spark, d), (detectors.JP_PHONE, detectors.INTL_PHONE)).select("category", "value", "detectors", "score", "occurrences")
 
 
+@query(rf"""WITH {_ARCHIVE_LINES}, g AS (SELECT coalesce(source, '') AS root, sum(strlen(coalesce(k.text, '')) + 1000000)::BIGINT AS n, bool_or(path IN (SELECT root FROM cr)) AS blocked FROM k JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT root, n AS size_bytes, n > 30000000 AS over_limit, TRUE AS "exists", blocked, NOT blocked AS upload_allowed FROM g UNION ALL SELECT 'none' || n_nationkey, 0, FALSE, FALSE, FALSE, FALSE FROM nation""")
+def wl2_archive_check(spark: SparkSession, d: str) -> DataFrame:
+    """The share check of bundles of archives: a hit, a name or an archive that can't be looked into, in whatever depth, blocks the bundle."""
+    hits = credentials.blocked_roots(report.check_credentials(report.expanded_files(_archives(spark, d))))
+    i = F.col("doc_id")
+    path = F.concat(F.lit("/data/"), F.when(i % 25 == 5, ".ssh/").otherwise(""), i.cast("string"), F.lit(".zip"))
+    own = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("root"), path.alias("path"), (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1_000_000).alias("length"))
+    requested = own.select("root").union(table(spark, d, "nation").select(F.concat(F.lit("none"), F.col("n_nationkey").cast("string")))).distinct()
+    return files.size_check(requested, own, hits).drop("size_human")
+
+
 @query(rf"""WITH {FILES_SQL}, {SQL_LINES}, bad AS (SELECT DISTINCT path FROM lines WHERE regexp_matches(text, '(?i:password|passwd|secret|token|api_?key)["'']? ?[:=] ?["'']?[A-Za-z0-9+/_.=\-]{{8,}}|\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b')),
 g AS (SELECT bundle, sum(length)::BIGINT AS n, bool_or(path IN (SELECT path FROM bad)) AS blocked FROM f GROUP BY bundle)
 SELECT count(*) + (SELECT count(*) FROM nation) AS roots, bool_or(n > 30000000) AS any_over_limit, count(*) FILTER (NOT blocked) AS allowed, FALSE AS upload_allowed FROM g""")
@@ -727,9 +956,18 @@ def wl2_share_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {FILES_SQL}, {SQL_LINES}, {REQUESTS_SQL}, bad AS (SELECT DISTINCT path FROM lines WHERE regexp_matches(text, '(?i:password|passwd|secret|token|api_?key)["'']? ?[:=] ?["'']?[A-Za-z0-9+/_.=\\-]{{8,}}|\\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\\b')),
 g AS (SELECT bundle, sum(length)::BIGINT AS size_bytes, bool_or(path IN (SELECT path FROM bad)) AS blocked FROM f GROUP BY bundle)
-SELECT id, bundle, coalesce(error, CASE WHEN size_bytes IS NULL THEN 'missing file' WHEN bundle LIKE '%1' THEN 'report missing' WHEN blocked THEN 'secrets found' END) AS refusal, coalesce(size_bytes, 0) AS size_bytes FROM r LEFT JOIN g USING (bundle)""".replace("\\\\", "\\"))
+SELECT id, bundle, coalesce(error, CASE WHEN size_bytes IS NULL THEN 'missing file' WHEN bundle LIKE '%1' THEN 'report missing' WHEN bundle LIKE '%2' THEN 'report mismatched' WHEN bundle LIKE '%3' THEN 'report needs review' WHEN blocked THEN 'secrets found' END) AS refusal, coalesce(size_bytes, 0) AS size_bytes FROM r LEFT JOIN g USING (bundle)""".replace("\\\\", "\\"))
 def wl3_share_records(spark: SparkSession, d: str) -> DataFrame:
     sizes = files.size_check(*_roots(spark, d)).withColumnRenamed("root", "bundle").select("bundle", "exists", "blocked", "size_bytes")
-    status = sizes.select("bundle", F.when(F.col("bundle").endswith("1"), "missing").otherwise("ok").alias("status"))
+    # Two reports of each bundle but those that end with 1: the later one is of other files for 2, and has findings for 3.
+    prints = materialized(files.fingerprint(_files(spark, d)), "fingerprints")
+    ends = lambda digit: F.col("bundle").endswith(digit)
+    each = prints.where(~ends("1")).withColumn("v", F.explode(F.array(F.lit(1), F.lit(0))))
+    later = F.col("v") == 1
+    reports = each.select(
+        "bundle", F.timestamp_seconds("v").alias("created"), F.when(ends("2") == later, "other").otherwise(F.col("fingerprint")).alias("fingerprint"),
+        F.when((ends("3") == later), 2).otherwise(0).cast("long").alias("findings_count"), F.lit(0).alias("visual_images"), F.lit(True).alias("model_used"), F.lit("").alias("model_reason"), F.array().cast("array<string>").alias("not_model_scanned"), F.lit(False).alias("reviewed"),
+    )
+    status = gate.release_gate(reports, prints).select("bundle", "status")
     requests = _requests(spark, d).withColumn("jwt", F.lit(None).cast("string")).withColumn("today", F.to_date(F.lit("2026-01-01")))
     return gate.share_records(requests, status, sizes).select("id", "bundle", "refusal", "size_bytes")

@@ -16,10 +16,11 @@ from dataclasses import dataclass, fields
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tracewell.sources.archives import ROW_SCHEMA, Limits, Row, clean, in_batches, unpack
-from tracewell.sources.files import REFUSED
+from tracewell.sources.files import REFUSED, expand_archives, read_files, split_refused
 
 #: A task reads files of together so many bytes, or one larger one, and no more files than this.
 TASK_BYTES, TASK_FILES = 64 << 20, 5000
@@ -96,8 +97,24 @@ class FileTree(DataSource):
         return _Reader(self.options["path"].split("\n"), Limits(**given))
 
 
+def _known(root: str) -> bool:
+    try:
+        pafs.FileSystem.from_uri(root)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
 def read_tree(spark: SparkSession, *roots: str, limits: Limits = Limits()) -> DataFrame:
-    """path, what, content and reason of all files below the roots and of what they hold."""
+    """path, what, content and reason of all files below the roots and of what they hold.
+
+    Stores that pyarrow doesn't know are read by Spark, a file in a row.
+    """
+    if not all(map(_known, roots)):
+        allowed, refused = split_refused(read_files(spark, *roots))
+        empty = [F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("reason")]
+        names = allowed.select("path", F.lit("name").alias("what"), *empty)
+        return names.unionByName(refused.select("path", F.lit("skip").alias("what"), empty[0], "reason")).unionByName(expand_archives(allowed, limits))
     spark.dataSource.register(FileTree)
     options = {f.name: str(getattr(limits, f.name)) for f in fields(Limits)}
     return spark.read.format("file_tree").options(**options).load("\n".join(roots))
