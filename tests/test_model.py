@@ -19,7 +19,7 @@ LABELS = ["O", *[f"{t}-{c}" for c in ("private_person", "private_date") for t in
 
 
 def words():
-    return lambda texts: [[(sum(map(ord, m.group())) % 1000 + (1000 if m.group()[0].isupper() else 0), m.start(), m.end()) for m in re.finditer(r"\S+|^\n", t)] for t in texts]
+    return lambda texts: [[(sum(map(ord, m.group())) % 1000 + (1000 if m.group()[0].isupper() else 0), m.start(), m.end()) for m in re.finditer(r"\S+|\A\n\Z", t)] for t in texts]
 
 
 def reach(ids):
