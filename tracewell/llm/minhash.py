@@ -8,9 +8,11 @@ values (three permutations) select candidates, and links are confirmed on full s
 2. Classes meet in buckets, one for each band. A small bucket gives its pairs; a larger one gives
    each member with the bucket's hub, and so no more pairs than members.
 3. Pairs whose sizes allow a link are confirmed on full sets and joined into components.
-4. In larger buckets, members outside the hub's component are compared on full sets, block by
-   block, with all members of other components. So no pair that met in any bucket is left out,
-   yet members that are already connected are not compared again.
+4. Of larger buckets that aren't one component by then, the members meet again under exact prefix keys:
+   with shingles in an order of rarity, similar sets share one of their first few, while pages of one template,
+   which share what many share, don't. Pairs of other components under a key are confirmed on full
+   sets, block by block where many meet. So no pair that met in any bucket is left out, and the work
+   grows with the members, not with their square.
 
 The number of bands follows from the threshold: a pair right at it stays apart in all of them with
 a probability below MISS.
@@ -28,6 +30,7 @@ input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -35,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,8 @@ ROWS = 6
 MISS = 1e-7
 #: Members up to which a bucket gives all its pairs; a larger one is linked over its hub.
 SMALL_BUCKET = 12
+#: Slots of the order of rarity, the step from one size class to the next, and members up to which a prefix key gives all its pairs.
+SLOTS, CLASS_STEP, SMALL_KEY = 1 << 18, 1.04, 12
 #: Members, and shingles of members, that are compared with as many others in one task.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Members of a bucket that meet one copy of their hub's set.
@@ -199,6 +205,106 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, spread: DataFrame, percent: in
     return pairs.join(two, "b").join(one, ["a", "salt"]).where(100 * shared >= percent * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
 
 
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many of sets(hashes) hold a shingle of each of SLOTS slots: an order in which what many share comes last."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            values = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            total += np.bincount((values % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    found = sets.select("hashes").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def size_class(size: int) -> int:
+    return math.floor(math.log(size) / math.log(CLASS_STEP) + 1e-9)
+
+
+@functools.lru_cache(1 << 14)
+def class_start(c: int) -> int:
+    """The smallest size of a class or, if it has none, of the next."""
+    low = max(int(CLASS_STEP**c) - 1, 1)
+    while size_class(low) < c:
+        low += 1
+    return low
+
+
+@functools.lru_cache(1 << 14)
+def prefixes(size: int, percent: int) -> list[tuple[int, int, int]]:
+    """(class, class, shingles): for each pair of size classes in which a set of a size can have partners, how many of its
+    first shingles, in any common order, are sure to hold one that each partner has among its own.
+
+    Sets of s and t shingles that are similar share at least percent (s + t) / (100 + percent), so that they meet
+    among the first s - that + 1 of one and t - that + 1 of the other. A class stands for its smallest size.
+    """
+    own, out = size_class(size), []
+    least, most = -(-percent * size // 100), size * 100 // percent
+    for c in range(size_class(least), size_class(most) + 1):
+        other = max(class_start(c), least)
+        if size_class(other) != c:  # no size belongs to it
+            continue
+        shared = -(-percent * (size + other) // (100 + percent))
+        out.append((min(own, c), max(own, c), size - shared + 1))
+    return out
+
+
+def prefix_keys(rest: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """key, node, far, own, s: the shingles, by pair of size classes, among which rest(node, far, own, hashes) can meet partners."""
+    shared = rest.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            rows, keys = [], []
+            for i, hashes in enumerate(batch.column("hashes")):
+                values = hashes.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                order = values[np.lexsort((values, counts[(values % np.uint64(SLOTS)).astype(np.int64)]))]
+                for low, high, n in prefixes(len(order), percent):
+                    with np.errstate(over="ignore"):
+                        keys.append(mix(order[:n] + np.uint64((low << 16) + high) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+                    rows.append((i, n))
+            at = pa.array(np.repeat(np.array([i for i, _ in rows], np.int64), [n for _, n in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), *[batch.column(c).take(at) for c in ("node", "far", "own")], pc.list_value_length(batch.column("hashes")).take(at)], ["key", "node", "far", "own", "s"])
+
+    return rest.select("node", "far", "own", "hashes").mapInArrow(run, "key long, node long, far boolean, own long, s int")
+
+
+def more_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, among rest(node, far, own, hashes) of which one node at least is far.
+
+    Similar sets meet under a prefix key; pages of one template, which share what many share, don't. Few meet under
+    a key, and their pairs are confirmed on full sets. Where many do, blocks of them are compared.
+    """
+    keys = written(prefix_keys(rest, rarity(rest), percent), "prefix-keys")
+    facts = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("far").alias("n_far"), F.sum("s").alias("s"), F.coalesce(F.sum(F.when(F.col("far"), F.col("s"))), F.lit(0)).alias("s_far"), F.min("own").alias("_low"), F.max("own").alias("_high"),
+        F.bit_xor(F.xxhash64("node")).alias("_a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_b"),
+    )
+    # Keys of the same members are one.
+    facts = facts.where("n > 1 AND n_far > 0 AND _low < _high").groupBy("_a", "_b", "n", "n_far", "s", "s_far").agg(F.min("key").alias("key")).drop("_a", "_b")
+    facts = written(facts, "prefix-facts")
+    met = written(keys.drop("s").join(facts, "key"), "prefix-members")
+    few = met.where(F.col("n") <= SMALL_KEY)
+    listed = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "far", "own"))).alias("_m"))
+    inner = listed.select(F.posexplode("_m").alias("_i", "_x"), "_m").select("_x", F.explode(F.slice("_m", F.col("_i") + 2, SMALL_KEY)).alias("_y"))
+    pairs = inner.where("(_x.far OR _y.far) AND _x.own != _y.own").select(F.col("_x.node").alias("a"), F.col("_y.node").alias("b"), F.lit(0).cast("long").alias("salt")).distinct()
+    none = sets.select("node", F.lit(1).cast("long").alias("copies")).limit(0)
+    links = written(_confirmed(written(pairs, "prefix-pairs"), sets, none, percent), "prefix-links")
+    many = met.where(F.col("n") > SMALL_KEY)
+    blocks = lambda side: F.greatest(F.ceil(F.col(f"n{side}") / BLOCK), F.ceil(F.col(f"s{side}") / BLOCK_SHINGLES))
+    own_far, own_near = F.pmod(F.xxhash64("node"), blocks("_far")), F.pmod(F.xxhash64("node", F.lit(1)), blocks(""))
+    dealt = many.where("far").select("key", "node", "own", F.lit(True).alias("far"), own_far.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("") - 1)).alias("j"))
+    dealt = dealt.union(many.select("key", "node", "own", F.lit(False).alias("far"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("_far") - 1)).alias("i"), own_near.alias("j")))
+    compared = dealt.join(sets, "node").groupBy("key", "i", "j").applyInPandas(_residue(percent), "a long, b long")
+    return written(links.union(compared.where("a != b").distinct()), "more-links")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     with scratch(docs.sparkSession):
@@ -236,20 +342,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         placed = (
             large.join(label("node", "_own"), "node", "left")
             .join(label("hub", "_hub"), "hub", "left")
-            .select("band", "node", "n", F.coalesce("_own", "node").alias("own"), (F.coalesce("_own", "node") != F.coalesce("_hub", "hub")).alias("far"))
+            .select("band", "node", F.coalesce("_own", "node").alias("own"), (F.coalesce("_own", "node") != F.coalesce("_hub", "hub")).alias("far"))
         )
         placed = written(placed, "placed")
-        facts = placed.groupBy("band").agg(F.count_if("far").alias("n_far"), F.sum(F.when(F.col("far"), F.col("n"))).alias("s_far"), F.count(F.lit(1)).alias("n_near"), F.sum("n").alias("s_near"))
-        blocks = lambda side: F.greatest(F.ceil(F.col(f"n_{side}") / BLOCK), F.ceil(F.col(f"s_{side}") / BLOCK_SHINGLES)).alias(f"{side}_blocks")
-        open_buckets = facts.where("n_far > 0").select("band", blocks("far"), blocks("near"))
-        rest = placed.join(written(open_buckets, "open-buckets"), "band")
-        own_far, own_near = F.pmod(F.xxhash64("node"), F.col("far_blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("near_blocks"))
-        dealt = rest.where("far").select("band", "node", "own", F.lit(True).alias("far"), own_far.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("near_blocks") - 1)).alias("j"))
-        dealt = dealt.union(rest.select("band", "node", "own", F.lit(False).alias("far"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("i"), own_near.alias("j")))
-        more = dealt.join(sets, "node").groupBy("band", "i", "j").applyInPandas(_residue(percent), "a long, b long")
-        more = written(more.where("a != b").distinct(), "more-links")
-        if not more.isEmpty():
-            labels = connected_components(links.union(more))
+        unsettled = written(placed.groupBy("band").agg(F.max("far").alias("open")).where("open").select("band"), "open-buckets")
+        if not unsettled.isEmpty():
+            rest = placed.join(unsettled, "band").groupBy("node").agg(F.max("far").alias("far"), F.min("own").alias("own"))
+            more = more_links(written(rest.join(sets, "node"), "unsettled"), sets, percent)
+            if not more.isEmpty():
+                labels = connected_components(links.union(more))
 
         # A class's component; documents with equal sets share it.
         joined = written(
@@ -261,10 +362,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with docs' columns."""
-    verdict = near_duplicates(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_tracewell_dropped")).distinct()
-    verdict = written(verdict, "near-duplicates")
-    return docs.join(verdict, docs["doc_id"].cast("long") == F.col("_tracewell_dropped"), "left_anti")
+    """One document of each group, the one with the smallest doc_id, with docs' columns.
+
+    Of rows that repeat a doc_id and its text, one stays.
+    """
+    verdict = written(near_duplicates(docs, size, percent).select("doc_id", "kept"), "near-duplicates")
+    dropped = verdict.where("NOT kept").select(F.col("doc_id").alias("_tracewell_dropped")).distinct()
+    own = docs["doc_id"].cast("long")
+    left = docs.join(dropped, own == F.col("_tracewell_dropped"), "left_anti")
+    again = written(verdict.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_tracewell_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    same = own == F.col("_tracewell_again")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
