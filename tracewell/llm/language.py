@@ -142,9 +142,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, epochs: int
 
     part = min(1.0, 1.5 * sample / facts["texts"])
     near = usable.withColumn("rank", rank).where(F.pmod("rank", F.lit(1 << 30)) < int(part * (1 << 30)))
-    near = near.groupBy("rank").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
-    drawn = near.select("rank", "text", "lang").mapInPandas(vectors, "rank long, target int, at array<int>, values array<float>")
-    drawn = written(drawn, "language-sample").orderBy("rank").limit(sample)
+    # Ranks are chosen before texts and vectors are made: at most sample numbers.
+    ranks = F.broadcast(written(near.select("rank").distinct().orderBy("rank").limit(sample), "language-sample"))
+    texts = near.join(ranks, "rank").groupBy("rank").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
+    drawn = texts.select("rank", "text", "lang").mapInPandas(vectors, "rank long, target int, at array<int>, values array<float>")
     drawn = written(drawn.withColumn("shard", F.pmod("rank", F.lit(shards + 1)).cast("int")), "language-rows")
     weights = train(drawn.where(F.col("shard") < shards), 1 << BITS, len(languages), epochs, alpha=2.0, l1=1e-3, l2=1e-3)
 
