@@ -45,6 +45,8 @@ MAGIC = b"TWWM0002"
 FILE_TOKENS = 2_000_000
 #: Bytes of text that a range of doc_ids is planned for.
 RANGE_BYTES = 8 << 20
+#: Ranges and reading tasks at most, however much text there is; beyond, files and tasks get more of it.
+MOST_RANGES = 8192
 RANGES_PER_BLOCK = 1024
 BLOCK_BITS = 1 << 18
 _BLOCK_BYTES = BLOCK_BITS // 8
@@ -234,7 +236,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, file_tokens:
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = plain.repartitionByRange(max(1, -(-total // RANGE_BYTES)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = plain.repartitionByRange(min(MOST_RANGES, max(1, -(-total // RANGE_BYTES))), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, part = TaskContext.get().partitionId(), 0
@@ -282,7 +284,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in a folder of token files: doc_id, start, n_tokens, ids_crc32, and from the planes
     n_end_ids, how often END_ID occurs in it, and end_at, the position of the last one among all ids."""
     index = spark.read.parquet(f"{folder}/index").select("name", "first")
-    jobs = index.repartition(max(1, index.count()), "name")
+    jobs = index.repartition(min(MOST_RANGES, max(1, index.count())), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
