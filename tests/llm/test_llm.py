@@ -217,25 +217,54 @@ def test_packing_is_about_as_tight_as_plain_best_fit(spark, shape):
     assert len(puts) <= 40 * len(counts) + 100
 
 
-def test_sweeps_by_range_equal_one_sweep():
-    """With gaps that take one document each, ranges first and then what they leave match as everything at once."""
-    draw = random.Random(9)
-    for _ in range(200):
-        docs = [("doc", s, draw.randint(1, 3), 0, 0, 0) for s in draw.sample(range(26, 50), 8)]
-        gaps = [("gap", s, draw.randint(1, 3), 0, 10 * k, 0) for k, s in enumerate(draw.sample(range(26, 50), 8))]
-        at_once = packing.sweep(docs + gaps, 50)
-        low = packing.sweep([r for r in docs + gaps if r[1] < 38], 50)
-        high = packing.sweep([r for r in docs + gaps if r[1] >= 38], 50)
-        parted = packing.sweep(low + high, 50)
-        puts = lambda runs: sorted((size, offset, n) for kind, size, n, _, _, offset in runs if kind == "put")
+def plain_sweep(docs, gaps):
+    """One by one: from the largest size down, gaps before documents of their size, a document takes the gap last come by.
+
+    docs are sizes, gaps rooms; what a document leaves of a gap is a gap again. Returns placed (size, room), and what is left.
+    """
+    ahead = sorted([(-g, 0) for g in gaps] + [(-d, 1) for d in docs])
+    stack, placed, left = [], [], []
+    while ahead:
+        size, is_doc = ahead.pop(0)
+        if not is_doc:
+            stack.append(-size)
+        elif not stack:
+            left.append(-size)
+        else:
+            room = stack.pop()
+            placed.append((-size, room))
+            if room + size:
+                bisect.insort(ahead, (-(room + size), 0))
+    return placed, left, stack
+
+
+def as_runs(docs, gaps):
+    doc_runs = [("doc", s, n, 0, 0, 0) for s, n in collections.Counter(docs).items()]
+    return doc_runs + [("gap", s, 1, 0, k, 0) for k, s in enumerate(gaps)]
 
-        def spread(runs):
-            out = collections.Counter()
-            for size, offset, n in puts(runs):
-                out[size, offset] += n
-            return out
 
-        assert spread(at_once) == spread(parted)
+def expanded(runs):
+    puts = sorted(size for kind, size, n, *_ in runs if kind == "put" for _ in range(n))
+    return puts, sorted(s for kind, s, n, *_ in runs if kind == "doc" for _ in range(n)), sorted(s for kind, s, n, *_ in runs if kind == "gap" for _ in range(n))
+
+
+def test_sweeps_follow_their_rule():
+    """Sweeps of runs equal sweeps one by one, with sizes whose remainders are used again, by ranges and over what they leave."""
+    draw = random.Random(9)
+    for _ in range(200):
+        docs = [draw.randint(1, 2048) for _ in range(60)]
+        gaps = [draw.randint(1, 2048) for _ in range(60)]
+        got = expanded(packing.sweep(as_runs(docs, gaps), 2048))
+        placed, left, rooms = plain_sweep(docs, gaps)
+        assert got == (sorted(s for s, _ in placed), sorted(left), sorted(rooms))
+        # Two ranges, then all that is left.
+        parts = [[x for x in xs if (x > 1024) == high] for high in (False, True) for xs in (docs, gaps)]
+        state = [r for d, g in ((parts[0], parts[1]), (parts[2], parts[3])) for r in packing.sweep([("gap", s, 1, 0, gaps.index(s), 0) if k else ("doc", s, 1, 0, 0, 0) for k, xs in enumerate((d, g)) for s in xs], 2048)]
+        low, high = plain_sweep(parts[0], parts[1]), plain_sweep(parts[2], parts[3])
+        last = plain_sweep(low[1] + high[1], low[2] + high[2])
+        assert expanded(packing.sweep(state, 2048)) == (sorted(s for p in (low, high, last) for s, _ in p[0]), sorted(last[1]), sorted(last[2]))
+        # Nothing that still seeks a gap fits into one that is left.
+        assert not last[1] or not last[2] or min(last[1]) > max(last[2])
 
 
 # Mixing
@@ -452,6 +481,60 @@ def test_hubs_and_heavy_nodes_are_spread(spark, monkeypatch):
     assert {out[i] for i in range(60)} == {0} and {out[i] for i in range(60, 71)} == {60}
 
 
+def template_pages(n, words=60, own=8):
+    """Short pages of one template: any two share about three quarters of their shingles, and none links."""
+    frame = [f"frame{i}" for i in range(words - own)]
+    return [(i, " ".join(frame[:20] + [f"p{i}w{k}" for k in range(own)] + frame[20:])) for i in range(n)]
+
+
+def test_prefix_keys_bring_all_similar_sets_together(spark):
+    draw = np.random.default_rng(3)
+    common = draw.integers(0, 2**62, 300)
+    sets = [np.unique(np.concatenate((draw.choice(common, int(draw.integers(1, 120))), draw.integers(0, 2**62, int(draw.integers(0, 6)))))) for _ in range(120)]
+    for base in list(sets[:60]):
+        keep = draw.random(len(base)) < draw.choice([0.8, 0.9, 0.95, 1.0])
+        sets.append(np.unique(np.concatenate((base[keep], draw.integers(0, 2**62, int(draw.integers(0, 4)))))))
+    sets = [x for x in sets if len(x)]
+    for percent in (85, 80, 50):
+        rest = spark.createDataFrame([(i, True, i, x.tolist()) for i, x in enumerate(sets)], "node long, far boolean, own long, hashes array<long>").repartition(3)
+        keys = collections.defaultdict(set)
+        for r in minhash.prefix_keys(rest, minhash.rarity(rest), percent).collect():
+            keys[r.node].add(r.key)
+        similar = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if (n := len(np.intersect1d(x, y))) * 100 >= percent * (len(x) + len(y) - n)]
+        assert len(similar) > 20 and all(keys[i] & keys[j] for i, j in similar)
+        got = {frozenset(r) for r in minhash.more_links(rest, rest.select("node", "hashes"), percent).collect()}
+        assert {frozenset(p) for p in connected_pairs(similar)} == {frozenset(p) for p in connected_pairs([tuple(x) for x in got])}
+
+
+def connected_pairs(links):
+    """Each node with the smallest one it is connected with."""
+    home = {}
+
+    def root(x):
+        while home.get(x, x) != x:
+            x = home[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        home[b] = a
+    return {(x, root(x)) for pair in links for x in pair}
+
+
+def test_pages_of_one_template_meet_under_few_keys(spark):
+    pages = spark.createDataFrame(template_pages(1500), "node long, text string")
+    rest = minhash.shingle_sets(pages, 3).selectExpr("node", "TRUE AS far", "node AS own", "hashes")
+    keys = minhash.prefix_keys(rest, minhash.rarity(rest), 85)
+    assert keys.groupBy("key").count().where("count > 1").isEmpty() and keys.count() < 1500 * 200
+
+
+def test_near_copies_among_pages_of_a_template(spark):
+    pages = template_pages(400)
+    copies = [(1000 + i, t.replace("frame50", "other")) for i, t in pages[:100]]
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(pages + copies, "doc_id long, text string"), 3, 85).collect()}
+    assert out == {i: i % 1000 if i >= 1000 else i for i in out}
+
+
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101)]
     out = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
@@ -565,6 +648,17 @@ def test_features_equal_a_plain_version_in_any_parts(odd, monkeypatch):
     assert {plain_feature(t) for t in texts} <= features
 
 
+def test_loud_samples_in_the_signs_of_the_filter_are_clipped():
+    signs = np.sign(np.concatenate((audio.FILTER[::-1], audio.FILTER)))
+    wide = np.tile(signs * 32256, 4).astype(np.int32)
+    got = audio.between(wide, np.array([len(wide)]))
+    padded = np.concatenate(([wide[0]] * audio.TAPS, wide, [wide[-1]] * audio.TAPS)).astype(object)
+    for i in range(len(wide)):
+        total = (1 << 14) + sum(int(h) * (int(padded[i + audio.TAPS - k]) + int(padded[i + audio.TAPS + 1 + k])) for k, h in enumerate(audio.FILTER))
+        assert got[i] == min(max(total >> 15, -32768), 32767)
+    assert got.max() == 32767
+
+
 def test_the_filter_keeps_a_tone():
     t = np.arange(400)
     tone = lambda t: 20000 * np.sin(0.3 * t)
@@ -616,6 +710,43 @@ def test_numbers_within_groups(spark):
     assert all(sorted(v) == list(range(len(v))) for v in got.values()) and sum(map(len, got.values())) == 500
 
 
+# Regression
+
+
+def test_ftrl_equals_a_plain_version():
+    """Each coordinate by itself, in the words of the method: per-coordinate rates, L1 and L2 in the closed form of the weight."""
+    from tracewell.llm.ftrl import Ftrl
+
+    draw, alpha, beta, l1, l2 = np.random.default_rng(6), 0.5, 1.0, 1.5, 0.3
+    for classes, binary in ((1, True), (3, False)):
+        model = Ftrl(20, classes, alpha, beta, l1, l2)
+        z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+        def weight(i, c):
+            if abs(z[i, c]) <= l1:
+                return 0.0
+            return -(z[i, c] - math.copysign(l1, z[i, c])) / ((beta + math.sqrt(n[i, c])) / alpha + l2)
+
+        for _ in range(150):
+            at = draw.choice(20, int(draw.integers(1, 6)), replace=False)
+            x = draw.normal(0, 1, len(at))
+            label = int(draw.integers(0, 2 if binary else classes))
+            target = np.array([float(label)]) if binary else np.eye(classes)[label]
+            model.learn(at, x, target, binary)
+            logits = [sum(v * weight(i, c) for i, v in zip(at, x)) for c in range(classes)]
+            guess = [1 / (1 + math.exp(-logits[0]))] if binary else [math.exp(q) / sum(map(math.exp, logits)) for q in logits]
+            steps = {}
+            for i, v in zip(at, x):
+                for c in range(classes):
+                    g = v * (guess[c] - target[c])
+                    steps[i, c] = (g, (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / alpha, weight(i, c))
+            for key, (g, rate, w) in steps.items():
+                z[key] += g - rate * w
+                n[key] += g * g
+        want = np.array([[weight(i, c) for c in range(classes)] for i in range(20)])
+        assert np.allclose(model.weights(), want) and (want == 0).any() and (want != 0).any()
+
+
 # Quality rules
 
 
@@ -817,6 +948,22 @@ def test_pipeline(spark, sf, docs):
     check_packing(stages["packing"](spark, mix, sf).collect(), [(r.doc_id, r.text) for r in pairs_of(mix)])
 
 
+def test_stages_take_any_column_name_and_keep_one_of_equal_rows(spark):
+    import corpus_pipeline
+
+    words = [f"{a}{b}" for a in ("al", "ber", "con", "der", "en", "fol", "gar", "hun") for b in ("a", "ine", "to", "um", "ert", "ost")]
+    text = " ".join(words).capitalize() + "."
+    rows = [(1, text, "s", "a", "b"), (1, text, "s", "a", "b"), (2, text + " More.", "s", "a", "b"), (3, "Another document that has nothing in common with the first one, but for some of its very short and plain words.", "s", "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` string, `c``d e` string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "source", "a.b", "c`d e"], name
+        if name == "near_dedup":
+            assert sorted(r.doc_id for r in docs.collect()) == [1, 3]
+    assert {r.doc_id for r in docs.collect()} <= {1, 3}
+    assert minhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string, a string, b string")).count() == 2
+
+
 def test_pipeline_on_odd_tables(spark, odd, none, tmp_path):
     import corpus_pipeline
 

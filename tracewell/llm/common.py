@@ -7,16 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from tracewell.functions.tables import delete, fresh_path, scratch
 from tracewell.functions.tables import materialized as written
 
-__all__ = ["CHUNK_BYTES", "buffers", "delete", "fresh_path", "row_chunks", "scratch", "written"]
+__all__ = ["CHUNK_BYTES", "buffers", "column", "delete", "fresh_path", "row_chunks", "scratch", "written"]
 
 #: Bytes of text that a Python helper works on at a time.
 CHUNK_BYTES = 1 << 20
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offset of each row; null counts as empty."""
     if texts.null_count:

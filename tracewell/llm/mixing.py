@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import written
+from tracewell.llm.common import column, written
 from tracewell.llm.numbering import each_copy
 
 WEIGHTS = (1, 2, 3)
@@ -144,9 +144,9 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int =
 def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES) -> DataFrame:
     """The mix itself: a row for each time a document is taken, in training order, with docs' columns."""
     own = docs.columns
-    other = F.md5(F.encode(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own) if c != "text"])), "UTF-8"))
+    other = F.md5(F.encode(F.to_json(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(own) if c != "text"])), "UTF-8"))
     names = ["_key", "_md5", "_other", "doc_id", "size"]
-    keyed = docs.select(*_own(docs), other.alias("_other"), F.struct(*own).alias("_doc"))
+    keyed = docs.select(*_own(docs), other.alias("_other"), F.struct(*map(column, own)).alias("_doc"))
     groups = written(keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "mix-sizes")
     rows = _taken(each_copy(written(demand(groups, names, weights, max_repeats), "mix-starts"), "_n", "_copy")).where("_times > 0")
     rows = rows.withColumn("_at", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1), lambda k: _position(k, schedules))))

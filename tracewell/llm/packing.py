@@ -11,8 +11,10 @@ A round:
    Where several documents want a gap, rank decides: the larger document, then the lower number.
 2. What a document leaves of a gap is a gap again, in the same sweep where its size is still ahead.
 3. Documents without a gap and gaps without a document go on to the sweep of FAN neighbouring ranges
-   together, and so on up to all ranges. A sweep takes gaps last in, first out, as brackets are
-   matched, so sweeping ranges first and then what they leave is one sweep over everything.
+   together, and so on up to all ranges. So a document takes a gap of its own range before a tighter one that
+   another document of the range leaves in a lower one: placements differ from those of one sweep over
+   everything, tightness hardly does (both are tested). The last sweep is over all that is left, so after a
+   round no document that still seeks a gap fits into one that was there before sequences are opened.
 4. Documents that found no gap open sequences, the largest first: all above half a sequence, else as
    many sequences as the total of the others needs. Their gaps and the other documents go into the next
    round.

@@ -8,7 +8,10 @@ other: one bad vote of a rule that often errs is outweighed by good votes, and s
 votes together drop a document that no base rule rejects.
 
 Rules overlap on purpose (marks, for example, lower the share of letters, end words oddly and count
-as symbols), as it is from their agreement that accuracies are learned.
+as symbols), as it is from their agreement that accuracies are learned. So they are not independent, and
+the posterior is surer than it should be. Taking the rules of a trait as one voter, or weighing them by
+their correlation, leaves nothing that agrees, and the estimation then finds other classes than good
+and bad (figures in README).
 
 Defined cases: null text has no words and fails the base rules, like an empty one; very long texts
 are counted whole, in one row of one task; repeated rows are judged alike; an empty table gives an
@@ -22,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import written
+from tracewell.llm.common import column, written
 
 WINDOW = 5
 ROUNDS = 40
@@ -198,7 +201,7 @@ def judged(docs: DataFrame, keep: list[str] | None = None, threshold: float = TH
 def kept_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are kept, with docs' columns as they are."""
     own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in own.items()])
+    plain = docs.select("doc_id", "text", *[column(c).alias(n) for c, n in own.items()])
     return judged(plain, list(own.values()), threshold).where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
