@@ -147,7 +147,7 @@ def test_the_stage_keeps_its_budget(spark):
     stage = model.model_stage(lines, words, names, LABELS, budget=30, size=16, overlap=4)
     used = {r[0]: r[1] for r in stage.used.where("admitted").selectExpr("bundle", "tokens + 1 AS c").groupBy("bundle").sum("c").collect()}
     assert used["b1"] <= 30 and used[None] == 2
-    over = {r.bundle: r for r in model.not_model_scanned(stage, lines).collect()}
+    over = {r.bundle: r for r in model.not_model_scanned(stage).collect()}
     assert set(over) == {"b1"} and over["b1"].not_model_scanned == ["notes.txt", "src/0.py", "src/1.py", "src/2.py", "src/3.py"]
     # File names, metadata and pictures come before documents.
     assert {"John Doe.doc", "Dora", "Carl"} <= {r.value for r in stage.matches.collect()}

@@ -150,6 +150,19 @@ def test_pictures_take_part_in_the_scan(spark):
     assert blind.summary.first().images_ocr == 0 and blind.review.count() == 20 and blind.review.first().overflow == 25
 
 
+def test_pages_of_documents_take_part_in_the_scan(spark):
+    named = {"/d/a.pdf": b"%PDF-1.4", "/d/b.pdf": b"%PDF-1.7", "/d/c.pdf": b"%PDF-1.4", "/d/n.zip": zipped(e_dot_pdf=b"%PDF-1.4 x"), "/d/z.bin": b"\0"}
+    texts = {"/d/a.pdf": ("first page\n\nwith 普通預金 1234567\f  \f\nthird 03-1234-5678", " Ann B "), "/d/b.pdf": ("too short", None), "/d/n.zip!e.pdf": ("a page of a document in an archive, x@y.jp\f", "")}
+    read = lambda paths: paths.join(spark.createDataFrame([(p, *t) for p, t in texts.items()], "path string, text string, author string"), "path")
+    out = scanned(spark, named, documents=report.Documents(read))
+    got = {(r.category, r.value, x.path, x.page, x.line, x.kind) for r in out.findings.collect() for x in r.locations}
+    assert got == {
+        ("account_number", "普通預金 1234567", "/d/a.pdf", 1, 3, "pdf"), ("private_phone", "03-1234-5678", "/d/a.pdf", 3, 2, "pdf"),
+        ("private_email", "x@y.jp", "/d/n.zip!e.pdf", 1, 1, "pdf"), ("metadata_person", "Ann B", "/d/a.pdf", None, None, "metadata"),
+    }
+    assert {r.path: r.reason for r in out.skipped.collect()} == {"/d/b.pdf": P.NO_PDF_TEXT, "/d/c.pdf": P.NO_PDF_TEXT, "/d/z.bin": P.BINARY}
+
+
 @pytest.mark.parametrize("order", range(3))
 def test_phases_come_before_lines(spark, order):
     rows = [("p.png", None, 1, "ocr", "tel 03-1234-5678 in ocr"), ("p.png", None, 1, "metadata", "tel 03-1234-5678 in metadata"), ("a/090-1234-5678.txt", None, 1, "text", "090-1234-5678 in text"), ("a/090-1234-5678.txt", None, None, "filename", "090-1234-5678.txt")]

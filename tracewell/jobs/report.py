@@ -87,6 +87,13 @@ class Pictures:
     read: Callable[[DataFrame], DataFrame] | None = None
 
 
+@dataclass
+class Documents:
+    """How PDF files are read: read gives (path, text, author) for rows of paths, text with a form feed after each page."""
+
+    read: Callable[[DataFrame], DataFrame]
+
+
 @dataclass
 class FileScan:
     """What a scan of files gives.
@@ -170,14 +177,29 @@ def _look_at(images: DataFrame, pictures: Pictures | None) -> tuple[DataFrame, D
     return chosen, visual_review(chosen, can_read), lines, matches
 
 
-def scan_files(files: DataFrame, detectors: Sequence[Detector] = DETECTORS, extra_lines: DataFrame | None = None, extra_matches: DataFrame | None = None, pictures: Pictures | None = None, model: Model | None = None, limits: Limits = Limits()) -> FileScan:
+def _pages(unread: DataFrame, documents: Documents) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines and author matches of the PDF files among unread(path, reason), and what stays unread.
+
+    A text of under 20 characters is none; lines are numbered in their page.
+    """
+    of_pdf = F.col("reason") == P.NO_PDF_TEXT
+    texts = materialized(documents.read(unread.where(of_pdf).select("path")).select("path", "text", "author"), "pdf-texts")
+    pages = materialized(T.split_pages(texts, "path"), "pages")
+    lines = T.to_lines(pages, "path", "page").select("path", "page", "line", F.lit("pdf").alias("kind"), "text")
+    author = T.stripped(F.col("author"))
+    people = texts.where(author != "").select("path", F.lit("metadata_person").alias("category"), author.alias("value"), F.concat(F.lit("PDF Author = "), author).alias("context"))
+    left = unread.where(~of_pdf).unionByName(unread.where(of_pdf).join(pages.select("path").distinct(), "path", "left_anti"))
+    return lines, _metadata_matches(people), left
+
+
+def scan_files(files: DataFrame, detectors: Sequence[Detector] = DETECTORS, extra_lines: DataFrame | None = None, extra_matches: DataFrame | None = None, pictures: Pictures | None = None, model: Model | None = None, documents: Documents | None = None, limits: Limits = Limits()) -> FileScan:
     """The whole scan of files(path, content): refused places, names, archives, office files, texts, pictures, credentials,
     a model if there is one, findings and skips.
 
     extra_lines are lines of other origin, extra_matches are match rows. Each file that can't be scanned, wholly or
     from some place on, leaves a row in skipped; a damaged one never ends the job.
     """
-    return scan_expanded(expanded_files(files, limits), detectors, extra_lines, extra_matches, pictures, model)
+    return scan_expanded(expanded_files(files, limits), detectors, extra_lines, extra_matches, pictures, model, documents)
 
 
 def expanded_files(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -203,12 +225,12 @@ def _office_lines(expanded: DataFrame) -> DataFrame:
     return T.to_lines(office_text(expanded), "path").select("path", F.lit(None).cast("int").alias("page"), "line", F.lit("office").alias("kind"), "text")
 
 
-def scan_tree(spark: SparkSession, *roots: str, detectors: Sequence[Detector] = DETECTORS, pictures: Pictures | None = None, model: Model | None = None, limits: Limits = Limits()) -> FileScan:
+def scan_tree(spark: SparkSession, *roots: str, detectors: Sequence[Detector] = DETECTORS, pictures: Pictures | None = None, model: Model | None = None, documents: Documents | None = None, limits: Limits = Limits()) -> FileScan:
     """The scan of all files below roots, which are read as streams by tree.read_tree(): no file has to fit in a row."""
-    return scan_expanded(read_tree(spark, *roots, limits=limits), detectors, pictures=pictures, model=model)
+    return scan_expanded(read_tree(spark, *roots, limits=limits), detectors, pictures=pictures, model=model, documents=documents)
 
 
-def scan_expanded(expanded: DataFrame, detectors: Sequence[Detector] = DETECTORS, extra_lines: DataFrame | None = None, extra_matches: DataFrame | None = None, pictures: Pictures | None = None, model: Model | None = None) -> FileScan:
+def scan_expanded(expanded: DataFrame, detectors: Sequence[Detector] = DETECTORS, extra_lines: DataFrame | None = None, extra_matches: DataFrame | None = None, pictures: Pictures | None = None, model: Model | None = None, documents: Documents | None = None) -> FileScan:
     """The scan of what files hold, path, what, content and reason as of unpack(). Counts are observed while tables are written."""
     opened, counted = Observation(), Observation()
     expanded = materialized(expanded.observe(opened, F.count_if(F.col("what").isin("file", "large", "archive")).alias("files_seen")), "expanded")
@@ -216,6 +238,9 @@ def scan_expanded(expanded: DataFrame, detectors: Sequence[Detector] = DETECTORS
     paths = expanded.where("what = 'name'").select("path")
     office, plain = _office_lines(expanded), lines_of(texts)
     chosen, review, seen, known = _look_at(images, pictures)
+    if documents is not None:
+        pages, people, unread = _pages(unread, documents)
+        seen, known = [*seen, pages], [*known, people]
     lines = functools.reduce(DataFrame.unionByName, [plain, office, add_filenames(paths), *seen, *([extra_lines] if extra_lines is not None else [])])
     matches = functools.reduce(DataFrame.unionByName, [detect(lines, detectors), _people(office_authors(expanded)), *known, *([extra_matches] if extra_matches is not None else [])])
     skipped = materialized(expanded.where("what = 'skip'").select("path", "reason").unionByName(unread), "skipped")
@@ -225,7 +250,7 @@ def scan_expanded(expanded: DataFrame, detectors: Sequence[Detector] = DETECTORS
         asked = lines.withColumn("bundle", F.lit(None).cast("string"))
         stage = model_stage(asked, model.make_tokenizer, model.make_model, model.labels, model.budget)
         matches = matches.unionByName(stage.matches.drop("bundle"))
-        facts |= _model_facts(stage, asked)
+        facts |= _model_facts(stage)
     found = report_of(materialized(matches, "matches"), counted)
     first = skipped.select("path").orderBy("path").limit(50).collect()
     status = F.col("status")
@@ -242,13 +267,13 @@ def scan_expanded(expanded: DataFrame, detectors: Sequence[Detector] = DETECTORS
     return FileScan(found, skipped, chosen.select("path", "status", "ocr_chars"), review, credentials, model_row, spark.createDataFrame([row], shape), can_read)
 
 
-def _model_facts(stage: ModelStage, lines: DataFrame) -> dict:
+def _model_facts(stage: ModelStage) -> dict:
     """What the report says of the model: whether it was needed, what it took, and what was over its budget."""
     cost = (F.col("tokens") + 1).cast("long")
     n, used = stage.used.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("admitted"), cost)), F.lit(0))).first()
     if not n:
         return {"used": False, "reason": NO_MODEL_NEEDED}
-    over = not_model_scanned(stage, lines).first()
+    over = not_model_scanned(stage).first()
     reason = f"token budget exceeded: about {over.tokens_over} tokens were checked by regex only" if over else ""
     return {"used": True, "reason": reason, "tokens_processed": used, "not_model_scanned": list(over.not_model_scanned) if over else []}
 

@@ -260,10 +260,11 @@ def span_values(spans: DataFrame, placed: DataFrame, bucket: int = 65536) -> Dat
 @dataclass
 class ModelStage:
     """matches: rows like those of detect(). used: the lines that the model read or that were over its budget, with
-    bundle, path, tokens and admitted, a row for each distinct text."""
+    bundle, path, tokens and admitted, a row for each distinct text. places: where each of them stands."""
 
     matches: DataFrame
     used: DataFrame
+    places: DataFrame
 
 
 #: Order of what the model reads: names of files, then documents by their kind, then lines of code.
@@ -329,19 +330,19 @@ def model_stage(lines: DataFrame, make_tokenizer: Callable[[], Tokenizer], make_
         seen_at("model", rank, F.col("place.path"), F.col("place.page"), F.col("place.line"), F.lit(0), F.col("_at").cast("int")).alias("seq"), _bundle_name().alias("bundle"),
     )
     read = priced.select("*", F.when(F.col("doc") != "", F.substring_index("doc", "\x00", 1)).otherwise(F.substring_index("seq", "\x00", 1)).alias("path"))
-    return ModelStage(matches, read.select(_bundle_name().alias("bundle"), "priority", "seq", "path", "text", "tokens", "admitted"))
+    return ModelStage(matches, read.select(_bundle_name().alias("bundle"), "priority", "seq", "path", "text", "tokens", "admitted"), own)
 
 
 def _bundle_name() -> Column:
     return F.when(F.col("bundle") != "", F.substring("bundle", 2, 1 << 30))
 
 
-def not_model_scanned(stage: ModelStage, lines: DataFrame, limit: int = 50) -> DataFrame:
+def not_model_scanned(stage: ModelStage, limit: int = 50) -> DataFrame:
     """bundle, tokens_over and the first paths with lines that were over the budget of their bundle.
 
-    Paths are those of all places of such a text. First per salt and then per bundle, so that no task sorts all paths of one.
+    Paths are those of all places of such a text. Spark keeps the first of each task before it shuffles them by bundle.
     """
-    _, own = _inputs(lines)
+    own = stage.places
     over = stage.used.where("NOT admitted").select(F.coalesce(F.concat(F.lit("="), "bundle"), F.lit("")).alias("bundle"), "priority", "seq", "text", "tokens")
     sums = over.groupBy("bundle").agg(F.sum(F.col("tokens") + 1).alias("tokens_over"))
     shared = own.where("doc = ''").select("bundle", "priority", "text", F.col("place.path").alias("path")).join(over.select("bundle", "priority", "text"), ["bundle", "priority", "text"], "left_semi")

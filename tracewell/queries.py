@@ -886,6 +886,25 @@ def wl7_pictures(spark: SparkSession, d: str) -> DataFrame:
     return found.unionByName(status).unionByName(review).unionByName(more).unionByName(row(out.summary, "read", None, F.col("images_ocr")))
 
 
+@query(rf"""WITH k AS (SELECT '/d/' || doc_id || '.pdf' AS path, doc_id, '普通預金 ' || lpad((doc_id % 300)::varchar, 7, '0') || chr(10) || replace(text, chr(10), chr(12)) AS t FROM documents WHERE doc_id % 7 > 0),
+h AS (SELECT *, length(trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 20 AS held FROM k),
+p AS (SELECT path, doc_id, unnest(string_split(t, chr(12))) AS text, generate_subscripts(string_split(t, chr(12)), 1) AS page FROM h WHERE held),
+l AS (SELECT path, page, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM p),
+v AS (SELECT path, page, line, unnest(regexp_extract_all(left(text, 20000), '普通預金 [0-9]{{7}}')) AS value FROM l),
+o AS (SELECT value, count(DISTINCT (path, page, line)) AS n, arg_min(page, (path, page, line)) AS page FROM v GROUP BY value)
+SELECT 'finding' AS what, value AS name, n, page::INT AS page FROM o UNION ALL SELECT 'finding', 'Author ' || doc_id % 20, count(*), 0 FROM k GROUP BY doc_id % 20
+UNION ALL SELECT 'skip', '{P.NO_PDF_TEXT}', (SELECT count(*) FROM documents) - (SELECT count(*) FROM h WHERE held), 0""")
+def wl8_document_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The scan of PDF files, one for each document, whose pages and authors a reader gives; every seventh has no text."""
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").select(i, F.concat(F.lit("/d/"), i.cast("string"), F.lit(".pdf")).alias("path"), "text")
+    bank = F.concat(F.lit("普通預金 "), F.lpad((i % 300).cast("string"), 7, "0"), F.lit("\n"), F.translate("text", "\n", "\f"))
+    texts = docs.where(i % 7 > 0).select("path", bank.alias("text"), F.concat(F.lit(" Author "), (i % 20).cast("string")).alias("author"))
+    out = report.scan_files(docs.select("path", F.encode(F.lit("%PDF-1.4"), "UTF-8").alias("content")), (detectors.BANK,), documents=report.Documents(lambda paths: texts.join(paths, "path")))
+    found = out.findings.select(F.lit("finding").alias("what"), F.col("value").alias("name"), F.col("occurrences").alias("n"), F.coalesce(F.get("locations", F.lit(0))["page"], F.lit(0)).alias("page"))
+    return found.unionByName(files.skip_summary(out.skipped).select(F.lit("skip").alias("what"), F.col("reason").alias("name"), "n", F.lit(0).alias("page")))
+
+
 _REPORT_SQL = rf"""{SQL_LINES}, {SQL_SYNTH}, al AS (SELECT path, line, left(text, 20000) AS text FROM lines UNION ALL SELECT path, line, text FROM synth)"""
 _RANKED_SQL = rf"""{_merged_sql(_REPORT_SQL)}, an AS (SELECT category, key, value FROM na WHERE TRUE), fi AS (SELECT category, CASE category WHEN 'private_phone' THEN '電話番号' WHEN 'private_email' THEN 'メールアドレス' ELSE '口座番号・カード番号等' END AS label, value, count(*) AS n FROM ro JOIN an USING (category, key) GROUP BY category, key, value),
 ra AS (SELECT *, row_number() OVER (ORDER BY category, n DESC, encode(value)) AS i FROM fi)"""
