@@ -8,7 +8,8 @@ values (three permutations) select candidates, and links are confirmed on full s
 2. Classes meet in buckets, one for each band. A small bucket gives its pairs; a larger one gives
    each member with the bucket's hub, and so no more pairs than members.
 3. Pairs whose sizes allow a link are confirmed on full sets and joined into components.
-4. Of larger buckets that aren't one component by then, the members meet again under exact prefix keys:
+4. Of larger buckets that aren't one component by then, members outside the hub's component are compared with
+   the others block by block, if these are few. If they are many, the members meet again under exact prefix keys:
    with shingles in an order of rarity, similar sets share one of their first few, while pages of one template,
    which share what many share, don't. Pairs of other components under a key are confirmed on full
    sets, block by block where many meet. So no pair that met in any bucket is left out, and the work
@@ -38,7 +39,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +52,10 @@ MISS = 1e-7
 SMALL_BUCKET = 12
 #: Slots of the order of rarity, the step from one size class to the next, and members up to which a prefix key gives all its pairs.
 SLOTS, CLASS_STEP, SMALL_KEY = 1 << 18, 1.04, 12
+#: Comparisons of sets up to which unsettled buckets are compared at once, without keys: a bounded amount of work.
+DIRECT = 50_000_000
+#: Prefix keys that a task holds at a time.
+KEYS = 1 << 17
 #: Members, and shingles of members, that are compared with as many others in one task.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Members of a bucket that meet one copy of their hub's set.
@@ -212,7 +216,8 @@ def rarity(sets: DataFrame) -> np.ndarray:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             values = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            total += np.bincount((values % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            for a in range(0, len(values), KEYS):
+                total += np.bincount((values[a : a + KEYS] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
@@ -255,13 +260,20 @@ def prefixes(size: int, percent: int) -> list[tuple[int, int, int]]:
 
 
 def prefix_keys(rest: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """key, node, far, own, s: the shingles, by pair of size classes, among which rest(node, far, own, hashes) can meet partners."""
+    """key, node, far, own: the shingles, by pair of size classes, among which rest(node, far, own, hashes) can meet partners."""
     shared = rest.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            rows, keys = [], []
+            rows, keys, held = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                at = pa.array(np.repeat(np.array([i for i, _ in rows], np.int64), [n for _, n in rows]))
+                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), *[batch.column(c).take(at) for c in ("node", "far", "own")]], ["key", "node", "far", "own"])
+                rows.clear(), keys.clear()
+                return out
+
             for i, hashes in enumerate(batch.column("hashes")):
                 values = hashes.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 order = values[np.lexsort((values, counts[(values % np.uint64(SLOTS)).astype(np.int64)]))]
@@ -269,40 +281,51 @@ def prefix_keys(rest: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         keys.append(mix(order[:n] + np.uint64((low << 16) + high) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
                     rows.append((i, n))
-            at = pa.array(np.repeat(np.array([i for i, _ in rows], np.int64), [n for _, n in rows]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), *[batch.column(c).take(at) for c in ("node", "far", "own")], pc.list_value_length(batch.column("hashes")).take(at)], ["key", "node", "far", "own", "s"])
+                    held += n
+                    if held >= KEYS:
+                        yield flush()
+                        held = 0
+            yield flush()
 
-    return rest.select("node", "far", "own", "hashes").mapInArrow(run, "key long, node long, far boolean, own long, s int")
+    return rest.select("node", "far", "own", "hashes").mapInArrow(run, "key long, node long, far boolean, own long")
 
 
-def more_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components, among rest(node, far, own, hashes) of which one node at least is far.
+def more_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, among placed(band, node, n, own, far), the members of buckets of which some are far.
 
     Similar sets meet under a prefix key; pages of one template, which share what many share, don't. Few meet under
-    a key, and their pairs are confirmed on full sets. Where many do, blocks of them are compared.
+    a key, and their pairs are confirmed on full sets. Those that meet many are compared in their buckets, block by
+    block; a pair that is in no bucket together was not sought in the first place.
     """
-    keys = written(prefix_keys(rest, rarity(rest), percent), "prefix-keys")
+    nodes = placed.groupBy("node").agg(F.max("far").alias("far"), F.min("own").alias("own"))
+    nodes = written(nodes.join(sets, "node"), "unsettled-sets")
+    keys = written(prefix_keys(nodes, rarity(nodes), percent), "prefix-keys")
     facts = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("far").alias("n_far"), F.sum("s").alias("s"), F.coalesce(F.sum(F.when(F.col("far"), F.col("s"))), F.lit(0)).alias("s_far"), F.min("own").alias("_low"), F.max("own").alias("_high"),
-        F.bit_xor(F.xxhash64("node")).alias("_a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_b"),
-    )
+        F.count(F.lit(1)).alias("n"), F.count_if("far").alias("n_far"), F.min("own").alias("_low"), F.max("own").alias("_high"), F.bit_xor(F.xxhash64("node")).alias("_a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_b")
+    )
     # Keys of the same members are one.
-    facts = facts.where("n > 1 AND n_far > 0 AND _low < _high").groupBy("_a", "_b", "n", "n_far", "s", "s_far").agg(F.min("key").alias("key")).drop("_a", "_b")
-    facts = written(facts, "prefix-facts")
-    met = written(keys.drop("s").join(facts, "key"), "prefix-members")
-    few = met.where(F.col("n") <= SMALL_KEY)
-    listed = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "far", "own"))).alias("_m"))
+    facts = facts.where("n > 1 AND n_far > 0 AND _low < _high").groupBy("_a", "_b", "n", "n_far").agg(F.min("key").alias("key")).drop("_a", "_b")
+    met = written(keys.join(facts, "key"), "prefix-members")
+    listed = met.where(F.col("n") <= SMALL_KEY).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "far", "own"))).alias("_m"))
     inner = listed.select(F.posexplode("_m").alias("_i", "_x"), "_m").select("_x", F.explode(F.slice("_m", F.col("_i") + 2, SMALL_KEY)).alias("_y"))
     pairs = inner.where("(_x.far OR _y.far) AND _x.own != _y.own").select(F.col("_x.node").alias("a"), F.col("_y.node").alias("b"), F.lit(0).cast("long").alias("salt")).distinct()
     none = sets.select("node", F.lit(1).cast("long").alias("copies")).limit(0)
     links = written(_confirmed(written(pairs, "prefix-pairs"), sets, none, percent), "prefix-links")
-    many = met.where(F.col("n") > SMALL_KEY)
-    blocks = lambda side: F.greatest(F.ceil(F.col(f"n{side}") / BLOCK), F.ceil(F.col(f"s{side}") / BLOCK_SHINGLES))
-    own_far, own_near = F.pmod(F.xxhash64("node"), blocks("_far")), F.pmod(F.xxhash64("node", F.lit(1)), blocks(""))
-    dealt = many.where("far").select("key", "node", "own", F.lit(True).alias("far"), own_far.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("") - 1)).alias("j"))
-    dealt = dealt.union(many.select("key", "node", "own", F.lit(False).alias("far"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("_far") - 1)).alias("i"), own_near.alias("j")))
-    compared = dealt.join(sets, "node").groupBy("key", "i", "j").applyInPandas(_residue(percent), "a long, b long")
-    return written(links.union(compared.where("a != b").distinct()), "more-links")
+    crowded = met.where(F.col("n") > SMALL_KEY).select("node").distinct()
+    left = written(placed.join(crowded, "node", "left_semi"), "crowded")
+    return written(links.union(compared(left, sets, percent)), "more-links")
+
+
+def compared(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, by comparing in each bucket the far ones with all others, block by block."""
+    sizes = placed.groupBy("band").agg(F.count_if("far").alias("n_far"), F.sum(F.when(F.col("far"), F.col("n"))).alias("s_far"), F.count(F.lit(1)).alias("n_near"), F.sum("n").alias("s_near"), F.min("own").alias("_low"), F.max("own").alias("_high"))
+    blocks = lambda side: F.greatest(F.ceil(F.col(f"n_{side}") / BLOCK), F.ceil(F.col(f"s_{side}") / BLOCK_SHINGLES)).alias(f"{side}_blocks")
+    rest = placed.join(written(sizes.where("n_far > 0 AND _low < _high").select("band", blocks("far"), blocks("near")), "open-buckets"), "band")
+    own_far, own_near = F.pmod(F.xxhash64("node"), F.col("far_blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("near_blocks"))
+    dealt = rest.where("far").select("band", "node", "own", F.lit(True).alias("far"), own_far.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("near_blocks") - 1)).alias("j"))
+    dealt = dealt.union(rest.select("band", "node", "own", F.lit(False).alias("far"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("i"), own_near.alias("j")))
+    found = dealt.join(sets, "node").groupBy("band", "i", "j").applyInPandas(_residue(percent), "a long, b long")
+    return written(found.where("a != b").distinct(), "block-links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -342,13 +365,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         placed = (
             large.join(label("node", "_own"), "node", "left")
             .join(label("hub", "_hub"), "hub", "left")
-            .select("band", "node", F.coalesce("_own", "node").alias("own"), (F.coalesce("_own", "node") != F.coalesce("_hub", "hub")).alias("far"))
+            .select("band", "node", "n", F.coalesce("_own", "node").alias("own"), (F.coalesce("_own", "node") != F.coalesce("_hub", "hub")).alias("far"))
         )
         placed = written(placed, "placed")
         unsettled = written(placed.groupBy("band").agg(F.max("far").alias("open")).where("open").select("band"), "open-buckets")
         if not unsettled.isEmpty():
-            rest = placed.join(unsettled, "band").groupBy("node").agg(F.max("far").alias("far"), F.min("own").alias("own"))
-            more = more_links(written(rest.join(sets, "node"), "unsettled"), sets, percent)
+            rest = written(placed.join(unsettled, "band"), "unsettled")
+            work = rest.groupBy("band").agg((F.count_if("far") * F.count(F.lit(1))).alias("w")).agg(F.sum("w")).first()[0]
+            more = (compared if work <= DIRECT else more_links)(rest, sets, percent)
             if not more.isEmpty():
                 labels = connected_components(links.union(more))
 
