@@ -540,7 +540,9 @@ def test_pages_of_one_template_meet_under_few_keys(spark):
     assert keys.groupBy("key").count().where("count > 1").isEmpty() and keys.count() < 1500 * 200
 
 
-def test_near_copies_among_pages_of_a_template(spark):
+@pytest.mark.parametrize("direct", [0, minhash.DIRECT])
+def test_near_copies_among_pages_of_a_template(spark, monkeypatch, direct):
+    monkeypatch.setattr(minhash, "DIRECT", direct)
     pages = template_pages(400)
     copies = [(1000 + i, t.replace("frame50", "other")) for i, t in pages[:100]]
     out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(pages + copies, "doc_id long, text string"), 3, 85).collect()}
