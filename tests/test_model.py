@@ -190,3 +190,27 @@ def test_a_budget_goes_by_the_whole_seq(spark):
     random.Random(3).shuffle(rows)
     out = model.apply_token_budget(spark.createDataFrame(rows, "bundle string, priority int, seq string, text string, tokens int").repartition(3), 16).where("admitted")
     assert sorted(int(r.seq[2:]) for r in out.collect()) == [0, 1, 2, 5]
+
+
+def test_scores_leave_tasks_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(model, "SCORED_CHARS", 300)
+    monkeypatch.setattr(model, "SCORED_ROWS", 7)
+    texts = ["ab Cd " * (n % 9 * 10) for n in range(60)] + [None]
+
+    def make_scorer():
+        def score(some):
+            assert len(some) == 1 or sum(len(t or "") for t in some) <= 300
+            return [[(m.start(), m.end(), [float(m.group()[0].isupper()), 1.0]) for m in re.finditer(r"\S+", t or "")] for t in some]
+
+        return score
+
+    got = model.score_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), make_scorer)
+    want = [(n, k, m.start(), m.end(), [float(m.group()[0].isupper()), 1.0]) for n, t in enumerate(texts) for k, m in enumerate(re.finditer(r"\S+", t or ""))]
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_blocks_are_worked_on_a_few_at_a_time():
+    assert [(s.start, s.stop) for s in B.row_slices([3, 3, 9, 1, 1, 0, 8], 6)] == [(0, 2), (2, 3), (3, 6), (6, 7)]
+    assert list(B.row_slices([], 6)) == []
+    pdf = B.pd.DataFrame({"logits": [np.zeros(B.BATCH_LOGITS // 2)] * 5})
+    assert [len(x) for x in B.few_tokens(iter([pdf]))] == [2, 2, 1]
