@@ -1,8 +1,11 @@
 """Goldens of the detectors: a line and the values found in it."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.functions import patterns as P
 from tracewell.functions import text as T
 from tracewell.operators import detectors as D
 
@@ -60,7 +63,7 @@ def test_goldens(spark):
 def test_matches_have_python_offsets(spark):
     import re
 
-    texts = ["a1b22😀333", "", "none", "9", "12 34"]
+    texts = ["éa@x.jp", "́a@x.jp", "a@x.jṕ", "²a@x.jp", "a@x.jp²", "x\x01a@x.jp", "\x02 b@y.jp\x01c@z.jp d@x.jp", "́+81 90-1234-5678", "²+81 90-1234-5678", "‿+81 90-1234-5678"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.find_matches(F.col("t"), r"\d+").alias("m")).collect()
     for r in rows:
         assert [(m.value, m.start) for m in r.m] == [(m.group(), m.start()) for m in re.finditer(r"\d+", r.t)]
@@ -82,3 +85,13 @@ def test_line_breaks_like_python(spark):
     text = "a\r\nb\n\nc\x0bd\x1ce\x85f g\n  \nh"
     rows = T.to_lines(spark.createDataFrame([(text,)], "text string")).collect()
     assert [(r.line, r.text) for r in rows] == [(i, x) for i, x in enumerate(text.splitlines(), 1) if x.strip()]
+
+
+def test_words_end_where_the_original_tool_ends_them(spark):
+    """Marks are no word characters, numbers of every kind are; control characters stay where they are."""
+    texts = ["éa@x.jp", "a@x.jṕ", "²a@x.jp", "a@x.jp²", "x\x01a@x.jp", "\x02 b@y.jp\x01c@z.jp d@x.jp", "́+81 90-1234-5678", "²+81 90-1234-5678", "‿+81 90-1234-5678"]
+    rules = {"email": (P.EMAIL, r"(?<![\w.%+-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![\w-])"), "phone": (P.INTL_PHONE, r"(?<![\w+])\+\d{1,3}[\s\-]?\(?\d{1,4}\)?(?:[\s\-]?\d{2,4}){2,4}(?![\d])")}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for pattern, plain in rules.values():
+        for r in df.select("text", T.find_matches(F.col("text"), pattern).alias("m")).collect():
+            assert [(m.value, m.start) for m in r.m] == [(m.group(), m.start()) for m in re.finditer(plain, r.text)], r.text
