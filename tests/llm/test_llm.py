@@ -411,6 +411,15 @@ def test_texts_that_are_measured_on_are_not_learned_from(docs):
     assert measured.count() > 0 and np.array_equal(learned.ratios, same.ratios) and learned.least == same.least
 
 
+def test_models_count_every_text_once(spark):
+    """More texts than were once sampled, with copies, against a plain count over all of them."""
+    texts = [f"line {n} token=q{n * 7919 % 10007}Zk{n}x and someWord{n}" for n in range(9000)]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts + texts[:500])] + [(9999, None)], "doc_id long, text string").repartition(7)
+    part = {r.text: r.part for r in rows.where("text IS NOT NULL").select("text", secrets_scan._rank().alias("rank")).withColumn("part", secrets_scan._part()).collect()}
+    counted = sum(secrets_scan._counted(t.encode()) for t in texts if part[t] not in (secrets_scan.FITTED, secrets_scan.MEASURED))
+    assert np.array_equal(secrets_scan.learn(rows).ratios, secrets_scan._models(counted.astype(float)))
+
+
 def test_best_segments_equal_brute_force():
     draw = np.random.default_rng(5)
     ratios = draw.normal(0, 3, (secrets_scan.START + 1, secrets_scan.START))

@@ -1,11 +1,11 @@
 """Secrets in whole texts: patterns, and character Markov models for what no pattern names.
 
 Two first-order Markov models over the characters of secrets, one of random strings and one of
-ordinary identifiers, are counted from labelled samples. Random are the values that the patterns find
-in a sample of at most SAMPLE texts, and generated strings; ordinary are the other runs of such
+ordinary identifiers, are counted from labelled texts. Random are the values that the patterns find
+in all texts, and generated strings; ordinary are the other runs of such
 characters in these texts, identifiers joined from common words, and kinds that look random (part numbers,
 acronyms, sequences of proteins). UUIDs, addresses and short identifiers in links are known by their form. All texts fall by hash into PARTS,
-of which two are not counted. On the sampled texts of the first, the least score that is reported is
+of which two are not counted. On all texts of the first, the least score that is reported is
 fitted, the one that at most FALSE_RUNS of the ordinary runs reach. On all texts of the second, which
 nothing is learned from, precision and recall are measured (evaluate).
 
@@ -53,11 +53,11 @@ _CODE = np.full(256, 255, np.uint8)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(START, dtype=np.uint8)
 #: Shortest run of ordinary characters to learn from.
 WORD_CHARS = 4
-#: Texts that are sampled, at most, and parts of texts: one for the least score, one to measure on, the rest to count.
-SAMPLE = 4000
+#: No limit: all texts are learned from.
+SAMPLE = None
+#: Parts of texts: one for the least score, one to measure on, the rest to count.
 PARTS = 8
 FITTED, MEASURED = 0, 1
-SHARDS = 8
 #: Random strings that are generated for each alphabet.
 GENERATED = 2000
 #: Share of ordinary runs that may reach the least score, and what it is at least: odds of a million to one.
@@ -247,22 +247,34 @@ def best_segments(codes: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends, scores
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Models and the least score from at most sample distinct texts, by hash."""
-    return _fitted(_sampled(docs, sample))
+def learn(docs: DataFrame) -> Model:
+    """Models and the least score from all distinct texts."""
+    return _fitted(_sampled(docs))
 
 
 def _rank() -> Column:
     return F.xxhash64("text", F.lit(4))
 
 
-def _sampled(docs: DataFrame, sample: int) -> DataFrame:
-    texts = docs.where("text IS NOT NULL").select("text", _rank().alias("rank"))
-    count = docs.where("text IS NOT NULL").agg(F.approx_count_distinct(_rank(), 0.02)).first()[0]
-    near = texts.where(F.pmod("rank", F.lit(1 << 30)) < int(min(1.0, 1.5 * sample / max(count, 1)) * (1 << 30)))
-    # Ranks are chosen before texts move: at most sample numbers.
-    ranks = F.broadcast(written(near.select("rank").distinct().orderBy("rank").limit(sample), "secret-ranks"))
-    return written(near.join(ranks, "rank").repartition(SHARDS, "rank").groupBy("rank").agg(F.min("text").alias("text")), "secret-sample")
+def _sampled(docs: DataFrame, limit: None = SAMPLE) -> DataFrame:
+    """text and rank of what is learned from: every text."""
+    return docs.where("text IS NOT NULL").select("text", _rank().alias("rank"))
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    """Each text once. Copies go within their task first, so that a large group of them doesn't meet in one."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for rank in batch.column("rank").to_pylist():
+                new.append(rank not in seen)
+                seen.add(rank)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    shape = "text string, rank long"
+    return texts.mapInArrow(first, shape).repartition("rank").mapInArrow(first, shape)
 
 
 def _part() -> Column:
@@ -279,11 +291,11 @@ def _fitted(texts: DataFrame) -> Model:
         label, before, after = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(before * START + after, pa.int32()), pa.array(counts[label, before, after])], ["label", "pair", "n"])
 
-    found = texts.where(~_part().isin(FITTED, MEASURED)).select("text").mapInArrow(count, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).toPandas()
+    found = _once(texts.where(~_part().isin(FITTED, MEASURED))).select("text").mapInArrow(count, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, (START + 1) * START))
     counts[found["label"].to_numpy(), found["pair"].to_numpy()] = found["n"].to_numpy()
     ratios = _models(counts.reshape(2, START + 1, START))
-    ordinary_runs = _held_scores(texts.where(_part() == FITTED), ratios).where("NOT secret")
+    ordinary_runs = written(_held_scores(_once(texts.where(_part() == FITTED)), ratios).where("NOT secret"), "secret-scores")
     facts = ordinary_runs.agg(F.sum("n").alias("n")).first()["n"] or 0
     # At most FALSE_RUNS of the runs may reach the least score: that many of the highest scores and one more are looked at.
     top = ordinary_runs.where("score > 0").orderBy(F.desc("score")).limit(int(facts * FALSE_RUNS) + 1).collect()
