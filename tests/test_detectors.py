@@ -107,3 +107,17 @@ def test_words_of_credentials_stand_in_all_matches(spark):
     got = sorted((r.line, r.rule) for r in C.credential_hits(df).collect())
     assert set(C.WORDS) == set(C.RULES) and {rule for _, rule in got} == set(C.RULES)
     assert got == sorted((n, name) for n, t in enumerate(texts) for name, rx in C.RULES.items() for _ in re.findall(rx, t, re.ASCII))
+
+
+def test_rules_look_behind_at_whole_characters(spark):
+    """Letters and digits above U+FFFF are two units in Java's strings."""
+    texts = [f"{before}{value}" for before in ("\U00010400", "\U0001d7d7", "\U0001f600", "x \U0001d400") for value in ("a@x.jp", "+81 90-1234-5678", "090-1234-5678", "4111 1111 1111 1111", "123456789012")]
+    digit = r"(?<!\d)"
+    rules = {
+        P.EMAIL: r"(?<![\w.%+-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![\w-])", P.INTL_PHONE: r"(?<![\w+])\+\d{1,3}[\s\-]?\(?\d{1,4}\)?(?:[\s\-]?\d{2,4}){2,4}(?![\d])",
+        P.JP_PHONE: r"(?<![\d\-])(?:0\d{1,4}-\d{1,4}-\d{3,4}|0[5789]0\d{8}|\(0\d{1,4}\)\s?\d{1,4}-\d{4})(?![\d\-])", P.CARD: rf"{digit}(?:\d{{4}}[ \-]){{3}}\d{{1,7}}(?!\d)|{digit}\d{{14,16}}(?!\d)", P.MY_NUMBER: rf"{digit}\d{{4}}[\s\-]?\d{{4}}[\s\-]?\d{{4}}(?!\d)",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for pattern, plain in rules.items():
+        for r in df.select("text", T.find_matches(F.col("text"), pattern).alias("m")).collect():
+            assert [(m.value, m.start) for m in r.m] == [(m.group(), m.start()) for m in re.finditer(plain, r.text)], r.text
