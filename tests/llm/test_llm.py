@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,18 @@ def test_packing_is_whole_and_tight(docs):
     assert used <= 1.02 * least + 1
 
 
+def test_packing_tasks_forget_their_pieces(spark, docs):
+    """Workers wait for their next task beside what the pipeline's next stage runs, so they hold no pieces then."""
+    path = token_files.default_tokenizer()
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(encoder(path).known)]})
+
+    assert packing.pieces(docs, path).count() > 0
+    assert spark.range(400).repartition(4).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
+
+
 def test_packing_odd(odd, none):
     check_packing(packing.packed(odd, token_files.default_tokenizer()).collect(), [(r.doc_id, r.text) for r in pairs_of(odd)])
     assert packing.packed(none, token_files.default_tokenizer()).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.tables import delete, fresh_path, scratch
 from tracewell.functions.tables import materialized as written
 
-__all__ = ["CHUNK_BYTES", "buffers", "column", "delete", "fresh_path", "row_chunks", "scratch", "written"]
+__all__ = ["CHUNK_BYTES", "buffers", "column", "delete", "fresh_path", "give_back", "row_chunks", "scratch", "written"]
 
 #: Bytes of text that a Python helper works on at a time.
 CHUNK_BYTES = 1 << 20
@@ -46,3 +47,11 @@ def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         end = min(max(end, row + 1), rows)
         yield row, end
         row = end
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker waits for its next task a minute, beside what runs then."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

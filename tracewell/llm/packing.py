@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import scratch, written
+from tracewell.llm.common import give_back, scratch, written
 from tracewell.llm.numbering import number_rows
 from tracewell.llm.token_files import default_tokenizer
 from tracewell.llm.tokens import crc32_of, encoder
@@ -71,6 +71,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                     [batch.column("doc_id")[a:b].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+                del ids
+        # In the pipeline the next stage begins while the worker still waits.
+        encode.forget()
+        give_back()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return plain.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

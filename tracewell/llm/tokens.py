@@ -67,9 +67,9 @@ class Encoder:
         self.in_pieces = cuts_hold(json.loads(self.tokenizer.to_str()))
         self.letters = byte_characters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(KEPT_PIECES * 2, np.int64)
@@ -121,7 +121,7 @@ class Encoder:
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if len(self.known) > KEPT_PIECES:
-            self._forget()
+            self.forget()
         cuts = self._cuts(data, offsets)
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)])
         coded = pieces.dictionary_encode()
@@ -147,7 +147,7 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, which keeps its pieces from task to task."""
+    """One for each Python worker, which keeps its pieces from task to task unless the task forgets them."""
     return Encoder(path)
 
 
