@@ -1,7 +1,9 @@
 import bz2
+import glob
 import gzip
 import hashlib
 import io
+import os
 import tarfile
 import zipfile
 
@@ -206,3 +208,27 @@ def test_fingerprint_holds_no_bundle_in_a_row(spark):
         want.setdefault(bundle, []).append("\x00".join(str(x) for x in entry if x is not None))
     want = {b: hashlib.sha256(("\n".join(sorted(e)) + "\n").encode()).hexdigest() for b, e in want.items()}
     assert {r.bundle: r.fingerprint for r in out.collect()} == want
+
+
+def test_only_other_encodings_go_to_python(spark, tmp_path):
+    """Of UTF-8, binary and UTF-16 files, the function in Python gets the last; texts are right over several of its steps."""
+    kinds = [b"caf\xc3\xa9 %d", b"\0 %d", None, "表 %d".encode("cp932"), b"\x81 %d"]
+    raws = [kinds[i % 5] % i if kinds[i % 5] else f"é{i}".encode("utf-16") for i in range(700)]
+    want = [[f"café {i}", None, f"é{i}", f"表 {i}", None][i % 5] for i in range(700)]
+    df = spark.createDataFrame(list(enumerate(raws)), "i int, content binary").coalesce(1)
+    assert [r.t for r in df.select("i", files.decode_text(F.col("content")).alias("t")).orderBy("i").collect()] == want
+    # What Python gets is null but for the others, so a function that notes what it gets sees no other.
+    seen = str(tmp_path)
+
+    @F.udf("string")
+    def noting(raw):
+        with open(f"{seen}/{os.getpid()}", "a") as out:
+            out.write(f"{raw is None}\n")
+
+    held, files._decode_other = files._decode_other, noting
+    try:
+        df.select(files.decode_text(F.col("content"))).collect()
+    finally:
+        files._decode_other = held
+    noted = [x for p in glob.glob(f"{seen}/*") for x in open(p).read().split()]
+    assert noted.count("False") == 3 * 140 and noted.count("True") == 2 * 140
