@@ -9,6 +9,7 @@ import tarfile
 import threading
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,3 +357,20 @@ def test_ranges_follow_the_data(spark):
 
 def test_scan_reports_no_pattern_of_one_rule_for_another(spark):
     assert scanned(spark, {"/d/a.txt": "普通預金 1234567 〒150-0041".encode()}, detectors=(BANK,)).findings.count() == 1
+
+
+def test_files_are_made_once_for_their_scan(spark):
+    """Names, refused places and contents are rows of one pass over the files."""
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pd.DataFrame({"path": [f"/data/{'.ssh/' if i == 3 else ''}{i}.txt" for i in pdf["id"]], "content": [b"token = abcdefgh" if i != 2 else None for i in pdf["id"]]})
+
+    out = report.expanded_files(spark.range(5).mapInPandas(make, "path string, content binary")).collect()
+    assert made.value == 5
+    names = {f"/data/{i}.txt" for i in (0, 1, 2, 4)}
+    assert {r.path for r in out if r.what == "name"} == names == {r.path for r in out if r.what == "file"}
+    assert {bytes(r.content) for r in out if r.what == "file"} == {b"token = abcdefgh", b""}
+    assert [(r.path, r.content, r.reason) for r in out if r.what == "skip"] == [("/data/.ssh/3.txt", None, "refused location: .ssh")]
