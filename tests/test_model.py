@@ -7,6 +7,7 @@ import sys
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from tracewell.functions import patterns as P
 from tracewell.operators import blocks as B
@@ -214,3 +215,14 @@ def test_blocks_are_worked_on_a_few_at_a_time():
     assert list(B.row_slices([], 6)) == []
     pdf = B.pd.DataFrame({"logits": [np.zeros(B.BATCH_LOGITS // 2)] * 5})
     assert [len(x) for x in B.few_tokens(iter([pdf]))] == [2, 2, 1]
+
+
+def test_worthy_lines_are_those_of_the_pattern(spark):
+    """Its parts find what the whole pattern finds, letters of odd case among them, and it is run on lines with such letters only."""
+    rnd = random.Random(5)
+    bits = ["na", "me", "NAME", "Ad", "dR", "emaİl", "cıty", "ſtreet", "poſtal", "e-", "MAIL", "zıp", "İ", "K", "Anna", " ", "Berg", "é", "_", "1", "12", "-", "123", "あ", "@", "tel", "El", "𝟗", "𐐀", "Ab ", "Cd", "ß", "̇"]
+    rows = [("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 7))),) for _ in range(5000)] + [(None,), ("",)]
+    lines = spark.createDataFrame(rows, "text string")
+    worthy, pattern = model.model_worthy(F.col("text")), F.col("text").rlike(P.MODEL_WORTHY)
+    assert lines.where(~worthy.eqNullSafe(pattern)).count() == 0
+    assert 1000 < lines.where(worthy).count() < 4900
