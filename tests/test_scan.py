@@ -1,6 +1,7 @@
 """Files that no scan may end on, streams, pictures, credentials, reports, kept scans and written tables."""
 
 import gzip
+import hashlib
 import io
 import json
 import os
@@ -14,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_files import tarred, zipped
+from tracewell import queries
 from tracewell.functions import patterns as P
 from tracewell.functions.tables import fresh_path, scratch
 from tracewell.jobs import gate, incremental, report
@@ -374,3 +376,19 @@ def test_files_are_made_once_for_their_scan(spark):
     assert {r.path for r in out if r.what == "name"} == names == {r.path for r in out if r.what == "file"}
     assert {bytes(r.content) for r in out if r.what == "file"} == {b"token = abcdefgh", b""}
     assert [(r.path, r.content, r.reason) for r in out if r.what == "skip"] == [("/data/.ssh/3.txt", None, "refused location: .ssh")]
+
+
+def test_digests_of_files_that_no_row_holds(spark, tmp_path):
+    """Spark puts no file over its limit into a row; digests are taken in pieces, of the files that Spark lists, whatever their names."""
+    held = {"big": b"x" * 3_000_000, "a b%20#c?é.txt": b"1", "sub/@=+": b"2"}
+    for name, raw in {**held, "_hidden": b"3", ".dot": b"4"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    listed = {(os.path.basename(r.path), r.length, r.sha256) for r in files.read_files(spark, str(tmp_path)).select("path", "length", F.sha2("content", 256).alias("sha256")).collect()}
+    spark.conf.set(limit, 1_000_000)
+    try:
+        found = {(r.name, r.length, r.sha256) for r in queries.s1_read_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(limit)
+    assert found == listed == {(os.path.basename(name), len(raw), hashlib.sha256(raw).hexdigest()) for name, raw in held.items()}
