@@ -226,3 +226,32 @@ def test_worthy_lines_are_those_of_the_pattern(spark):
     worthy, pattern = model.model_worthy(F.col("text")), F.col("text").rlike(P.MODEL_WORTHY)
     assert lines.where(~worthy.eqNullSafe(pattern)).count() == 0
     assert 1000 < lines.where(worthy).count() < 4900
+
+
+def test_blocks_of_a_task_go_through_their_tokens_together():
+    """As many steps as a stretch has tokens, whatever the blocks; the same matrices and paths as one block after the other."""
+    draw = np.random.default_rng(2)
+    sizes, move = [1, 200, 64, 65, 3, 128], B.moves(LABELS)
+    parts = [B.log_probabilities(draw.normal(0, 2, (n, len(LABELS)))) for n in sizes]
+    cut = B.Stretches(sizes, move)
+    assert len(cut.active) == B.STRETCH and len(cut.at) == 4
+    logp = np.concatenate(parts)
+    for got, part in zip(cut.transfers(logp), parts):
+        assert np.allclose(got, B.transfer(part, move))
+    none, any_ = np.zeros(len(sizes), int), np.full(len(sizes), -1)
+    path = cut.paths(logp, none, any_, [i for i, x in enumerate(LABELS) if x[0] in "OES"])
+    assert path.tolist() == [k for part in parts for k in model.best_path(part, LABELS)]
+
+
+def test_scored_blocks_are_the_tokens_of_their_texts(spark):
+    texts = spark.createDataFrame([(1, "Ann Bo c " * 30), (2, None), (3, ""), (4, "Ann and  Bob"), (None, "Zed")], "doc_id long, text string")
+
+    def make_scorer():
+        return lambda some: [[(m.start(), m.end(), [0.0, 0.0, 0.0, 0.0, 4.0] if m.group()[0].isupper() else [4.0, 0.0, 0.0, 0.0, 0.0]) for m in re.finditer(r"\S+", t or "")] for t in some]
+
+    labels = LABELS[:5]
+    blocks = model.score_blocks(texts, make_scorer, 16)
+    each = {(r.bundle, r.block): (r.starts, r.alone) for r in blocks.collect()}
+    assert [len(each[1, b][0]) for b in range(6)] == [16] * 5 + [10] and not each[1, 0][1] and each[4, 0] == ([0, 4, 9], True)
+    got, want = model.decode_blocks(blocks, labels), model.decode_spans(model.score_tokens(texts, make_scorer), labels)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 63
