@@ -392,3 +392,17 @@ def test_digests_of_files_that_no_row_holds(spark, tmp_path):
     finally:
         spark.conf.unset(limit)
     assert found == listed == {(os.path.basename(name), len(raw), hashlib.sha256(raw).hexdigest()) for name, raw in held.items()}
+
+
+def test_whole_lines_are_scanned_for_reports_and_files(spark, tmp_path):
+    """A value behind the 20,000th character of its line is found by the three queries that scan files, by others as before."""
+    text = "a" * 25_000 + " mail late@corp.jp end"
+    spark.createDataFrame([(7, text), (6, "mail soon@corp.jp end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    both = {"late@corp.jp", "soon@corp.jp"}
+    with scratch(spark):
+        assert {r.value for r in queries.s10_write_report(spark, str(tmp_path)).collect()} == both
+        assert {f"メールアドレス: {x}" for x in both} == {r.line.split(". ", 1)[1] for r in queries.s11_write_markdown(spark, str(tmp_path)).collect() if r.line.startswith("## ")}
+        assert {r.name for r in queries.wl4_scan_files(spark, str(tmp_path)).where("what = 'finding'").collect()} >= both
+    lines = report.lines_of(spark.createDataFrame([("x", text)], "path string, text string"))
+    assert detect(lines).isEmpty() and detect(lines, chars=None).count() == 1
