@@ -249,8 +249,11 @@ def test_scored_blocks_are_the_tokens_of_their_texts(spark):
     def make_scorer():
         return lambda some: [[(m.start(), m.end(), [0.0, 0.0, 0.0, 0.0, 4.0] if m.group()[0].isupper() else [4.0, 0.0, 0.0, 0.0, 0.0]) for m in re.finditer(r"\S+", t or "")] for t in some]
 
+    def make_arrays():
+        return lambda some: [(np.array([x[0] for x in tokens], np.int32), np.array([x[1] for x in tokens], np.int32), np.array([x[2] for x in tokens], np.float32).reshape(-1, 5)) for tokens in make_scorer()(some)]
+
     labels = LABELS[:5]
-    blocks = model.score_blocks(texts, make_scorer, 16)
+    blocks = model.score_blocks(texts, make_arrays, 16)
     each = {(r.bundle, r.block): (r.starts, r.alone) for r in blocks.collect()}
     assert [len(each[1, b][0]) for b in range(6)] == [16] * 5 + [10] and not each[1, 0][1] and each[4, 0] == ([0, 4, 9], True)
     got, want = model.decode_blocks(blocks, labels), model.decode_spans(model.score_tokens(texts, make_scorer), labels)
